@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, simhash, toxicity
+from tidemark.llm import langid, linededup, sentencepiece_bpe, simhash, toxicity
 from tidemark.llm.common import held_out, table
 
 
@@ -18,6 +19,32 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file; the folder of TOKENIZER_DIR goes before the installed package."""
+    if folder := os.environ.get("TOKENIZER_DIR"):
+        return f"{folder.rstrip('/')}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("piece_bpe_32k.model")
+    encoded = sentencepiece_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    done = sentencepiece_bpe.decode(encoded, path)
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.remove_repeated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "removed_lines")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs)
@@ -31,7 +58,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op4_language_id, op5_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_line_dedup, op4_language_id, op5_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
