@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, langid, linededup, packing, sentencepiece_bpe, simhash, toxicity
+from tidemark.llm import chat, langid, linededup, packing, sentencepiece_bpe, simhash, toxicity, warc
 from tidemark.llm.common import held_out, table
 
 
@@ -64,6 +64,19 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(more)))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long"), "url", "html")
+    found = warc.read_archives(warc.archive(pages))
+    page = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
+    return found.select(
+        page("record_id").alias("page_id"),
+        F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_length")).alias("payload_bytes"),
+        F.coalesce(F.sha1("payload"), F.col("digest")).alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        page("refers_to").alias("refers_to"),
+    )
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
@@ -73,8 +86,34 @@ def piece_digests(pieces: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_line_dedup, op4_language_id, op5_simhash, op7_chat, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_line_dedup, op4_language_id, op5_simhash, op7_chat, op9_warc, op10_packing)}
+
+
+#: Texts are compared by code points in both engines.
+ORACLE_SQL = {
+    "op9_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), g AS (
+            SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS holder FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN payload_bytes >= 1000 AND page_id <> holder THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 1000 AND page_id <> holder THEN holder END AS refers_to
+        FROM g""",
+    "op7_chat": """
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+        ), c AS (
+            SELECT conv_id, count(*) AS n_turns,
+                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+                coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS learnt
+            FROM t GROUP BY conv_id
+        )
+        SELECT conv_id, n_turns, turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256 FROM c""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in ORACLE_SQL.items() if k != "op7_chat"}
