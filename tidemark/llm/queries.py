@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, langid, linededup, packing, sentencepiece_bpe, simhash, toxicity, warc
+from tidemark.llm import ann, chat, langid, linededup, packing, sentencepiece_bpe, simhash, topk, toxicity, warc
 from tidemark.llm.common import held_out, table
 
 
@@ -57,6 +57,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = ann.nearest(rows, rows.where("vec_id % 100 = 0"), k=10)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     text = "</s>[INST] ok [/INST]"
@@ -64,6 +70,14 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(more)))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = rows.where(F.col("embedding").isNotNull() & finite).select("vec_id", topk.scaled("embedding").alias("vector"))
+    found = topk.top_k(rows, rows.where("vec_id % 20 = 0"), k=20)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long"), "url", "html")
     found = warc.read_archives(warc.archive(pages))
@@ -86,11 +100,22 @@ def piece_digests(pieces: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_line_dedup, op4_language_id, op5_simhash, op7_chat, op9_warc, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_line_dedup, op4_language_id, op5_simhash, op6_ann, op7_chat, op8_top_k, op9_warc, op10_packing)}
 
 
 #: Texts are compared by code points in both engines.
 ORACLE_SQL = {
+    "op8_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+        ), r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op9_warc": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
@@ -101,19 +126,8 @@ ORACLE_SQL = {
             CASE WHEN payload_bytes >= 1000 AND page_id <> holder THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN payload_bytes >= 1000 AND page_id <> holder THEN holder END AS refers_to
         FROM g""",
-    "op7_chat": """
-        WITH t AS (
-            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
-        ), c AS (
-            SELECT conv_id, count(*) AS n_turns,
-                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-                coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS learnt
-            FROM t GROUP BY conv_id
-        )
-        SELECT conv_id, n_turns, turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256 FROM c""",
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in ORACLE_SQL.items() if k != "op7_chat"}
+    return dict(ORACLE_SQL)
