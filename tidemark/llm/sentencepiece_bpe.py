@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import codecs
 import re
+from array import array
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -17,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words that a worker remembers in each of two generations, and the longest of them in letters.
 REMEMBERED, LONGEST = 300_000, 64
+#: Words up to so many letters take the agenda without a heap.
+SHORT = 40
 codecs.register_error("each_byte_replaced", lambda e: ("�" * (e.end - e.start), e.end))
 
 
@@ -29,27 +31,18 @@ class Memory:
     def __init__(self, most: int = REMEMBERED):
         self.most, self.new, self.old = most, {}, {}
 
-    def room(self, more: int) -> dict:
-        """The newer half, with room for `more` words unless they alone are over the limit."""
-        if len(self.new) + more > self.most:
-            self.new, self.old = {}, self.new
-        return self.new
-
     def missing(self, words: set) -> list:
-        """Those of words that aren't known; known ones of the older half move to the newer."""
-        new = self.new
-        out = [w for w in words if w not in new]
-        if not out:
-            return out
-        new, old = self.room(len(out)), self.old
-        rest = []
+        """Those of words that aren't known; the others are all in the newer half then."""
+        out = [w for w in words if w not in self.new]
+        if len(self.new) + len(out) > self.most:
+            self.new, self.old, out = {}, self.new, list(words)
+        new, old, rest = self.new, self.old, []
         for w in out:
-            v = old.get(w)
-            if v is None:
+            if (v := old.get(w)) is None:
                 rest.append(w)
             else:
                 new[w] = v
-        return [w for w in rest if w not in new] if new is not self.new else rest
+        return rest
 
 
 class PieceModel:
@@ -66,8 +59,7 @@ class PieceModel:
         self.ids = {p: k for k, p in enumerate(self.pieces) if not special[k]}
         self.bytes = {int(p[3:5], 16): k for k, p in enumerate(self.pieces) if sp.is_byte(k)}
         self.unknown, self.end = sp.unk_id(), sp.eos_id()
-        # what merging needs first: the higher the score the earlier, then the place
-        self.rank = {p: (-self.scores[k], k) for p, k in self.ids.items()}
+        self.cost = {p: -self.scores[k] for p, k in self.ids.items()}  # the higher the score the earlier a pair merges
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece goes over a word's end: this vocabulary can't be encoded word by word")
         if any(sp.is_unused(k) for k in range(len(self.pieces))) or len(self.bytes) != 256:
@@ -77,39 +69,49 @@ class PieceModel:
         self.surface = [b"" if sp.is_control(k) else b" \xe2\x81\x87 " if sp.is_unknown(k) else bytes([int(p[3:5], 16)]) if sp.is_byte(k) else p.replace(MARK, " ").encode() for k, p in enumerate(self.pieces)]
 
     def encode_word(self, word: str) -> list[int]:
-        """The ids of one word (marks for spaces). The best pair of neighbours merges until none is left."""
+        """The ids of one word (marks for spaces). The best pair of neighbours, the leftmost of equals, merges until none is left."""
+        symbols = self._merged_short(word) if len(word) <= SHORT else self._merged_long(word)
+        try:
+            return [self.ids[s] for s in symbols]
+        except KeyError:
+            return [k for s in symbols for k in ([self.ids[s]] if s in self.ids else [self.bytes[x] for x in s.encode()])]
+
+    def _merged_short(self, word: str) -> list[str]:
+        """The agenda is a list with the cost of each pair in place: for few symbols that beats a heap."""
+        symbols, never, cost = list(word), float("inf"), self.cost.get
+        agenda = [cost(a + b, never) for a, b in zip(word, word[1:])]
+        while agenda and (best := min(agenda)) != never:
+            i = agenda.index(best)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = cost(symbols[i] + symbols[i + 1], never)
+            if i:
+                agenda[i - 1] = cost(symbols[i - 1] + symbols[i], never)
+        return symbols
+
+    def _merged_long(self, word: str) -> list[str]:
+        """The agenda is a heap; pairs whose symbols have merged otherwise meanwhile are passed over."""
         symbols: list[str | None] = list(word)
         n = len(symbols)
-        rank = self.rank
-        agenda = [(*r, k, k + 1, a + b) for k, (a, b) in enumerate(zip(symbols, symbols[1:])) if (r := rank.get(a + b))]
-        # of equal scores the leftmost first
-        agenda = [(s, k, i, j, p) for s, k, i, j, p in ((x[0], x[2], x[2], x[3], x[4]) for x in agenda)]
+        agenda = [(self.cost[a + b], k, k + 1, a + b) for k, (a, b) in enumerate(zip(word, word[1:])) if a + b in self.cost]
         heapify(agenda)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         while agenda:
-            _, _, i, j, piece = heappop(agenda)
+            _, i, j, piece = heappop(agenda)
             a, b = symbols[i], symbols[j]
-            if a is None or b is None or len(a) + len(b) != len(piece) or right[i] != j:
-                continue  # one of the two has merged with another meanwhile
+            if a is None or b is None or right[i] != j or a + b != piece:
+                continue
             symbols[i], symbols[j] = piece, None
             k = right[i] = right[j]
             if k < n:
                 left[k] = i
-                if r := rank.get(piece + symbols[k]):
-                    heappush(agenda, (r[0], i, i, k, piece + symbols[k]))
+                if (pair := piece + symbols[k]) in self.cost:
+                    heappush(agenda, (self.cost[pair], i, k, pair))
             k = left[i]
-            if k >= 0 and (r := rank.get(symbols[k] + piece)):
-                heappush(agenda, (r[0], k, k, i, symbols[k] + piece))
-        out: list[int] = []
-        for s in symbols:
-            if s is None:
-                continue
-            k = self.ids.get(s)
-            if k is None:
-                out.extend(self.bytes[x] for x in s.encode())
-            else:
-                out.append(k)
-        return out
+            if k >= 0 and (pair := symbols[k] + piece) in self.cost:
+                heappush(agenda, (self.cost[pair], k, i, pair))
+        return [s for s in symbols if s is not None]
 
     def checked(self, words: list[str]) -> list[list[int]]:
         """The ids of words that begin with a mark, each held against the library."""
@@ -147,6 +149,10 @@ def _words(text: str) -> list[str]:
     return [MARK + w for w in text.split(" ")]
 
 
+def _bytes(model: PieceModel, words: list[str]) -> dict[str, bytes]:
+    return {w: array("i", ids).tobytes() for w, ids in zip(words, model.checked(words))} if words else {}
+
+
 def encode_texts(texts: list[str | None], path: str, end: bool = True) -> list[bytes]:
     """The ids of each text, as the bytes of 32-bit integers. A null is an empty text."""
     model, memory = _model(path)
@@ -163,17 +169,12 @@ def encode_texts(texts: list[str | None], path: str, end: bool = True) -> list[b
             got = b"".join([known[w] for w in words])
         except KeyError:
             distinct = set(words)
-            long = {w: np.array(i, np.int32).tobytes() for part in [[w for w in distinct if len(w) > LONGEST]] for w, i in zip(part, model.checked(part))} if any(len(w) > LONGEST for w in distinct) else {}
-            distinct.difference_update(long)
-            if len(distinct) > memory.most:  # a text with more words than the memory takes
-                know = dict(zip(distinct, (np.array(i, np.int32).tobytes() for i in model.checked(list(distinct))))) | long
-            else:
-                fresh = memory.missing(distinct)
-                known = memory.new
-                for w, i in zip(fresh, model.checked(fresh)):
-                    known[w] = np.array(i, np.int32).tobytes()
-                know = {w: known[w] for w in distinct} | long if long else known
-            got = b"".join([know[w] for w in words])
+            aside = distinct if len(distinct) > memory.most else {w for w in distinct if len(w) > LONGEST}
+            once = _bytes(model, list(aside))  # words that the memory doesn't take
+            fresh = memory.missing(distinct - aside)
+            known = memory.new
+            known.update(_bytes(model, fresh))
+            got = b"".join([known[w] if w in known else once[w] for w in words] if once else [known[w] for w in words])
         if k == check and np.frombuffer(got, np.int32).tolist() != model.library.encode(t):
             raise ValueError("the library encodes a text in another way")
         out.append(got + tail)
