@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_PLANS = ()
+from tidemark.plans import guarding, points
+
+_PLANS = (points, guarding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
