@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words that a worker remembers in each of two generations, and the longest of them in letters.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 #: Words up to so many letters take the agenda without a heap.
 SHORT = 40
 codecs.register_error("each_byte_replaced", lambda e: ("�" * (e.end - e.start), e.end))
@@ -157,27 +157,32 @@ def encode_texts(texts: list[str | None], path: str, end: bool = True) -> list[b
     """The ids of each text, as the bytes of 32-bit integers. A null is an empty text."""
     model, memory = _model(path)
     tail = np.int32(model.end).tobytes() if end else b""
-    out = []
-    check = min((k for k, t in enumerate(texts) if t), key=lambda k: len(texts[k]), default=None)
-    for k, t in enumerate(texts):
-        if not t:
-            out.append(tail)
-            continue
-        words = _words(t)
+    out: list[bytes] = []
+    held: list[list[str]] = []
+    size = 0
+
+    def done() -> None:
+        distinct = set().union(*held)
+        aside = {w for w in distinct if len(w) > LONGEST} if len(distinct) <= memory.most else distinct
+        once = _bytes(model, list(aside))  # words that the memory doesn't take
+        fresh = memory.missing(distinct - aside if aside else distinct)
         known = memory.new
-        try:
-            got = b"".join([known[w] for w in words])
-        except KeyError:
-            distinct = set(words)
-            aside = distinct if len(distinct) > memory.most else {w for w in distinct if len(w) > LONGEST}
-            once = _bytes(model, list(aside))  # words that the memory doesn't take
-            fresh = memory.missing(distinct - aside)
-            known = memory.new
-            known.update(_bytes(model, fresh))
-            got = b"".join([known[w] if w in known else once[w] for w in words] if once else [known[w] for w in words])
-        if k == check and np.frombuffer(got, np.int32).tolist() != model.library.encode(t):
-            raise ValueError("the library encodes a text in another way")
-        out.append(got + tail)
+        known.update(_bytes(model, fresh))
+        for words in held:
+            got = [known[w] if w in known else once[w] for w in words] if once else [known[w] for w in words]
+            out.append(b"".join(got) + tail)
+        held.clear()
+
+    for t in texts:
+        held.append(_words(t) if t else [])
+        size += len(held[-1])
+        if size > 100_000:
+            done()
+            size = 0
+    done()
+    check = min((k for k, t in enumerate(texts) if t), key=lambda k: len(texts[k]), default=None)
+    if check is not None and np.frombuffer(out[check], np.int32).tolist() != model.library.encode(texts[check], add_eos=end):
+        raise ValueError("the library encodes a text in another way")
     return out
 
 
@@ -216,7 +221,9 @@ def decode(docs: DataFrame, model_path: str, ids_col: str = "ids", text_col: str
 
     def make(b: pa.RecordBatch) -> pa.Array:
         model, _ = _model(model_path)
-        own = [model.decode(x or []) for x in b.column(at).to_pylist()]
+        lists = b.column(at)
+        flat, ends = lists.flatten().to_numpy().tolist(), np.cumsum(lists.value_lengths().fill_null(0)).tolist()
+        own = [model.decode(flat[i:j]) for i, j in zip([0, *ends], ends)]
         check = min((k for k in range(len(own)) if b.column(at)[k].is_valid), key=lambda k: len(b.column(at)[k]), default=None)
         if check is not None and own[check] != model.library.decode(b.column(at)[check].as_py()):
             raise ValueError("the library decodes some ids in another way")
