@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import guarding, points
+from tidemark.plans import guarding, points, sequences
 
-_PLANS = (points, guarding)
+_PLANS = (points, guarding, sequences)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
