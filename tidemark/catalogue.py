@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import guarding, points, sequences
+from tidemark.plans import guarding, outcomes, points, sequences
 
-_PLANS = (points, guarding, sequences)
+_PLANS = (points, guarding, sequences, outcomes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

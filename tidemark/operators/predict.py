@@ -46,7 +46,7 @@ def breaches(predictions: DataFrame, thresholds: DataFrame, recent: DataFrame, n
 
 def advanced(offsets: DataFrame, done: DataFrame) -> DataFrame:
     """Offsets after a cycle: new sensors are added, those with news move on. done: (sensor_id, newest)."""
-    j = offsets.join(done, "sensor_id", "full")
+    j = offsets.join(done.select("sensor_id", "newest"), "sensor_id", "full")
     return j.select("sensor_id", F.coalesce("newest", "last").alias("last"))
 
 
