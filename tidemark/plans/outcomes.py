@@ -145,8 +145,11 @@ def moving_average_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _average(spark, sf_dir)
 
 
-@query(f"""WITH {_AVERAGE}, {THRESHOLDS_SQL}, b AS (SELECT sensor_id, low AS wl, high AS wh FROM th WHERE id % 10 = 1), f AS (SELECT sensor_id, min(id) AS id FROM th WHERE id % 10 <> 1 OR sensor_id % 3 = 0 GROUP BY sensor_id),
-        rc AS (SELECT DISTINCT sensor_id FROM r WHERE event_type = 'error' AND t >= {NOW} - {48 * 3600 * S}),
+_SHORT = _AVERAGE.replace("place <= 60", "place <= 3")
+
+
+@query(f"""WITH {_SHORT}, {THRESHOLDS_SQL}, b AS (SELECT sensor_id, low AS wl, high AS wh FROM th WHERE id % 10 = 1), f AS (SELECT sensor_id, min(id) AS id FROM th WHERE id % 10 <> 1 OR sensor_id % 3 = 0 GROUP BY sensor_id),
+        rc AS (SELECT DISTINCT sensor_id FROM r WHERE event_type = 'error' AND t >= {NOW} - {36 * 3600 * S}),
         x AS (SELECT pd.*, th.id, th.condition_type, th.low, th.high, th.severity FROM pd JOIN f USING (sensor_id) JOIN th ON th.id = f.id)
     SELECT sensor_id, predicted_value, id AS threshold_id, CASE WHEN severity IN ('critical', 'warning') THEN severity ELSE 'notice' END AS event_type, 'PRED_THRESHOLD_BREACH' AS event_code, 'active' AS status
     FROM x LEFT JOIN (SELECT * FROM b WHERE sensor_id % 3 = 0) b USING (sensor_id) WHERE NOT (wl IS NOT NULL AND predicted_value >= wl AND predicted_value <= wh)
@@ -155,7 +158,8 @@ def moving_average_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prediction_threshold_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     th = thresholds(spark, sf_dir).where("id % 10 <> 1 or sensor_id % 3 = 0")
     recent = _readings(spark, sf_dir).where("event_type = 'error'").select("sensor_id", F.lit("PRED_THRESHOLD_BREACH").alias("event_code"), F.lit("acknowledged").alias("status"), F.col("t").alias("created_t"))
-    return predict.breaches(_average(spark, sf_dir), th, recent, NOW, 48 * 3600)
+    short = predict.moving_average(_readings(spark, sf_dir), 3).withColumn("predicted_value", F.round("predicted_value", 6))
+    return predict.breaches(short, th, recent, NOW, 36 * 3600)
 
 
 @query(f"""WITH {READINGS} SELECT sequence AS id, sensor_id, k / 100.0::DOUBLE AS anomaly_score, t + 600000000 AS target_t FROM r WHERE k % 2 = 0 AND k / 100.0 >= 0.8 AND k % 3 <> 0 ORDER BY target_t DESC, id DESC LIMIT 50""")
