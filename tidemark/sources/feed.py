@@ -9,7 +9,7 @@ import json
 import os
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 
 def _lines(path: str) -> Iterator[tuple[str, str]]:
@@ -35,7 +35,7 @@ class FeedSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return FeedReader(self.options["path"])
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802  the interface's name
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802  the interface's name
         return FeedStreamReader(self.options["path"])
 
 
@@ -54,17 +54,20 @@ class FeedReader(DataSourceReader):
         return _lines(os.path.join(self.folder, partition.value))
 
 
-class FeedStreamReader(SimpleDataSourceStreamReader):
+class FeedStreamReader(DataSourceStreamReader):
+    """The offset is the name of the last file taken; executors read the files, one to a partition."""
+
     def __init__(self, folder: str):
         self.folder = folder
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"after": ""}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple[str, str]], dict]:
-        new = [f for f in _files(self.folder) if f > start["after"]]
-        rows = (x for f in new for x in _lines(os.path.join(self.folder, f)))
-        return rows, {"after": new[-1] if new else start["after"]}
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"after": max(_files(self.folder), default="")}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [InputPartition(f) for f in _files(self.folder) if start["after"] < f <= end["after"]]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple[str, str]]:  # noqa: N802
-        return (x for f in _files(self.folder) if start["after"] < f <= end["after"] for x in _lines(os.path.join(self.folder, f)))
+    def read(self, partition: InputPartition) -> Iterator[tuple[str, str]]:
+        return _lines(os.path.join(self.folder, partition.value))
