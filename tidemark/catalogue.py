@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import guarding, outcomes, points, sequences
+from tidemark.plans import guarding, outcomes, points, sequences, upkeep
 
-_PLANS = (points, guarding, sequences, outcomes)
+_PLANS = (points, guarding, sequences, outcomes, upkeep)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
