@@ -71,14 +71,21 @@ def token_bytes(texts: list[str | None], path: str, end: int = 0) -> list[bytes]
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end: int = 0) -> DataFrame:
-    """(row, id, n, ids): of each row of docs a row number that is only told apart, its id, and its ids as bytes, with their number."""
+    """(row, id, n, ids): of each row of docs a row number that is only told apart, its id, and its ids as bytes, with their number.
+
+    Ids are 16-bit where all of the vocabulary's are, else 32-bit: so many bytes as len(ids) / n says.
+    """
 
     def run(batches):
+        small = max(_tokenizer(tokenizer_path)[0].get_vocab_size() - 1, end) < 1 << 16
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 ids = token_bytes(part.column(2).to_pylist(), tokenizer_path, end)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["row", id_col, "n", "ids"])
+                n = pa.array([len(x) // 4 for x in ids], pa.int64())
+                if small:
+                    ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n, pa.array(ids, pa.binary())], ["row", id_col, "n", "ids"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), id_col, text_col)
     return rows.mapInArrow(run, rows.select("row", id_col, F.lit(0).cast("long").alias("n"), F.lit(b"").alias("ids")).schema)
@@ -261,7 +268,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     folder = shared_folder(spark, "tokens")
-    tokenize(docs, tokenizer_path, id_col, text_col, end).write.parquet(folder)
+    tokenize(docs, tokenizer_path, id_col, text_col, end).write.option("compression", "zstd").parquet(folder)
     tokens = spark.read.parquet(folder)
 
     light = tokens.select("row", (F.col("n") % width).alias("rest"), F.expr(f"n div {width}").alias("whole"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"))
@@ -299,6 +306,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                         first, at = q.loose[rest]
                         pieces += cut_stream(at + (rank - first) * rest, rest, q)
                 start = 0
+                if len(ids) == 2 * n:
+                    ids = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
                 for length, sequence, offset in pieces:
                     for column, value in zip(out, (doc, start, length, ids[4 * start : 4 * (start + length)], n, sequence, offset)):
                         column.append(value)
