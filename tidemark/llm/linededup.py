@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
@@ -64,26 +64,11 @@ def _common(a: Column, b: Column) -> Column:
     return F.when(n > 0, walk).otherwise(F.lit(0))
 
 
-def _large_or_beside(marks: Column) -> Column:
-    """Of repeated chunks in order the large ones and those that directly precede or follow one."""
-
-    def of(all_: Column) -> Column:
-        def kept(m: Column, i: Column) -> Column:
-            left, right = F.when(i > 0, F.get(all_, i - 1)), F.get(all_, i + 1)
-            after = F.coalesce(left["large"] & (left["first"] + left["n"] == m["first"]), F.lit(False))
-            before = F.coalesce(right["large"] & (m["first"] + m["n"] == right["first"]), F.lit(False))
-            return m["large"] | after | before
-
-        return F.filter(all_, kept)
-
-    return let(marks, of)
-
-
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 2, long_line_words: int = 50) -> DataFrame:
     """(_ld_id, _ld_key, ranges): for each text with lines to remove an array of (start, end), places of lines from 0, end excluded.
 
     Chunks of several lines count, and those of one line if it has long_line_words words or more; other chunks that repeat
-    go only with such a one beside them.
+    go only in a run of repeated chunks with such a one.
     """
     keyed = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias(_ID), F.xxhash64(id_col, text_col).alias(_KEY), F.col(text_col).alias(_TEXT))
     each = keyed.select(_ID, _KEY, F.explode(chunks(F.col(_TEXT), window, divisor)).alias("c"))
@@ -93,9 +78,13 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = light.groupBy("h1", "h2").agg(F.min("at").alias("origin"), F.max("at").alias("last")).where(~F.col("origin").eqNullSafe(F.col("last")))
     groups = cut(groups.select("h1", "h2", "origin"))
     hits = light.join(groups, ["h1", "h2"])
-    marks = hits.select(F.col(f"at.{_ID}").alias(_ID), F.col(f"at.{_KEY}").alias(_KEY), F.struct(F.col("at.first").alias("first"), "n", "large", "h1", "h2", F.col("at").eqNullSafe(F.col("origin")).alias("origin")).alias("m"))
-    marks = marks.groupBy(_ID, _KEY).agg(F.sort_array(F.collect_set("m")).alias("marks"))
-    marks = cut(marks.withColumn("marks", _large_or_beside(F.col("marks"))).where(F.size("marks") > 0))
+    hits = hits.select(F.col(f"at.{_ID}").alias(_ID), F.col(f"at.{_KEY}").alias(_KEY), F.col("at.first").alias("first"), "n", "large", "h1", "h2", F.col("at").eqNullSafe(F.col("origin")).alias("origin")).distinct()
+    # runs of repeated chunks that follow each other directly; a run goes if a large chunk is in it
+    text = Window.partitionBy(_ID, _KEY)
+    follows = F.lag(F.col("first") + F.col("n")).over(text.orderBy("first"))
+    hits = hits.withColumn("run", F.sum(F.when(follows == F.col("first"), 0).otherwise(1)).over(text.orderBy("first")))
+    hits = hits.withColumn("any", F.max("large").over(Window.partitionBy(_ID, _KEY, "run"))).where("any")
+    marks = cut(hits.groupBy(_ID, _KEY).agg(F.collect_list(F.struct("first", "h1", "h2", "origin")).alias("marks")))
 
     # The texts of repeated chunks with the lines around them, of each key once.
     held = keyed.alias("t").join(marks.alias("m"), F.col(f"t.{_ID}").eqNullSafe(F.col(f"m.{_ID}")) & (F.col(f"t.{_KEY}") == F.col(f"m.{_KEY}")))
