@@ -54,13 +54,11 @@ def iot_classified(rows: DataFrame, ranges: DataFrame, spikes: dict[str, float |
     r = r.withColumn("_open", F.col("_good") & (F.col("_n") >= warm_up))
     r = r.withColumn("_out", guards.below_or_above(F.col("value"), F.col("low"), F.col("high")))
     # rows that are invalid or blocked don't touch the count of violations
-    touched = history.consecutive(r.where("_open"), KEYS, ORDER, F.col("_out"))
-    r = touched.unionByName(r.where("not _open").withColumn("consecutive", F.lit(0).cast("long")))
+    r = history.consecutive(r, KEYS, ORDER, F.col("_out"), counts=F.col("_open"))
     r = with_spike(with_previous(r, F.col("_out") | ~F.col("_good"), fresh_seconds), spikes)
     band = rules.within_band(F.col("value"), F.col("warning_min"), F.col("warning_max"))
     r = r.withColumn("_spike", F.col("_open") & ~F.col("_out") & ~F.coalesce(band, F.lit(False)) & (F.coalesce(F.size("triggered"), F.lit(0)) > 0))
-    told = folds.spaced(r.where("_spike"), KEYS, "t", cooldown_seconds, ORDER, "_told")
-    r = told.unionByName(r.where("not _spike").withColumn("_told", F.lit(False)))
+    r = folds.spaced(r, KEYS, "t", cooldown_seconds, ORDER, "_told", only="_spike")
     why = (
         F.when(~F.col("_good"), "invalid").when(~F.col("_open"), "warming_up")
         .when(F.col("_out"), F.when(F.col("consecutive") >= required, "out_of_range").otherwise("out_of_range_pending"))

@@ -45,11 +45,12 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], inputs: list[str],
 _ARROW = {"boolean": pa.bool_(), "string": pa.string(), "long": pa.int64(), "int": pa.int32()}
 
 
-def spaced(rows: DataFrame, keys: list[str], time_col: str, seconds: float, order: list[str], name: str = "accepted") -> DataFrame:
+def spaced(rows: DataFrame, keys: list[str], time_col: str, seconds: float, order: list[str], name: str = "accepted", only: str | None = None) -> DataFrame:
     """rows with a flag: the first row of a key is accepted, and each that comes `seconds` or more after the last accepted one.
 
     This is the throttle of publishing, the cooldown of spikes, deduplication with a life time, and that of events and
-    notifications. Times are microseconds; a row without one is accepted and changes nothing.
+    notifications. Times are microseconds; a row without one is accepted and changes nothing. only: a boolean column; rows
+    where it isn't true are passed over, with a false flag.
     """
     gap = int(seconds * K.SECOND)
     kept = rows.columns
@@ -62,9 +63,12 @@ def spaced(rows: DataFrame, keys: list[str], time_col: str, seconds: float, orde
             missing = t.is_null().to_numpy(zero_copy_only=False)
             micros = t.fill_null(0).to_numpy()
             out = np.zeros(len(own), bool)
+            looked_at = np.ones(len(own), bool) if only is None else b.column(b.schema.names.index(only)).fill_null(False).to_numpy(zero_copy_only=False)
             for i, k in enumerate(own):
                 if k != key:
                     key, last = k, None
+                if not looked_at[i]:
+                    continue
                 if missing[i] or last is None or micros[i] - last >= gap:
                     out[i] = True
                     last = last if missing[i] else micros[i]

@@ -25,12 +25,13 @@ def last_where(value: Column, where: Column, w: WindowSpec) -> Column:
     return F.last(F.when(where, value), ignorenulls=True).over(w)
 
 
-def consecutive(rows: DataFrame, keys: list[str], order: list[str], hit: Column, name: str = "consecutive") -> DataFrame:
-    """rows with the number of hits in a row up to each; 0 where there is none."""
-    misses = F.sum(F.when(hit, 0).otherwise(1)).over(upto(keys, order))
-    marked = rows.withColumn("_island", misses).withColumn("_hit", F.coalesce(hit, F.lit(False)))
+def consecutive(rows: DataFrame, keys: list[str], order: list[str], hit: Column, name: str = "consecutive", counts: Column | None = None) -> DataFrame:
+    """rows with the number of hits in a row up to each; 0 where there is none. Rows that don't count neither add to a run nor end it."""
+    counts = F.lit(True) if counts is None else F.coalesce(counts, F.lit(False))
+    marked = rows.withColumn("_counts", counts).withColumn("_hit", F.col("_counts") & F.coalesce(hit, F.lit(False)))
+    marked = marked.withColumn("_island", F.sum(F.when(F.col("_counts") & ~F.col("_hit"), 1).otherwise(0)).over(upto(keys, order)))
     count = F.sum(F.col("_hit").cast("int")).over(upto([*keys, "_island"], order))
-    return marked.withColumn(name, F.when(F.col("_hit"), count).otherwise(0).cast("long")).drop("_island", "_hit")
+    return marked.withColumn(name, F.when(F.col("_hit"), count).otherwise(0).cast("long")).drop("_counts", "_island", "_hit")
 
 
 def newest(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
