@@ -19,6 +19,8 @@ from tidemark.llm.common import held_out
 SIZES = (2, 3, 4)
 #: Characters that are worked on at once; longer texts span several blocks.
 BLOCK = 1 << 19
+#: Parts that the documents of one language are dealt into when the sample is drawn.
+SALTS = 1024
 _LETTER: np.ndarray | None = None
 
 
@@ -144,8 +146,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     names = tuple(r[0] for r in langs.collect())
     if not names:
         return LanguageFilter((), np.zeros(1024, np.uint64), 3, np.zeros(0))
-    order = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
-    chosen = rows.where(F.col("l").isin(*names)).select("i", "l").withColumn("n", F.row_number().over(order)).where(F.col("n") <= most_docs).select("i", "l").distinct()
+    chosen = rows.where(F.col("l").isin(*names)).select("i", "l").withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(SALTS)))
+    for keys in (["l", "salt"], ["l"]):  # a language may have a third of all rows: first the smallest of each of its parts
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("i"), "i")
+        chosen = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most_docs).drop("n")
+    chosen = chosen.select("i", "l").distinct()
     sample = rows.join(F.broadcast(chosen), ["i", "l"], "left_semi")
 
     def count(batches):
