@@ -42,7 +42,8 @@ class PivotTable:
         order = np.argsort(ids, kind="stable")
         self.ids, self.x, self.pivots = ids[order], x[order], pivots
         self.square = (self.x**2).sum(1)
-        self.far = self._distances(self.x)  # one row per pivot
+        self.far = self._distances(self.x).astype(np.float32)  # one row per pivot; the bound allows for the rounding
+        self.slack, self.reach = 1e-5, np.sqrt(self.square) + (np.sqrt((pivots**2).sum(1).max()) if len(pivots) else 0.0)
         self.evaluated = 0
 
     def _distances(self, x: np.ndarray) -> np.ndarray:
@@ -50,18 +51,18 @@ class PivotTable:
 
     def search(self, own: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
         """(id, score) of the k rows with the highest scores, ties to smaller ids; the row with the query's own id is no candidate."""
-        least = np.zeros(len(self.ids))
+        least = np.zeros(len(self.ids), np.float32)
         gap = np.empty_like(least)
-        for far, d in zip(self.far, self._distances(q[None])[:, 0]):
+        for far, d in zip(self.far, self._distances(q[None])[:, 0].astype(np.float32)):
             np.abs(np.subtract(far, d, out=gap), out=gap)
             np.maximum(least, gap, out=least)
         size = float((q**2).sum())
-        most = (size + self.square - np.clip(least - 1e-9 * (math.sqrt(size) + np.sqrt(self.square)) - 1e-9, 0, None) ** 2) / 2
+        most = (size + self.square - np.clip(least - self.slack * (math.sqrt(size) + self.reach), 0, None) ** 2) / 2
         most[np.searchsorted(self.ids, own) : np.searchsorted(self.ids, own, "right")] = -np.inf
         best = np.zeros(0, np.int64), np.zeros(0)  # places of rows and their scores, best first
         done, step = 0, max(256, 4 * k)
         n = int(np.isfinite(most).sum())
-        order = np.zeros(0, np.int64)
+        order, every = np.zeros(0, np.int64), None
         while done < n:
             if done >= len(order):  # the next rows by bound: ever more of them are put in order
                 m = min(len(most), max(8 * step, 8 * len(order)))
@@ -70,9 +71,15 @@ class PivotTable:
             at = order[done : min(done + step, n)]
             if len(best[0]) == k and most[at[0]] < best[1][-1] - 0.5:
                 break  # scores are whole numbers
-            done += len(at)
+            done, step = done + len(at), 2 * step
             self.evaluated += len(at)
-            row, score = np.r_[best[0], at], np.r_[best[1], self.x[at] @ q]
+            if every is None and done > len(most) // 8:
+                every = self.x @ q  # one product over all rows costs less than gathering many of them
+            score = self.x[at] @ q if every is None else every[at]
+            if len(best[0]) == k:
+                good = score >= best[1][-1]
+                at, score = at[good], score[good]
+            row, score = np.r_[best[0], at], np.r_[best[1], score]
             keep = np.lexsort((self.ids[row], -score))[:k]
             best = row[keep], score[keep]
         return [(int(self.ids[r]), int(s)) for r, s in zip(*best)]
@@ -104,7 +111,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     groups = max(spark.sparkContext.defaultParallelism, math.ceil((top["n"] if top else 0) / group_rows))
     here = held.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("kind"), "id", "v")
     asked = rows(queries).where(F.size("v") == dims).select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(1).alias("kind"), "id", "v")
-    met = here.unionByName(asked).repartition(groups, "g").sortWithinPartitions("g", "kind")
+    met = here.unionByName(asked).repartitionByRange(groups, "g").sortWithinPartitions("g", "kind")
 
     def search(batches):
         at, parts, pivot_table = None, [], None
