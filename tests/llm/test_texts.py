@@ -248,3 +248,42 @@ def test_line_columns_clash(spark):
         linededup.remove_repeated(df)
     assert linededup.remove_repeated(df, removed_col=None).columns == df.columns
     assert linededup.remove_repeated(df.limit(0), removed_col=None).count() == 0
+
+
+def lines_in_earlier_passages(rows, long_words=50):
+    """By brute force: for each (id, text) the places of lines in a pair of lines, or a long line, that stood earlier already."""
+    seen, out = set(), {}
+    for doc, text in sorted(rows):
+        lines, gone = text.split("\n"), set()
+        at = [i for i, x in enumerate(lines) if x.strip()]
+        for a, b in [*zip(at, at[1:]), *((i, i) for i in at if len(lines[i].split()) >= long_words)]:
+            passage = tuple(lines[a : b + 1])
+            if passage in seen:
+                gone |= set(range(a, b + 1))
+            seen.add(passage)
+        out[doc] = gone
+    return out
+
+
+def test_every_repeated_passage_goes(spark):
+    r = random.Random(9)
+    own = lambda n: " ".join(f"{r.choice('abcdefgh')}{r.randrange(10**6)}" for _ in range(n))
+    passages = [[own(r.choice((20, 60, 120))) for _ in range(r.randrange(1, 4))] for _ in range(30)] + [[own(120)], [own(30), "", own(30)]]
+    passages = [p for p in passages if len(p) > 1 or len(p[0].split()) >= 50]
+    rows = []
+    for doc in range(120):  # each passage stands between own lines, of which a text has none to three on each side
+        lines = [own(r.choice((1, 8, 42))) for _ in range(r.randrange(4))] + r.choice(passages) + [own(r.choice((1, 8, 42))) for _ in range(r.randrange(4))]
+        rows.append((doc, "\n".join(lines)))
+    want = lines_in_earlier_passages(rows)
+    assert sum(map(len, want.values())) > 120
+    got = clean(spark, [(d, t, "") for d, t in rows])
+    for doc, text in rows:
+        left = [x for i, x in enumerate(text.split("\n")) if i not in want[doc]]
+        assert got[(doc, "")] == ("\n".join(left), len(want[doc]))
+
+
+def test_no_repeated_passage_of_the_table_stays(spark, sf_dir):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if r["text"]]
+    got = {r["doc_id"]: r for r in queries.op3_line_dedup(spark, sf_dir).collect()}
+    for doc, gone in lines_in_earlier_passages(rows).items():
+        assert got[doc]["removed_lines"] >= len(gone)

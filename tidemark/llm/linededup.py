@@ -1,11 +1,14 @@
-"""Removes passages of lines that stand elsewhere already, by content-defined chunks of lines.
+"""Removes passages of lines that stand elsewhere already: every passage of two lines or more, or of one long line.
 
-A boundary follows a line where the rolling hash over the last line hashes says so, so chunks of a shared passage agree
-wherever it stands. Chunks that repeat in all of the table are compared with their first occurrence byte by byte, and a
-match is grown line by line into its neighbour chunks. All of it is DataFrame expressions.
+A passage of two lines or more is held by its pairs of lines that follow each other (blank lines between two lines belong
+to the pair), so pairs and long lines that repeat in all of the table are all that must be found: no boundary takes foreign
+lines in. Beside them stand content-defined chunks of one short line, cut where the rolling hash over the last line hashes
+says so; they go only next to such a passage. What repeats is compared with its first occurrence byte by byte. All of it is
+DataFrame expressions.
 
 Decisions: the first occurrence, by (id, hash of the text, place), stays. Rows with equal id and text count as one
 occurrence and get equal results. Null and empty texts stay as they are. A null id sorts first. Extra columns pass through.
+Blank lines alone are no passage; a text that keeps only blank lines loses them too.
 """
 
 from __future__ import annotations
@@ -25,14 +28,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _starts(lines: Column, window: int, divisor: int) -> Column:
-    """The places (from 0) of lines that begin a chunk."""
+def _begins(h: Column, window: int, divisor: int) -> Callable[[Column], Column]:
+    """Whether the line at a place (from 0) begins a chunk, by the hashes of the lines before it."""
+    rolled = lambda i: F.xxhash64(*(F.get(h, i - k) for k in range(window, 0, -1)))
+    return lambda i: (i == 0) | (F.pmod(rolled(i), F.lit(divisor)) == 0)
 
-    def found(h: Column) -> Column:
-        rolled = lambda i: F.xxhash64(*(F.get(h, i - k) for k in range(window, 0, -1)))  # noqa: E731  of the lines before place i
-        return F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.pmod(rolled(i), F.lit(divisor)) == 0))
 
-    return let(F.transform(lines, lambda x: F.xxhash64(x)), found)
+def _starts(lines: Column, window: int, divisor: int) -> Column:
+    """The places (from 0) of lines that begin a chunk."""
+    return let(F.transform(lines, lambda x: F.xxhash64(x)), lambda h: F.filter(F.sequence(F.lit(0), F.size(h) - 1), _begins(h, window, divisor)))
 
 
 def _words(x: Column) -> Column:
@@ -57,67 +61,74 @@ def chunks(text: Column, window: int = 2, divisor: int = 2) -> Column:
     return let(F.split(text, "\n", -1), cut_up)
 
 
-def _common(a: Column, b: Column) -> Column:
-    """How many elements at the beginning of two arrays are equal."""
-    n = F.least(F.size(a), F.size(b))
-    walk = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda so_far, i: F.when((so_far == i - 1) & (F.get(a, i - 1) == F.get(b, i - 1)), i).otherwise(so_far))
-    return F.when(n > 0, walk).otherwise(F.lit(0))
+def _units(text: Column, window: int, divisor: int, long_line_words: int) -> Column:
+    """An array of (first: place of the first line, n: number of lines, large, h1, h2: hashes) for a text that isn't null.
+
+    Pairs of lines with the blank ones between them, and long lines, are large; chunks of one short line aren't.
+    """
+
+    def of(lines: Column) -> Column:
+        def hashed(h: Column) -> Column:
+            begins, places = _begins(h, window, divisor), F.sequence(F.lit(0), F.size(lines) - 1)
+            long_line = lambda i: F.when(F.length(F.get(lines, i)) >= 2 * long_line_words - 1, _words(F.get(lines, i)) >= long_line_words).otherwise(False)
+            alone = lambda i: begins(i) & ((i + 1 == F.size(lines)) | begins(i + 1))
+            pairs = lambda at: F.transform(F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))), lambda i, k: F.struct(i.alias("first"), (F.get(at, k + 1) - i + 1).alias("n"), F.lit(True).alias("large")))
+            ones = lambda at: F.filter(F.transform(at, lambda i: F.struct(i.alias("first"), F.lit(1).alias("n"), long_line(i).alias("large"))), lambda u: u["large"] | alone(u["first"]))
+            units = let(F.filter(places, lambda i: F.get(lines, i).rlike(r"\S")), lambda at: F.concat(pairs(at), ones(at)))
+            # the second hash is over other bits than the first, not over the first
+            other = F.transform(lines, lambda x: F.hash(x))
+            return let(other, lambda o: F.transform(units, lambda u: F.struct(u["first"].alias("first"), u["n"].alias("n"), u["large"].alias("large"), F.xxhash64(F.slice(h, u["first"] + 1, u["n"])).alias("h1"), F.hash(F.slice(o, u["first"] + 1, u["n"])).alias("h2"))))
+
+        return let(F.transform(lines, lambda x: F.xxhash64(x)), hashed)
+
+    return let(F.split(text, "\n", -1), of)
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """rows (id, key, start, end, ...) with run: one number for rows of a text that overlap or touch; covered: whether earlier rows hold all of the row."""
+    order = Window.partitionBy(_ID, _KEY).orderBy("start", F.desc("end"))
+    rows = rows.withColumn("upto", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("start") <= F.col("upto"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumn("covered", F.coalesce(F.col("end") <= F.col("upto"), F.lit(False))).drop("upto")
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 2, long_line_words: int = 50) -> DataFrame:
     """(_ld_id, _ld_key, ranges): for each text with lines to remove an array of (start, end), places of lines from 0, end excluded.
 
-    Chunks of several lines count, and those of one line if it has long_line_words words or more; other chunks that repeat
-    go only in a run of repeated chunks with such a one.
+    All passages of two lines or more go, and lines of long_line_words words or more; other chunks that repeat
+    go only in a run of repeated lines with such a one.
     """
     keyed = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias(_ID), F.xxhash64(id_col, text_col).alias(_KEY), F.col(text_col).alias(_TEXT))
-    each = keyed.select(_ID, _KEY, F.explode(chunks(F.col(_TEXT), window, divisor)).alias("c"))
-    large = (F.col("c.n") > 1) | (_words(F.col("c.text")) >= long_line_words)
-    place = F.struct(F.col(_ID), F.col(_KEY), F.col("c.first").alias("first"))
-    light = each.select(place.alias("at"), F.col("c.n").alias("n"), large.alias("large"), F.xxhash64("c.text").alias("h1"), F.hash("c.text").alias("h2"))
+    each = keyed.select(_ID, _KEY, F.inline(_units(F.col(_TEXT), window, divisor, long_line_words)))
+    light = each.select(F.struct(_ID, _KEY, "first", "n").alias("at"), "large", "h1", "h2")
     groups = light.groupBy("h1", "h2").agg(F.min("at").alias("origin"), F.max("at").alias("last")).where(~F.col("origin").eqNullSafe(F.col("last")))
     groups = cut(groups.select("h1", "h2", "origin"))
-    hits = light.join(groups, ["h1", "h2"])
-    hits = hits.select(F.col(f"at.{_ID}").alias(_ID), F.col(f"at.{_KEY}").alias(_KEY), F.col("at.first").alias("first"), "n", "large", "h1", "h2", F.col("at").eqNullSafe(F.col("origin")).alias("origin")).distinct()
-    # runs of repeated chunks that follow each other directly; a run goes if a large chunk is in it
-    text = Window.partitionBy(_ID, _KEY)
-    follows = F.lag(F.col("first") + F.col("n")).over(text.orderBy("first"))
-    hits = hits.withColumn("run", F.sum(F.when(follows == F.col("first"), 0).otherwise(1)).over(text.orderBy("first")))
-    hits = hits.withColumn("any", F.max("large").over(Window.partitionBy(_ID, _KEY, "run"))).where("any")
-    marks = cut(hits.groupBy(_ID, _KEY).agg(F.collect_list(F.struct("first", "h1", "h2", "origin")).alias("marks")))
-
-    # The texts of repeated chunks with the lines around them, of each key once.
+    hits = light.join(groups, ["h1", "h2"]).where(~F.col("at").eqNullSafe(F.col("origin")))
+    hits = hits.select(F.col(f"at.{_ID}").alias(_ID), F.col(f"at.{_KEY}").alias(_KEY), F.col("at.first").alias("start"), (F.col("at.first") + F.col("at.n")).alias("end"), "large", "h1", "h2").distinct()
+    # a run of copies goes if a large one is in it
+    hits = _runs(hits).withColumn("any", F.max("large").over(Window.partitionBy(_ID, _KEY, "run"))).where("any and not covered")
+    hits = cut(hits.select(_ID, _KEY, "start", "end", "h1", "h2"))
+    first = groups.join(hits.select("h1", "h2").distinct(), ["h1", "h2"])
+    first = first.select(f"origin.{_ID}", f"origin.{_KEY}", F.col("origin.first").alias("start"), (F.col("origin.first") + F.col("origin.n")).alias("end"), "h1", "h2", F.lit(True).alias("origin"))
+    marks = hits.withColumn("origin", F.lit(False)).unionByName(first).groupBy(_ID, _KEY).agg(F.collect_list(F.struct("start", "end", "h1", "h2", "origin")).alias("marks"))
+
+    # The texts of what repeats, of each key once.
     held = keyed.alias("t").join(marks.alias("m"), F.col(f"t.{_ID}").eqNullSafe(F.col(f"m.{_ID}")) & (F.col(f"t.{_KEY}") == F.col(f"m.{_KEY}")))
     held = held.select(f"t.{_ID}", f"t.{_KEY}", "t." + _TEXT, "m.marks")
 
-    def around(text: Column, marked: Column) -> Column:
-        def of(lines: Column) -> Column:
-            def at(starts: Column) -> Column:
-                def one(m: Column) -> Column:
-                    k = F.array_position(starts, m["first"]).cast("int")  # from 1
-                    begin, end = m["first"], F.coalesce(F.get(starts, k), F.size(lines))
-                    before = F.when(k > 1, F.slice(lines, F.get(starts, k - 2) + 1, begin - F.get(starts, k - 2))).otherwise(F.array().cast("array<string>"))
-                    after_end = F.coalesce(F.get(starts, k + 1), F.size(lines))
-                    after = F.when(end < F.size(lines), F.slice(lines, end + 1, after_end - end)).otherwise(F.array().cast("array<string>"))
-                    return F.struct(
-                        m["h1"].alias("h1"), m["h2"].alias("h2"), m["origin"].alias("origin"), begin.alias("start"), end.alias("end"),
-                        F.array_join(F.slice(lines, begin + 1, end - begin), "\n").alias("text"), F.reverse(before).alias("before"), after.alias("after"),
-                    )
-
-                return F.transform(marked, one)
-
-            return let(_starts(lines, window, divisor), at)
-
-        return let(F.split(text, "\n", -1), of)
+    def marked(lines: Column) -> Column:
+        return F.transform(
+            F.col("marks"),
+            lambda m: F.struct(m["h1"].alias("h1"), m["h2"].alias("h2"), m["origin"].alias("origin"), m["start"].alias("start"), m["end"].alias("end"), F.array_join(F.slice(lines, m["start"] + 1, m["end"] - m["start"]), "\n").alias("text")),
+        )
 
-    regions = held.select(_ID, _KEY, F.inline(around(F.col(_TEXT), F.col("marks"))))
-    regions = cut(regions)
+    regions = cut(held.select(_ID, _KEY, F.inline(let(F.split(F.col(_TEXT), "\n", -1), marked))))
     copies = regions.where(~F.col("origin")).alias("x")
     # an origin with several equal rows is there several times: one is enough
-    origins = cut(regions.where("origin").groupBy("h1", "h2").agg(F.first(F.struct("text", "before", "after")).alias("o"))).alias("y")
-    same = copies.join(origins, ["h1", "h2"]).where("x.text = y.o.text")
-    grown = same.select(_ID, _KEY, F.struct((F.col("start") - _common(F.col("x.before"), F.col("o.before"))).alias("start"), (F.col("end") + _common(F.col("x.after"), F.col("o.after"))).alias("end")).alias("r"))
-    return grown.groupBy(_ID, _KEY).agg(F.collect_set("r").alias("ranges"))
+    origins = cut(regions.where("origin").groupBy("h1", "h2").agg(F.first("text").alias("o"))).alias("y")
+    same = copies.join(origins, ["h1", "h2"]).where("x.text = y.o").select(_ID, _KEY, "start", "end")
+    whole = _runs(same).groupBy(_ID, _KEY, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return whole.groupBy(_ID, _KEY).agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 2, long_line_words: int = 50, removed_col: str | None = "removed_lines") -> DataFrame:
@@ -131,6 +142,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.split(F.col(f"d.{text_col}"), "\n", -1),
         lambda lines: F.filter(lines, lambda _, i: ~F.exists(F.col("r.ranges"), lambda r: (r["start"] <= i) & (i < r["end"]))),
     )
+    kept = let(kept, lambda lines: F.when(F.exists(lines, lambda x: x.rlike(r"\S")), lines).otherwise(F.array().cast("array<string>")))
     text = F.when(F.col("r.ranges").isNull(), F.col(f"d.{text_col}")).otherwise(F.array_join(kept, "\n"))
     out = joined.select(*(text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns), *([(_lines(F.col(f"d.{text_col}")) - F.when(F.size(kept) == 0, 0).otherwise(F.size(kept))).alias("_n"), F.col("r.ranges").isNull().alias("_whole")] if removed_col else []))
     if not removed_col:
