@@ -13,17 +13,25 @@ from tidemark.llm import langid, linededup, packing, simhash, toxicity
 from tidemark.llm.common import shared_folder, table
 from tidemark.llm.queries import piece_digests, vocabulary
 
-#: A document goes if no language is known for it, or if the best one has less of its n-grams than this share
-#: of the best two.
-LEAST_LANGUAGE_SCORE = 0.5
+#: A document goes if the best language has less of its n-grams than this share of the best two,
+LEAST_LANGUAGE_SCORE = 0.52
+#: if that language knows less of them than this part of what is usual for it (1 on clean text, 0.1 on random letters),
+LEAST_USUAL_SHARE = 0.5
+#: or no more than this many standard deviations over what chance gives.
+LEAST_DEVIATIONS = 4.0
 LEAST_TOXICITY = 0.5
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of unknown language: those without a letter, and those that no language fits better than the next."""
+    """Drops documents of unknown language: without a letter, with too few n-grams that the best language knows, or with no language that fits better than the next."""
     model = langid.fit(docs)
-    found = langid.identify(docs, model, lang_col="_lang", score_col="_score")
-    return found.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    usual = langid.usual_shares(docs, model)
+    found = langid.identify(docs, model, lang_col="_lang", score_col="_score", evidence_cols=("_share", "_deviations"))
+    least = F.lit(LEAST_USUAL_SHARE)
+    for lang, share in usual.items():  # at most as many as fit() keeps
+        least = F.when(F.col("_lang") == lang, LEAST_USUAL_SHARE * share).otherwise(least)
+    evident = (F.col("_score") >= LEAST_LANGUAGE_SCORE) & (F.col("_share") >= least) & (F.col("_deviations") > LEAST_DEVIATIONS)
+    return found.where((F.col("_lang") != "und") & evident).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -223,3 +223,16 @@ def test_pipeline_on_odd_rows(spark, sf_dir):
         for _, stage in corpus_pipeline.STAGES:
             docs = common.cut(stage(spark, docs, sf_dir))
         docs.count()
+
+
+def test_unknown_languages_go_and_clean_documents_stay(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = random.Random(4)
+    letters = lambda chars, n: " ".join("".join(r.choice(chars) for _ in range(r.randrange(3, 10))) for _ in range(n))
+    odd = [(-1 - k, letters(chars, n), None) for k, (chars, n) in enumerate((c, n) for c in ("αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзиклмнопрстуфхцч", "abcdefghijklmnopqrstuvwxyz") for n in (5, 20, 100, 1000) for _ in range(10))]
+    rows = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    kept = {x["doc_id"] for x in corpus_pipeline.keep_known_languages(spark, rows, "").collect()}
+    assert not {k for k, _, _ in odd} & kept
+    clean = [x["doc_id"] for x in docs.where("size(split(text, ' ')) >= 20").select("doc_id").collect()]
+    assert len(set(clean) & kept) >= 0.99 * len(clean)

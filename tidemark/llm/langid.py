@@ -114,6 +114,11 @@ class LanguageFilter:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The language and a score of 0 to 1 for each text; und, 0 for a null or a text without letters."""
+        return self.measure(texts)[:2]
+
+    def measure(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """What predict gives, and the evidence for the language: the share of the text's n-grams that it holds, without the
+        expected false positives, and how many standard deviations of these that is. N-grams of all languages don't count."""
         hits, total, letters = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts)), np.zeros(len(texts))
         every = np.uint64((1 << len(self.languages)) - 1) if len(self.languages) > 1 else ~np.uint64(0)
         for c, doc in _blocks(texts):
@@ -132,7 +137,10 @@ class LanguageFilter:
         true[np.arange(len(texts)), best] = -1
         second = np.clip(true.max(1), 0, None) if len(self.languages) > 1 else np.zeros(len(texts))
         score = np.where(first + second > 0, first / np.maximum(first + second, 1e-12), 0.0)
-        return ["und" if not n else self.languages[k] for n, k in zip(letters, best)], np.where(letters > 0, score, 0.0)
+        p = wrong[best]
+        share = first / np.maximum(total, 1)
+        deviations = first * (1 - p) / np.sqrt(np.maximum(total * p * (1 - p), 1e-12))
+        return ["und" if not n else self.languages[k] for n, k in zip(letters, best)], np.where(letters > 0, score, 0.0), share, np.where(total > 0, deviations, 0.0)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = 1500, most_grams: int = 12000, most_langs: int = 64) -> LanguageFilter:
@@ -168,9 +176,26 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return LanguageFilter.build(names, {name: g[k == i] for i, name in enumerate(names)})
 
 
-def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
-    """docs with two more columns: the predicted language and its score. Extra columns pass through; clashing names raise."""
-    for c in (lang_col, score_col):
+def usual_shares(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text_col: str = "text", most_docs: int = 2000) -> dict[str, float]:
+    """Of each language the median share of known n-grams, over the most_docs held-out documents with the smallest id hashes."""
+    held = docs.where(held_out(id_col) & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = held.orderBy(F.xxhash64(id_col), id_col).limit(most_docs).select(F.substring(text_col, 1, 4000)).collect()
+    if not rows or not model.languages:
+        return {}
+    langs, scores, shares, _ = model.measure([r[0] for r in rows])
+    found: dict[str, list[float]] = {}
+    for lang, score, share in zip(langs, scores, shares):
+        if score > 0:
+            found.setdefault(lang, []).append(float(share))
+    return {lang: float(np.median(x)) for lang, x in found.items()}
+
+
+def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "lang_score", evidence_cols: tuple[str, str] | None = None) -> DataFrame:
+    """docs with two more columns: the predicted language and its score. Extra columns pass through; clashing names raise.
+
+    evidence_cols names two more, if wanted: the share of known n-grams and its standard deviations over chance.
+    """
+    for c in (lang_col, score_col, *(evidence_cols or ())):
         if c in docs.columns:
             raise ValueError(f"docs has a column {c} already")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit()
@@ -179,9 +204,10 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", lan
     def run(batches):
         for b in batches:
             if shared.value.languages:
-                lang, score = shared.value.predict(b.column(at).to_pylist())
+                lang, score, *evidence = shared.value.measure(b.column(at).to_pylist())
             else:
-                lang, score = ["und"] * b.num_rows, np.zeros(b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score)], [*b.schema.names, lang_col, score_col])
+                lang, score, *evidence = ["und"] * b.num_rows, *np.zeros((3, b.num_rows))
+            more = [pa.array(x) for x in evidence] if evidence_cols else []
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score), *more], [*b.schema.names, lang_col, score_col, *(evidence_cols or ())])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit("").alias(lang_col), F.lit(0.0).alias(score_col)).schema)
+    return docs.mapInArrow(run, docs.select("*", F.lit("").alias(lang_col), F.lit(0.0).alias(score_col), *(F.lit(0.0).alias(c) for c in evidence_cols or ())).schema)
