@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, linededup, packing, simhash, toxicity
+from tidemark.llm import langid, linededup, packing, similar, toxicity
 from tidemark.llm.common import shared_folder, table
 from tidemark.llm.queries import piece_digests, vocabulary
 
@@ -50,8 +50,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group of near duplicates (Jaccard similarity of five-word shingles 0.8 or more) the document with the smallest id stays."""
+    return similar.drop_near_duplicates(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

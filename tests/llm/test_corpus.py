@@ -236,3 +236,43 @@ def test_unknown_languages_go_and_clean_documents_stay(spark):
     assert not {k for k, _, _ in odd} & kept
     clean = [x["doc_id"] for x in docs.where("size(split(text, ' ')) >= 20").select("doc_id").collect()]
     assert len(set(clean) & kept) >= 0.99 * len(clean)
+
+
+def test_stage_drops_copies_at_jaccard_08_and_more(spark, sf_dir):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(10**5)}"
+    rows, k = [(None, "", 1), (5000, None, 2), (5001, "a b c", 3), (5002, "A  b c", 4), (5003, "a b d", 5)], 0
+    rows += [(9000, " ".join(str(x) for x in range(80)), 6), (None, " ".join(str(x) for x in range(79)), 7)]
+    for n in (8, 40, 150, 400):
+        for share in (0.002, 0.01, 0.02, 0.03, 0.05):
+            for _ in range(6):  # copies of copies too
+                words = [word() for _ in range(n)]
+                for _ in range(3):
+                    rows.append((k, " ".join(words), 0))
+                    k += 1
+                    words = [word() if r.random() < share else w for w in words]
+    base = [word() for _ in range(60)]
+    for _ in range(120):  # one large group, and a line that many have
+        words = list(base)
+        words[r.randrange(60)] = word()
+        rows += [(k, " ".join(words), 0), (k + 1, " ".join(base[:9] + [word() for _ in range(30)]), 0)]
+        k += 2
+    def shingles(t):
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    at = {i: shingles(t) for i, (_, t, _) in enumerate(rows)}
+    near, lost = [], 0
+    for a, b in combinations(at, 2):
+        both = len(at[a] & at[b])
+        if 5 * both >= 4 * (len(at[a]) + len(at[b]) - both):
+            near.append((a, b))
+            lost += (plain_fingerprint(rows[a][1] or "") ^ plain_fingerprint(rows[b][1] or "")).bit_count() > 4
+    assert lost > 50  # pairs that four bits don't find
+    groups = {}
+    for i, root in components(near, at).items():
+        groups.setdefault(root, []).append(rows[i][0])
+    want = {min((x for x in ids if x is not None), default=None) for ids in groups.values()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int")
+    got = [x["doc_id"] for x in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
