@@ -1,46 +1,61 @@
-"""SimHash fingerprints and a Gray-order hierarchical index that links those within a few bits of each other.
+"""SimHash fingerprints, a Gray-order hierarchical index that links those within a few bits of each other, and near duplicates.
 
-Every distinct fingerprint is routed by the agreeing blocks of bits that any two within the distance must share. Within
-a route, fingerprints sort by Gray rank; runs of them become the leaves of a tree whose nodes keep the bits that all of
-their members agree on. Two nodes whose agreed bits differ in too many places are dropped with all that is below them.
+Fingerprints lie in Gray order, where neighbours share most bits. Runs of them are the leaves of a tree whose upper nodes
+keep the bits that all fingerprints below them agree on. Two trees (or one with itself) are walked from the top: two nodes
+whose agreed bits differ in too many places are dropped with all that is below them.
+
+A large table is laid out in several Gray orders, each of which puts some bits first: two fingerprints within the distance
+agree on the first bits of one order at least, so only groups with equal first bits meet there. A group that several tasks
+hold is cut into cells; cells meet only if their agreed bits allow it.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tidemark.llm.common import components, cut
 
-#: Rows of one route that a task takes at once. Larger routes are dealt out by salted halves.
-ROUTE_ROWS = 4096
-#: Runs of a route up to this long are compared by shifts, without a tree.
-SHORT = 32
+#: Rows that a group of equal first bits has on the average, and the most that one cell of a group holds.
+GROUP_ROWS, CELL_ROWS = 4096, 16384
 FANOUT = 16
+#: Pairs of nodes whose children are compared at once.
+AT_ONCE = 1024
+ALL = ~np.uint64(0)
 
 
-def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
-    """The 64 bits (unsigned) of a text in UTF-8: A-Z lower-cased, words between ASCII white space, shingles of width words."""
+def shingle_hashes(text: bytes, width: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle of a text in UTF-8, repeats included: A-Z lower-cased, words between ASCII white space; fewer words are one shingle."""
     words = text.lower().split()
     n = len(words)
     if not n:
-        return 0
-    if n <= width:
-        return xxh64_intdigest(b" ".join(words), seed)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
+    if n <= width:
+        return np.array([xxh64_intdigest(joined, seed)], np.uint64)
     ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
     starts = [0, *(e + 1 for e in ends)]
-    m = n - width + 1
-    h = np.fromiter(map(xxh64_intdigest, [joined[s:e] for s, e in zip(starts, ends[width - 1 :])], repeat(seed)), np.uint64, m)
+    return np.fromiter(map(xxh64_intdigest, [joined[s:e] for s, e in zip(starts, ends[width - 1 :])], repeat(seed)), np.uint64, n - width + 1)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits (unsigned) that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, m, 8192):
+    for at in range(0, len(h), 8192):
         ones += np.unpackbits(h[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > m, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
+    """The 64 bits (unsigned) of a text; zero without words."""
+    return majority(shingle_hashes(text, width, seed))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -55,12 +70,47 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, docs.select(id_col, F.lit(0).cast("long").alias("fp")).schema)
 
 
-def gray_rank(x: np.ndarray) -> np.ndarray:
-    """The place of each 64-bit word in the Gray code's order, where neighbours differ in one bit."""
-    x = x.copy()
+def gray_rank(fp: Column) -> Column:
+    """The place of a 64-bit word in the Gray code's order, where neighbours differ in one bit (as a signed long: from the middle on)."""
     for s in (1, 2, 4, 8, 16, 32):
-        x ^= x >> np.uint64(s)
-    return x
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, s))
+    return fp
+
+
+def at_rank(rank: np.ndarray) -> np.ndarray:
+    """The words at these places of the Gray code's order."""
+    rank = rank.view(np.uint64)
+    return rank ^ (rank >> np.uint64(1))
+
+
+class Cell:
+    """Fingerprints in Gray order and the tree above them; levels[k] holds (bits, mask of the agreed ones) of its nodes in rows of FANOUT."""
+
+    def __init__(self, fps: np.ndarray):
+        self.fps, self.n = fps, len(fps)
+        value, mask = fps, np.full(len(fps), ALL)
+        self.sizes, self.levels = [], []
+        while True:
+            self.sizes.append(len(value))
+            self.levels.append((self._rows(value), self._rows(mask)))
+            if len(value) <= 1:
+                break
+            at = np.arange(0, len(value), FANOUT)
+            every, some = np.bitwise_and.reduceat(value, at), np.bitwise_or.reduceat(value | ~mask, at)
+            mask = np.bitwise_and.reduceat(mask, at) & ~(every ^ some)
+            value = every & mask
+        self.agreed, self.mask = int(value[0]), int(mask[0])
+
+    @staticmethod
+    def _rows(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(-(-len(x) // FANOUT) * FANOUT, np.uint64)
+        out[: len(x)] = x
+        return out.reshape(-1, FANOUT)
+
+    def below(self, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The nodes under those of a depth; above its root a tree goes on as the root alone."""
+        k = min(depth - 1, len(self.levels) - 1)
+        return *self.levels[k], self.sizes[k]
 
 
 def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -78,115 +128,168 @@ def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def link_run(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join all fingerprints of one route which are within most bits, at most one per fingerprint, as two arrays."""
-    fps = fps[np.argsort(gray_rank(fps), kind="stable")]
-    n = len(fps)
-    label = np.arange(n)
-    levels = [(fps, np.full(n, ~np.uint64(0)))]  # (agreed bits, mask of where they agree), from the leaves up
-    while len(levels[-1][0]) > 1:
-        value, mask = levels[-1]
-        at = np.arange(0, len(value), FANOUT)
-        every, some = np.bitwise_and.reduceat(value, at), np.bitwise_or.reduceat(value | ~mask, at)
-        agreed = np.bitwise_and.reduceat(mask, at) & ~(every ^ some)
-        levels.append((every & agreed, agreed))
-    stack = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+def link_cells(a: Cell, b: Cell, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Links that join all fingerprints of a with those of b (a itself: among each other) within most bits, at most one per fingerprint, as two arrays; and how many pairs of fingerprints were compared."""
+    same, compared = a is b, 0
+    fps = a.fps if same else np.r_[a.fps, b.fps]
+    label, first_b = np.arange(len(fps)), 0 if same else a.n
+    stack = [(max(1, len(a.levels) - 1, len(b.levels) - 1), np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         depth, left, right = stack.pop()
-        if depth == 0:
-            label = _merge(label, left, right)
-            continue
-        size = len(levels[depth - 1][0])
-        if len(left) > 1024:
-            stack += [(depth, left[k : k + 1024], right[k : k + 1024]) for k in range(0, len(left), 1024)]
+        if len(left) > AT_ONCE:
+            stack += [(depth, left[k : k + AT_ONCE], right[k : k + AT_ONCE]) for k in range(0, len(left), AT_ONCE)]
             continue
-        step = np.arange(FANOUT)
-        i = (left[:, None, None] * FANOUT + step[:, None] + 0 * step[None, :]).ravel()
-        j = (right[:, None, None] * FANOUT + 0 * step[:, None] + step[None, :]).ravel()
-        keep = (i < size) & (j < size) & (i < j if depth == 1 else i <= j)
-        i, j = i[keep], j[keep]
-        value, mask = levels[depth - 1]
-        near = np.bitwise_count((value[i] ^ value[j]) & mask[i] & mask[j]) <= most
-        i, j = i[near], j[near]
+        (va, ma, na), (vb, mb, nb) = a.below(depth), b.below(depth)
+        differ = va[left][:, :, None] ^ vb[right][:, None, :]
+        if depth > 1:
+            differ &= ma[left][:, :, None] & mb[right][:, None, :]
+        else:
+            compared += differ.size
+        pair, s, t = np.nonzero(np.bitwise_count(differ) <= most)
+        i, j = left[pair] * FANOUT + s, right[pair] * FANOUT + t
+        ok = (i < na) & (j < nb)
+        if same:
+            ok &= (i < j) if depth == 1 else (i <= j)
+        i, j = i[ok], j[ok]
         if depth == 1:
-            new = label[i] != label[j]
-            i, j = i[new], j[new]
-        elif len(i):  # nodes whose members are all linked with each other already have nothing to add
-            span = FANOUT ** (depth - 1)
-            low, high = np.minimum.reduceat(label, np.arange(0, n, span)), np.maximum.reduceat(label, np.arange(0, n, span))
-            new = (low[i] != high[j]) | (low[j] != high[i])
-            i, j = i[new], j[new]
-        if len(i):
-            stack.append((depth - 1, i, j))
-    far = label != np.arange(n)
-    return fps[far], fps[label[far]]
-
-
-def _links(most: int):
-    """For mapInArrow over rows (route, cell, fp) that are sorted by route and cell."""
-
-    def short(fps: np.ndarray, run: np.ndarray):
-        for k in range(1, SHORT):
-            same = np.flatnonzero(run[k:] == run[:-k]) if k < len(run) else run[:0]
-            if not len(same):
-                return
-            near = same[np.bitwise_count(fps[same] ^ fps[same + k]) <= most]
-            if len(near):
-                yield fps[near], fps[near + k]
-
-    def found(keys: np.ndarray, fps: np.ndarray):
-        """Of whole runs."""
-        start = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
-        size = np.diff(np.r_[start, len(fps)])
-        small = np.repeat(size <= SHORT, size)
-        yield from short(fps[small], np.repeat(np.arange(len(size)), size)[small])
-        for s, n in zip(start[size > SHORT], size[size > SHORT]):
-            yield link_run(fps[s : s + n], most)
+            label = _merge(label, i, j + first_b)
+            continue
+        span = FANOUT ** (depth - 1)  # nodes whose members are all linked with each other already have nothing to add
+        at_a, at_b = np.arange(0, a.n, span), np.arange(first_b, len(fps), span)
+        low_a, high_a = np.minimum.reduceat(label[: a.n], at_a), np.maximum.reduceat(label[: a.n], at_a)
+        low_b, high_b = np.minimum.reduceat(label, at_b), np.maximum.reduceat(label, at_b)
+        new = (low_a[i] != high_b[j]) | (low_b[j] != high_a[i])
+        if new.any():
+            stack.append((depth - 1, i[new], j[new]))
+    far = label != np.arange(len(fps))
+    return fps[far], fps[label[far]], compared
+
+
+def orders(rows: int, most: int, group_rows: int = GROUP_ROWS) -> list[int]:
+    """Masks of the first bits of each Gray order: two words within most bits agree on all bits of one mask.
+
+    The more rows, the more bits, so that groups of equal first bits keep the size of group_rows where bits are evenly spread.
+    """
+    bits = math.ceil(math.log2(max(1, rows / group_rows)))
+    if not bits:
+        return [0]
+    agree = next((k for k in (1, 2) if k * (64 // (most + k)) >= bits), 3)
+    width = min(64 // (most + agree), -(-bits // agree))
+    blocks = [((1 << width) - 1) << (k * width) for k in range(most + agree)]
+    return [sum(own) for own in combinations(blocks, agree)]
+
+
+def _cells(most: int, cell_rows: int):
+    """For mapInArrow over rows (route, bits, rank) in order: links inside of cells, and cells of groups that may have others."""
+
+    def links_of(cell: Cell):
+        x, y, _ = link_cells(cell, cell, most)
+        return x.view(np.int64), y.view(np.int64)
+
+    def row(a=None, b=None, route=None, bits=None, cell=None, agreed=None, mask=None, ranks=None):
+        n = len(a) if a is not None else 1
+        whole = lambda x: pa.nulls(n, pa.int64()) if x is None else pa.array([x], pa.int64())
+        ends = pa.nulls(n, pa.list_(pa.int64())) if ranks is None else pa.array([ranks], pa.list_(pa.int64()))
+        a, b = (pa.nulls(n, pa.int64()) if x is None else pa.array(x) for x in (a, b))
+        return pa.RecordBatch.from_arrays([a, b, *map(whole, (route, bits, cell, agreed, mask)), ends], ["a", "b", "route", "bits", "cell", "agreed", "mask", "ranks"])
+
+    def signed(x: int) -> int:
+        return x - (1 << 64) if x >> 63 else x
 
     def run(batches):
-        keys, fps = np.zeros((0, 3), np.int64), np.zeros(0, np.uint64)
-        for b in (*batches, None):
-            if b is not None:
-                keys = np.r_[keys, np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(3)], 1)]
-                fps = np.r_[fps, b.column(3).to_numpy().view(np.uint64)]
-                last = np.flatnonzero((keys != keys[-1:]).any(1)) if len(keys) else []
-                whole = last[-1] + 1 if len(last) else 0
-            else:
-                whole = len(keys)
-            if whole:
-                for x, y in found(keys[:whole], fps[:whole]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
-                keys, fps = keys[whole:], fps[whole:]
+        n, held, groups = 0, [], 0  # cells so far, parts of the group at hand, groups so far
+        key, last = None, None
+
+        def close(end: bool, edge: bool):
+            """Makes a cell of what is held; edge: other cells of this group may lie in this partition or the next ones."""
+            nonlocal held, n
+            ranks = np.concatenate(held)
+            cell = Cell(at_rank(ranks))
+            held = []
+            x, y = links_of(cell)
+            if len(x):
+                yield row(x, y)
+            if edge:
+                yield row(route=key[0], bits=key[1], cell=(TaskContext.get().partitionId() << 32) + n, agreed=signed(cell.agreed), mask=signed(cell.mask), ranks=ranks)
+            n += 1
+
+        cut_before = False  # whether the group at hand has a cell already
+        for b in batches:
+            route, bits, rank = (b.column(c).to_numpy() for c in range(3))
+            if not len(rank):
+                continue
+            edges = np.flatnonzero((np.diff(route) != 0) | (np.diff(bits) != 0)) + 1
+            for own in np.split(np.arange(len(rank)), edges):
+                now = int(route[own[0]]), int(bits[own[0]])
+                if now != key:
+                    if held:
+                        yield from close(True, groups == 1 or cut_before)
+                    key, groups, cut_before = now, groups + 1, False
+                while len(own):
+                    room = cell_rows - sum(map(len, held))
+                    held.append(rank[own[:room]])
+                    own = own[room:]
+                    if len(own):
+                        yield from close(False, True)
+                        cut_before = True
+        if held:
+            yield from close(True, True)
 
     return run
 
 
-def links(distinct: DataFrame, most: int = 4, blocks: int = 6, route_rows: int = ROUTE_ROWS) -> DataFrame:
+def _between(most: int):
+    """For mapInArrow over rows (x, y, side, rank), sorted: links between the two cells of each pair."""
+
+    def found(rows: np.ndarray):
+        a, b = (Cell(at_rank(np.ascontiguousarray(rows[rows[:, 2] == k, 3]))) for k in (0, 1))
+        x, y, _ = link_cells(a, b, most)
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
+
+    def run(batches):
+        held = []
+        for b in batches:
+            rows = np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(4)], 1)
+            for own in np.split(rows, np.flatnonzero((np.diff(rows[:, :2], axis=0) != 0).any(1)) + 1) if len(rows) else ():
+                if held and (held[-1][0, :2] != own[0, :2]).any():
+                    yield found(np.concatenate(held))
+                    held = []
+                held.append(own)
+        if held:
+            yield found(np.concatenate(held))
+
+    return run
+
+
+def links(distinct: DataFrame, most: int = 4, group_rows: int = GROUP_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Links (a, b) that join all of the distinct fingerprints (fp long) within most bits.
 
-    Two words within most of 64 bits agree on blocks - most of the blocks, so they meet in a route of those blocks'
-    bits. A route of more than route_rows rows is dealt into salted parts, and each two parts meet in a cell.
+    Each order is range-partitioned, so a group of any size is spread over tasks. Of the cells of one group only their
+    headers meet (a row per cell_rows rows); cells go on to meet where fewer than most of their agreed bits differ.
     """
-    if not 0 < most < blocks:
-        raise ValueError("blocks must be larger than the distance")
-    bounds = [round(64 * k / blocks) for k in range(blocks + 1)]
-    block = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(bounds, bounds[1:])]
-    masks = [sum(block[k] for k in own) for own in combinations(range(blocks), blocks - most)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    routed = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed))).alias("route", "bits"))
-    sizes = routed.groupBy("route", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / F.lit(route_rows)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    cells = routed.join(sizes, ["route", "bits"]).withColumn("parts", parts).withColumn("own", own)
-    cells = cells.withColumn("cell", F.explode(F.expr("transform(sequence(0, parts - 1), p -> least(own, p) * parts + greatest(own, p))")))
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cells.select("route", "bits", F.col("cell").cast("long").alias("cell"), "fp").repartition(n, "route", "bits", "cell").sortWithinPartitions("route", "bits", "cell").mapInArrow(_links(most), "a long, b long")
+    spark = distinct.sparkSession
+    masks = [m - (1 << 64) if m >> 63 else m for m in orders(distinct.count(), most, group_rows)]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    routed = distinct.select(gray_rank(F.col("fp")).alias("rank"), F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks))).alias("route", "bits"))
+    ordered = routed.select("route", "bits", "rank").repartitionByRange(parts, "route", "bits", "rank").sortWithinPartitions("route", "bits", "rank")
+    found = cut(ordered.mapInArrow(_cells(most, cell_rows), "a long, b long, route long, bits long, cell long, agreed long, mask long, ranks array<long>"))
+    cells = found.where("cell is not null")
+    heads = cells.select("route", "bits", "cell", "agreed", "mask")
+    x, y = heads.alias("x"), heads.alias("y")
+    near = F.bit_count(F.col("x.agreed").bitwiseXOR(F.col("y.agreed")).bitwiseAND(F.col("x.mask")).bitwiseAND(F.col("y.mask"))) <= most
+    pairs = x.join(y, (F.col("x.route") == F.col("y.route")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.cell") < F.col("y.cell")) & near)
+    pairs = pairs.select(F.col("x.cell").alias("x"), F.col("y.cell").alias("y"))
+    sides = pairs.select("x", "y", F.posexplode(F.array("x", "y")).alias("side", "cell"))
+    met = sides.join(cells.select("cell", "ranks"), "cell").select("x", "y", "side", F.explode("ranks").alias("rank"))
+    met = met.repartition(parts, "x", "y").sortWithinPartitions("x", "y", "side", "rank")
+    return found.where("cell is null").select("a", "b").unionByName(met.mapInArrow(_between(most), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, most: int = 4) -> DataFrame:
     """(id, fp, component_id): one row per row of docs; component_id is the smallest id reachable over links, its own included.
 
-    Null ids never name a component unless all ids of it are null. Rows with equal ids or texts each keep their row.
+    Null ids never name a component unless all ids of it are null. Rows with equal ids or texts each keep their row, a
+    null text is an empty one, extra columns are left out, and an empty table gives an empty one.
     """
     fps = cut(fingerprints(docs, id_col, text_col, width))
     distinct = cut(fps.groupBy("fp").agg(F.min(id_col).alias("least")))
@@ -195,9 +298,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     named = member.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select(id_col, "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, most: int = 4) -> DataFrame:
-    """Of each component the row with its smallest id stays, with all columns (one of them, if that id repeats)."""
-    keep = near_duplicates(docs, id_col, text_col, width, most).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates([id_col])

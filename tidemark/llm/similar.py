@@ -1,70 +1,65 @@
-"""Near duplicates by the exact Jaccard similarity of word shingles.
+"""Near duplicates by the exact Jaccard similarity of word shingles: the SimHash index links first, a prefix filter completes.
 
-Equal sets of shingles are one node. In any one order of shingles, two sets that are similar enough share one of the first
-few of each (its prefix), so only sets that meet in a prefix are compared, set with set. Shingles that are common in a sample
-come last in the order, which keeps them out of most prefixes; the result doesn't depend on the sample. Sets are
-compared in two rounds: first along the members of a meeting place, then only those that no link joins yet.
+Equal sets of shingles are one node. Nodes whose fingerprints the Gray-order index links are compared first, which joins
+most of each group of copies. Fingerprints alone can't do it: two sets at 0.8 differ in about 10 of 64 bits. So the nodes
+that are in different groups still are held against each other where they may be similar: in any one order of shingles,
+two similar sets share one of the first few of each (its prefix). Shingles that are common in a sample come last in the
+order, which keeps them out of most prefixes; the result doesn't depend on the sample.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from tidemark.llm import simhash
 from tidemark.llm.common import components, cut
 
 #: Documents of the sample, and shingles of it that are kept as common.
 SAMPLE_DOCS, COMMON = 20000, 200000
-#: Pairs that a task holds at once.
-PAIRS = 1 << 18
+#: Bits that the fingerprints of the first pairs differ in at most.
+MOST = 8
 
 
 def shingles(text: bytes, width: int = 5) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles: A-Z lower-cased, words between ASCII white space."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= width:
-        return np.array([xxh64_intdigest(joined)], np.uint64)
-    ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
-    starts = [0, *(e + 1 for e in ends)]
-    return np.unique(np.fromiter(map(xxh64_intdigest, [joined[s:e] for s, e in zip(starts, ends[width - 1 :])]), np.uint64, len(words) - width + 1))
+    """The sorted distinct hashes of a text's shingles."""
+    return np.unique(simhash.shingle_hashes(text, width))
 
 
-def _least_common(a, b, least: float):
-    """How many shingles sets of sizes a and b share at least if they are similar; exact for sizes below 2 ** 40."""
-    return np.ceil(least * (a + b) / (1 + least) - 1e-6)
+def _digest(h: np.ndarray) -> int:
+    return xxh64_intdigest(h.tobytes(), 1)
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, least: float, common: np.ndarray) -> DataFrame:
-    """(id, key: digest of the set, n: its size, prefix: the first shingles in order)."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+    """(id, t: hash of the text, key: digest of the set, n: its size, fp, prefix: the first shingles in order)."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON numbers
 
     def run(batches):
         late = shared.value
         for b in batches:
-            keys, sizes, prefixes = [], [], []
-            for t in b.column(1).cast(pa.binary()).to_pylist():
+            keys, fps, sizes, prefixes = [], [], [], []
+            for t in b.column(2).cast(pa.binary()).to_pylist():
                 h = shingles(t or b"", width)
                 n = len(h)
-                keys.append(xxh64_intdigest(h.tobytes(), 1))
+                keys.append(_digest(h))
+                fps.append(simhash.majority(h))
                 sizes.append(n)
-                last = np.isin(h, late) if len(late) and n else np.zeros(n, bool)
+                last = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h if len(late) else np.zeros(n, bool)
                 first = n - math.ceil(least * n - 1e-6) + 1 if n else 0
                 prefixes.append(np.r_[h[~last], h[last]][:first].view(np.int64))
             at = np.r_[0, np.cumsum([len(x) for x in prefixes])].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int64)), lists], ["id", "key", "n", "prefix"])
+            signed = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, fps))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *signed, pa.array(np.array(sizes, np.int64)), lists], ["id", "t", "key", "fp", "n", "prefix"])
 
-    schema = docs.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("n"), F.array().cast("array<long>").alias("prefix")).schema
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), text_col)
+    long = F.lit(0).cast("long")
+    return rows.mapInArrow(run, rows.select("id", "t", long.alias("key"), long.alias("fp"), long.alias("n"), F.array().cast("array<long>").alias("prefix")).schema)
 
 
 def _common(docs: DataFrame, id_col: str, text_col: str, width: int) -> np.ndarray:
@@ -83,64 +78,33 @@ def _common(docs: DataFrame, id_col: str, text_col: str, width: int) -> np.ndarr
     return np.sort(top.column("h").to_numpy().view(np.uint64))
 
 
-def _pairs(least: float, every: bool):
-    """For mapInArrow over rows (h, root, key, n, at) sorted by h, root, key: pairs (a, b) of one h that may be similar.
-
-    every: all pairs whose roots differ; else each row with the one before and with the first.
-    """
+def _may_be(a: Column, b: Column, left_a: Column, left_b: Column, least: float) -> Column:
+    """Whether sets of sizes a and b that share no more than left_a or left_b from here on can be similar; exact for sizes below 2 ** 40."""
+    return F.least(left_a, left_b) >= F.ceil(F.lit(least) * (a + b) / F.lit(1 + least) - F.lit(1e-6))
 
-    def near(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        a, b = rows[i, 3], rows[j, 3]
-        most = np.minimum(a - rows[i, 4], b - rows[j, 4])  # what can be shared from this place on
-        return most >= _least_common(a, b, least)
-
-    def found(rows: np.ndarray):
-        start = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
-        end = np.repeat(np.r_[start[1:], len(rows)], np.diff(np.r_[start, len(rows)]))
-        if not every:
-            begin = np.repeat(start, np.diff(np.r_[start, len(rows)]))
-            k = np.flatnonzero(np.arange(len(rows)) > begin)
-            for i in (k - 1, begin[k]):
-                ok = near(rows, i, k)
-                yield i[ok], k[ok]
-            return
-        # a row meets those of its h that come after all rows of its root
-        skip = np.flatnonzero(np.r_[(rows[1:, :2] != rows[:-1, :2]).any(1), True])
-        after = skip[np.searchsorted(skip, np.arange(len(rows)))] + 1
-        counts = end - after
-        k = 0
-        total = np.cumsum(counts)
-        while k < len(rows):
-            upto = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + PAIRS)))
-            c = counts[k:upto]
-            i = np.repeat(np.arange(k, upto), c)
-            j = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(after[k:upto], c)
-            ok = near(rows, i, j)
-            yield i[ok], j[ok]
-            k = upto
 
-    def run(batches):
-        held = np.zeros((0, 5), np.int64)
-        for b in _with_end(batches):
-            if b is not None:
-                held = np.r_[held, np.stack([b.column(c).to_numpy() for c in range(5)], 1)]
-                if not len(held) or held[0, 0] == held[-1, 0]:
-                    continue
-                whole = int(np.searchsorted(held[:, 0], held[-1, 0]))
-            else:
-                whole = len(held)
-            if whole:
-                rows, held = held[:whole], held[whole:]
-                for i, j in found(rows):
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rows[i, 2], rows[j, 2])), pa.array(np.maximum(rows[i, 2], rows[j, 2]))], ["a", "b"])
+def _neighbours(met: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of a shingle's holders that follow each other by size, the nearest and the next but one."""
+    order = Window.partitionBy("h").orderBy("n", "key")
+    before = F.array(*(F.struct(*(F.lag(c, k).over(order).alias(c) for c in ("key", "n", "at"))) for k in (1, 2)))
+    rows = met.withColumn("before", before).select("key", "n", "at", F.explode("before").alias("x")).where("x.key is not null")
+    rows = rows.where(_may_be(F.col("n"), F.col("x.n"), F.col("n") - F.col("at"), F.col("x.n") - F.col("x.at"), least))
+    return rows.select(F.least("key", "x.key").alias("a"), F.greatest("key", "x.key").alias("b")).distinct()
 
-    return run
 
+def _apart(met: DataFrame, linked: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b) that share a shingle and may be similar, but are in different groups yet.
 
-def _with_end(batches):
-    yield from batches
-    yield None
+    Of the holders of a shingle those of its largest group don't meet each other: a join of the others with all.
+    """
+    rows = cut(met.join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+    largest = rows.groupBy("h", "root").count().groupBy("h").agg(F.max_by("root", F.struct("count", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("h", "top")
+    rows = cut(rows.join(largest, "h").withColumn("minor", F.col("root") != F.col("top")))
+    x, y = rows.where("minor").alias("x"), rows.alias("y")
+    apart = (F.col("x.root") != F.col("y.root")) & (~F.col("y.minor") | (F.col("x.key") < F.col("y.key")))
+    apart &= _may_be(F.col("x.n"), F.col("y.n"), F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"), least)
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & apart)
+    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -155,55 +119,57 @@ def _similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
                     memory = (s, shingles(s or b"", width))
                 g, h = memory[1], shingles(t or b"", width)
                 both = len(np.intersect1d(g, h, assume_unique=True))
-                ok[k] = both >= _least_common(len(g), len(h), least)
+                ok[k] = both >= np.ceil(least * (len(g) + len(h)) / (1 + least) - 1e-6)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
 
     pairs = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
-    """(id, component_id): one row per row of docs; component_id is the smallest id reachable over pairs of Jaccard similarity least or more."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, most: int = MOST) -> DataFrame:
+    """(id, t, root, component_id): one row per row of docs; root tells its group, that is all rows reachable over pairs of
+    Jaccard similarity least or more, component_id is the smallest id in it, and t is the text's xxhash64.
+
+    A null text is an empty one, and texts without words are one node. Null ids never name a group unless all ids in it
+    are null. Rows with equal ids or texts each keep their row; an empty table gives an empty one.
+    """
     sets = cut(_sets(docs, id_col, text_col, width, least, _common(docs, id_col, text_col, width)))
-    nodes = cut(sets.groupBy("key").agg(F.min("id").alias("least"), F.first(F.struct("n", "prefix")).alias("s")).select("key", "least", "s.n", "s.prefix"))
+    nodes = cut(sets.groupBy("key").agg(F.min(F.struct("t", "id")).alias("one"), F.first(F.struct("n", "fp", "prefix")).alias("s")).select("key", "one", "s.n", "s.fp", "s.prefix"))
     met = nodes.select("key", "n", F.posexplode("prefix").alias("at", "h"))
     often = met.groupBy("h").count().where("count > 1").select("h")
     met = cut(met.join(often, "h").select("h", "key", "n", F.col("at").cast("long").alias("at")))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def candidates(rows: DataFrame, every: bool) -> DataFrame:
-        rows = rows.select("h", "root", "key", "n", "at").repartition(parts, "h").sortWithinPartitions("h", "root", "key")
-        return cut(rows.mapInArrow(_pairs(least, every), "a long, b long").distinct())
 
     def texts(pairs: DataFrame) -> DataFrame:
-        """Of each key in pairs the text of the row with its smallest id."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        holders = sets.join(wanted, "key").groupBy("key").agg(F.min("id").alias("id"))
-        held = docs.join(holders.select(F.col("id").alias("_id")).distinct(), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi").select(F.col(text_col).alias("text"))
-        # an id may repeat with other texts: the key of the set tells which
-        return cut(_keyed(held, width).join(holders.select("key").distinct(), "key").dropDuplicates(["key"]))
-
-    near = candidates(met.withColumn("root", F.col("key")), False)
-    links = cut(_similar(near, texts(near), width, least))
-    linked = components(links)
-    rest = met.join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    more = candidates(rest, True).join(near, ["a", "b"], "left_anti")
-    links = links.unionByName(_similar(more, texts(more), width, least))
-    member = nodes.join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    named = member.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
-    return sets.join(named, "key").select(F.col("id").alias(id_col), "component_id")
-
-
-def _keyed(held: DataFrame, width: int) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            keys = [xxh64_intdigest(shingles(t or b"", width).tobytes(), 1) for t in b.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), b.column(0)], ["key", "text"])
-
-    return held.select("text").mapInArrow(run, "key long, text string")
+        """(key, text) of each key in pairs, from one of the rows that have it."""
+        wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key").select("key", "one.t", F.col("one.id").alias("id"))
+        held = docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+        found = held.join(wanted, (held["t"] == wanted["t"]) & F.col("i").eqNullSafe(F.col("id"))).select("key", "text")
+        return cut(found.dropDuplicates(["key"]))
+
+    first = nodes.groupBy("fp").agg(F.min("key").alias("key"))
+    near = simhash.links(cut(first.select("fp")), most)
+    near = near.join(first.select(F.col("fp").alias("a"), F.col("key").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("key").alias("y")), "b")
+    same = nodes.join(first.withColumnRenamed("key", "x"), "fp").where("key <> x").select("x", F.col("key").alias("y"))
+    asked = cut(near.select("x", "y").unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    links = cut(_similar(asked, texts(asked), width, least))
+    for more in (lambda: _neighbours(met, least), lambda: _apart(met, components(links), least)):
+        pairs = cut(more().join(asked, ["a", "b"], "left_anti"))
+        asked = asked.unionByName(pairs)
+        links = links.unionByName(cut(_similar(pairs, texts(pairs), width, least)))
+    member = sets.select("id", "t", "key").join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    least_id = cut(member.groupBy("root").agg(F.min("id").alias("component_id")))
+    return member.join(least_id, "root").select(F.col("id").alias(id_col), "t", "root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
-    """Of each component the row with its smallest id stays, with all columns (one of them, if that id repeats)."""
-    keep = near_duplicates(docs, id_col, text_col, width, least).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates([id_col])
+    """Of each group one row stays, with all columns: that with the smallest id (null ids last), of these the smallest text hash.
+
+    Rows with equal ids and texts are in one group, so one of them stays. Columns of docs pass through; one named _near_t raises.
+    """
+    if "_near_t" in docs.columns:
+        raise ValueError("docs has a column _near_t already")
+    groups = near_duplicates(docs, id_col, text_col, width, least)
+    keep = groups.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "t")).alias("k")).select(F.col("k.id").alias("_near_id"), F.col("k.t").alias("_near_key"))
+    rows = docs.withColumn("_near_t", F.xxhash64(text_col))
+    kept = rows.join(cut(keep), (F.col("_near_t") == F.col("_near_key")) & F.col(id_col).eqNullSafe(F.col("_near_id")), "left_semi")
+    return kept.dropDuplicates([id_col, "_near_t"]).drop("_near_t")
