@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import chat, linededup, packing, queries
 from tidemark.llm import sentencepiece_bpe as sp
+from tidemark.llm.words import Memory
 
 PIECES, BYTES = queries.vocabulary("piece_bpe_32k.model"), queries.vocabulary("byte_bpe_50k.json")
 ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "▁", "a▁b", "▁▁x ▁", "<s></s>[INST]", "日本語 été", "\n\n a\tb\r\n", "😀😀 z", "\0 x\0", "a" * 300, "ﬁ ½", "<0x0A> hi", " x", "word " * 3000, "x" * 20000]
@@ -47,7 +48,7 @@ def test_short_and_long_agendas_agree():
 
 
 def test_memory_keeps_words_over_generations():
-    m = sp.Memory(4)
+    m = Memory(4)
     for words in ({"a", "b", "c"}, {"b", "c", "d", "e"}, {"a", "e"}):
         fresh = m.missing(words)
         m.new.update(dict.fromkeys(fresh, 1))
@@ -84,7 +85,7 @@ def test_plan_places_every_item_without_gaps(seed):
         for rank in range(n):
             at = own[(own[:, 1] <= rank) & (rank < own[:, 2])]
             if len(at):
-                parts[int(at[0, 5] + rank - at[0, 1])].append((int(at[0, 4]), k))
+                parts[int(at[0, 4] + rank - at[0, 1])].append((int(at[0, 3]), k))
             else:
                 first, place = p.loose[k]
                 for length, sequence, offset in packing.cut_stream(place + (rank - first) * k, k, p):

@@ -1,29 +1,35 @@
 """Packs tokenised documents into sequences of one length, by cutting-stock column generation.
 
 A document longer than a sequence fills whole sequences first; its rest is an item. A linear program over patterns (how
-many items of each length share a sequence) meets the histogram of lengths; a knapsack by dynamic programming finds the
-next pattern worth adding. Rounded down, each pattern takes a range of ranks of each of its lengths, so a document finds
-its place from its length and its rank among documents of that length. What rounding leaves over, and lengths whose best
-pattern would waste space, lie end to end and are cut where a sequence ends; the last of these sequences is split into
-powers of two, which need no padding.
+many items of each class of lengths share a sequence) meets the histogram of classes; a knapsack by dynamic programming
+finds the next patterns worth adding. The patterns are rounded, what rounding leaves is solved again, and each pattern
+takes a range of ranks of each of its classes, so a document finds its place from its length and its rank among documents
+of that length. Items lie close to each other; what is left at the end of a sequence is filled from the stream: the few
+items that no pattern has taken, end to end, cut where needed. What the gaps don't take of it makes sequences of its own,
+the last of which is split into powers of two, which need no padding.
 
 The driver sees the histogram only: at most as many numbers as a sequence has tokens.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, shared_folder
+from tidemark.llm.words import Memory, by_words, chosen_text
 
 WIDTH = 1024
+#: Classes of lengths that the linear program tells apart; lengths of a class differ by less than width / CLASSES.
+CLASSES = 128
 #: Parts that documents of one length are dealt into for their ranks.
 SALTS = 4096
 #: Fixed: how byte-level vocabularies of this family split a text into words.
@@ -32,56 +38,52 @@ _tokenizers: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str) -> tuple:
-    """The tokenizer of a file, the pattern of its special tokens, and a quick encoder for texts without them."""
+    """The tokenizer of a file, the pattern of its special tokens, that of its words, and the words met before."""
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import tiktoken
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         special = re.compile("|".join(re.escape(x.content) for x in t.get_added_tokens_decoder().values()) or r"(?!)")
-        letters = _byte_letters()
-        added = {x.content for x in t.get_added_tokens_decoder().values()}
-        ranks = {bytes(letters[c] for c in piece): k for piece, k in t.get_vocab().items() if piece not in added}
-        _tokenizers[path] = t, special, tiktoken.Encoding("quick", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _tokenizers[path] = t, special, regex.compile(PATTERN), Memory()
     return _tokenizers[path]
 
 
-def _byte_letters() -> dict[str, int]:
-    """The letter that byte-level vocabularies write for each byte: itself where it can be printed, else one from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
-def token_bytes(texts: list[str | None], path: str, end: int = 0) -> list[bytes]:
+def token_bytes(texts: list[str | None], path: str, end: int = 0, longest: bool = True) -> list[bytes]:
     """The ids of each text and the id `end`, as little-endian 32-bit bytes. A null text is an empty one.
 
-    Texts that hold the string of a special token go through the tokenizers library. All others take a quicker encoder of
-    the same vocabulary, whose ids of the shortest text are held against the library's each time.
+    All ids come from the tokenizers library, which merges inside of words only: each distinct word is encoded once. Texts
+    that hold the string of a special token are encoded whole. One text chosen by its hash, and the longest if longest is
+    set, are held against the library's ids of the whole text.
     """
-    t, special, quick = _tokenizer(path)
+    t, special, split, memory = _tokenizer(path)
     tail = np.uint32(end).tobytes()
-    slow = lambda text: np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    out = [tail if not x else (slow(x) if special.search(x) else quick.encode_to_numpy(x, disallowed_special=()).astype("<u4").tobytes()) + tail for x in texts]
-    check = min((k for k, x in enumerate(texts) if x), key=lambda k: len(texts[k]), default=None)
-    if check is not None and out[check] != slow(texts[check]) + tail:
-        raise ValueError("the quick encoder's ids aren't those of the tokenizers library")
+    pack = lambda ids: np.array(ids, "<u4").tobytes()
+    whole = lambda text: pack(t.encode(text, add_special_tokens=False).ids)
+    library = lambda words: [pack(e.ids) for e in t.encode_batch_fast(words, add_special_tokens=False)]
+    out = by_words(texts, lambda x: [] if special.search(x) else split.findall(x), library, memory)
+    out = [(whole(x) if x and not ids else ids) + tail for x, ids in zip(texts, out)]
+    for k in chosen_text(texts, longest):
+        if out[k] != whole(texts[k]) + tail:
+            raise ValueError("the words' ids aren't those that the tokenizers library gives for a whole text")
     return out
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end: int = 0) -> DataFrame:
     """(row, id, n, ids): of each row of docs a row number that is only told apart, its id, and its ids as bytes, with their number.
 
-    Ids are 16-bit where all of the vocabulary's are, else 32-bit: so many bytes as len(ids) / n says.
+    Ids are 16-bit where all of the vocabulary's are, else 32-bit: so many bytes as len(ids) / n says. An id column with
+    one of the other names raises.
     """
+    if id_col in _NAMES:
+        raise ValueError(f"the id column can't be named {id_col}")
 
     def run(batches):
         small = max(_tokenizer(tokenizer_path)[0].get_vocab_size() - 1, end) < 1 << 16
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                ids = token_bytes(part.column(2).to_pylist(), tokenizer_path, end)
+                ids = token_bytes(part.column(2).to_pylist(), tokenizer_path, end, longest=not at)
                 n = pa.array([len(x) // 4 for x in ids], pa.int64())
                 if small:
                     ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
@@ -91,77 +93,76 @@ def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
     return rows.mapInArrow(run, rows.select("row", id_col, F.lit(0).cast("long").alias("n"), F.lit(b"").alias("ids")).schema)
 
 
-def best_pattern(worth: np.ndarray, lengths: np.ndarray, width: int) -> list[np.ndarray]:
-    """Patterns (items of each length) by an unbounded knapsack: the best of all, and the best that hold each length, worth over 1."""
-    by = np.zeros(width + 1)
-    by[lengths] = worth
-    best, took = np.zeros(width + 1), np.zeros(width + 1, np.int64)
-    for c in range(1, width + 1):
-        gain = by[1 : c + 1] + best[c - 1 :: -1][:c]
-        k = int(gain.argmax())
-        best[c], took[c] = gain[k], k + 1
-    total = worth + best[width - lengths]
-    found = []
-    for k in np.argsort(-total, kind="stable")[:12]:
-        if total[k] <= 1 + 1e-6:
-            break
-        a = np.zeros(width + 1, np.int64)
-        a[lengths[k]] += 1
-        c = width - lengths[k]
-        while c > 0 and best[c] > 0:
-            if by[took[c]] > 0:
-                a[took[c]] += 1
-            c -= took[c]
-        found.append(a[lengths])
+_NAMES = {"row", "n", "ids", "rank", "whole_rank", "start", "length", "doc_tokens", "sequence_id", "offset"}
+
+
+def best_patterns(worth: np.ndarray, lengths: np.ndarray, most: np.ndarray, width: int, wanted: int = 12) -> list[np.ndarray]:
+    """Patterns (items of each length, no more than most of it) by a knapsack: the best of all, then the best that hold each of the wanted best lengths."""
+    best = np.zeros(width + 1)
+    steps = []  # (length index, items, where taking them is better), in the order of the dynamic program
+    for k in np.flatnonzero(worth > 1e-9):
+        n, size = int(most[k]), 1
+        while n > 0 and int(lengths[k]) * (size := min(size, n)) <= width:
+            w = int(lengths[k]) * size
+            more = best[:-w] + worth[k] * size
+            up = more > best[w:] + 1e-12
+            if up.any():
+                best = np.r_[best[:w], np.where(up, more, best[w:])]
+                steps.append((k, size, w, up))
+            n, size = n - size, 2 * size
+
+    def items(room: int) -> np.ndarray:
+        a = np.zeros(len(lengths), np.int64)
+        for k, size, w, up in reversed(steps):
+            if room >= w and up[room - w]:
+                a[k] += size
+                room -= w
+        return a
+
+    found = [items(width)] if best[width] > 0 else []
+    for k in np.argsort(-(worth + best[width - lengths]), kind="stable")[:wanted]:
+        a = items(int(width - lengths[k]))
+        a[k] += 1
+        if a[k] <= most[k]:
+            found.append(a)
     return found
 
 
-def fill(left: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray | None:
-    """A pattern that fills a sequence with items that are left, the longest of them included (None: there is none)."""
-    k = int(np.flatnonzero(left)[-1])
-    at = [j for j in np.flatnonzero(left)[::-1].tolist() if lengths[j] <= width - lengths[k]]
-    goal, reach, steps = int(width - lengths[k]), 1, []
-    keep = (1 << (goal + 1)) - 1
-    for j in at:
-        n = int(left[j]) - (j == k)
-        for _ in range(min(n, goal // int(lengths[j]))):
-            more = (reach | reach << int(lengths[j])) & keep
-            if more == reach:
-                break
-            steps.append((j, reach))
-            reach = more
-        if reach >> goal & 1:
-            break
-    if not reach >> goal & 1:
-        return None
-    a = np.zeros(len(lengths), np.int64)
-    a[k] = 1
-    for j, before in reversed(steps):
-        if not before >> goal & 1:
-            a[j] += 1
-            goal -= int(lengths[j])
-    return a
-
-
-def solve(lengths: np.ndarray, demand: np.ndarray, width: int, gap: float = 0.005, rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
+def solve(lengths: np.ndarray, demand: np.ndarray, width: int, gap: float = 0.005, patience: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """(patterns, how often each) of the linear program that covers demand exactly with fewest sequences.
 
-    Revised simplex with generated columns, from patterns of one length each. It ends when the bound says that gap of the
-    optimum, or less, is left to win, or after that many rounds of pricing: any basis covers the demand.
+    Revised simplex with generated columns, from pairs of lengths that fill a sequence. Prices are smoothed towards the
+    lengths, which they end near. It ends at the optimum, within gap of what the tokens alone need, or when `patience`
+    rounds of pricing have won less than a thousandth: any basis covers the demand.
     """
     m = len(lengths)
-    fit = width // lengths
-    basis = np.diag(fit.astype(float))
-    inverse = np.diag(1.0 / fit)
-    x = demand / fit * (1 + 1e-3 * np.random.default_rng(0).random(m))  # no ties, so no pivots on the spot
-    for _ in range(rounds):
-        worth = np.clip(inverse.sum(0), 0, None)
-        new = best_pattern(worth, lengths, width)
-        if not new or new[0] @ worth <= 1 + gap:
+    most = np.minimum(demand, width // lengths)
+    noise = np.random.default_rng(0)
+    need = demand * (1 + 1e-3 * noise.random(m))  # no ties, so no pivots on the spot
+    center = lengths / width * (1 + 0.02 * noise.random(m))
+    basis = np.diag(most.astype(float))
+    of = {int(n): k for k, n in enumerate(lengths)}
+    for k, n in enumerate(lengths.tolist()):
+        j = of.get(width - n, k)
+        if k < j:  # the rarer of two lengths that fill a sequence gets the pair as its column
+            basis[[k, j], k if need[k] <= need[j] else j] = 1
+    inverse = np.linalg.inv(basis)
+    x = np.clip(inverse @ need, 0, None)
+    least, seen = lengths @ demand / width, []
+    while x.sum() > (1 + gap) * least:
+        seen.append(x.sum())
+        if len(seen) > patience and seen[-1 - patience] - seen[-1] < 1e-3 * seen[-1]:
+            break
+        dual = inverse.sum(0)
+        for smooth in (0.8, 0.4, 0.0):
+            worth = np.clip(smooth * center + (1 - smooth) * dual, 0, None)
+            new = [a for a in best_patterns(worth, lengths, most, width) if a @ dual > 1 + 1e-6]
+            if new:
+                break
+        if not new:
             break
         for a in new:
-            dual = inverse.sum(0)
-            if a @ dual <= 1 + 1e-7:
+            if a @ inverse.sum(0) <= 1 + 1e-7:
                 continue  # a pivot before has made it worthless
             step = inverse @ a
             up = step > 1e-9
@@ -179,81 +180,105 @@ def solve(lengths: np.ndarray, demand: np.ndarray, width: int, gap: float = 0.00
     return basis.T.round().astype(np.int64), x
 
 
+def rounded(lengths: np.ndarray, demand: np.ndarray, width: int, sequences: int) -> list[tuple[np.ndarray, int]]:
+    """(pattern, uses) in whole numbers, at most so many sequences in all: each solution's patterns, most used first, are rounded up
+    as far as items last; what is left is solved again until nothing more is placed."""
+    left, uses = demand.copy(), []
+    while (at := np.flatnonzero(left)).size and sequences:
+        patterns, often = solve(lengths[at], left[at], width)
+        before = sequences
+        for k in np.argsort(-often, kind="stable"):
+            if often[k] < 1e-6:
+                break
+            own = np.zeros(len(lengths), np.int64)
+            own[at] = patterns[k]
+            n = min(math.ceil(often[k] - 1e-6), int((left[own > 0] // own[own > 0]).min()), sequences)
+            if n:
+                uses.append((own, n))
+                left, sequences = left - n * own, sequences - n
+        if sequences == before:
+            break
+    return uses
+
+
 @dataclass(frozen=True)
 class Plan:
-    """slots: rows (length, first rank, end rank, uses, copy's offset, first sequence) of whole items; loose: of each length (ranks from, place in the stream); stream: its tokens, from sequence base on."""
+    """slots: rows (length, first rank, end rank, offset, first sequence) of whole items; gaps: rows (place in the stream, size, uses,
+    first sequence) at the ends of their sequences; loose: of each length (ranks from, place in the stream); stream: its tokens, of
+    which `filling` lie in gaps and the others from sequence base on."""
 
     width: int
     slots: np.ndarray
+    gaps: np.ndarray
     loose: dict[int, tuple[int, int]]
     stream: int
+    filling: int
     base: int
 
     @property
     def end(self) -> int:
         """The first sequence that isn't taken."""
-        return self.base + self.stream // self.width + (self.stream % self.width).bit_count()
-
-
-def plan(histogram: dict[int, int], width: int = WIDTH) -> Plan:
-    """Where items of each length (1 to width - 1) go. Only patterns that fill a sequence are used; all else joins the stream."""
-    lengths = np.array(sorted(histogram), np.int64)
-    left = np.array([histogram[k] for k in lengths.tolist()], np.int64)
-    slots, sequence = [], 0
-    rank = np.zeros(len(lengths), np.int64)
-    if len(lengths):
-        patterns, often = solve(lengths, left, width)
-        full = patterns @ lengths == width
-        patterns, often = patterns[full], often[full]
-        uses = np.floor(often + 1e-6).astype(np.int64)
-        for k in range(len(uses)):  # rounding must not take more than there is
-            at = patterns[k] > 0
-            uses[k] = min(uses[k], int((left[at] // patterns[k][at]).min()))
-            left = left - uses[k] * patterns[k]
-        patterns, uses = list(patterns), uses.tolist()
-        rest = left.copy()  # what rounding has left: filled up one pattern at a time, each until a length runs out
-        while rest.any():
-            a = fill(rest, lengths, width)
-            if a is None:
-                rest[np.flatnonzero(rest)[-1]] = 0
-                continue
-            at = a > 0
-            n = int((rest[at] // a[at]).min())
-            rest, left = rest - n * a, left - n * a
-            patterns.append(a)
-            uses.append(n)
-        for pattern, n in zip(patterns, uses):
-            if not n:
-                continue
+        own = self.stream - self.filling
+        return self.base + own // self.width + (own % self.width).bit_count()
+
+
+def plan(histogram: dict[int, int], width: int = WIDTH, classes: int = CLASSES) -> Plan:
+    """Where items of each length (1 to width - 1) go."""
+    size = math.ceil(width / classes)
+    of: dict[int, list[int]] = {}  # class, in units of size -> its lengths; items of a class are ranked by length, then by rank in it
+    for n in sorted(histogram):
+        of.setdefault(-(-n // size), []).append(n)
+    names = sorted(of)
+    starts = {c: np.cumsum([0, *(histogram[n] for n in of[c])]) for c in names}
+    total = sum(n * k for n, k in histogram.items())
+    demand = np.array([starts[c][-1] for c in names], np.int64)
+    slots, gaps, taken, sequence, filling = [], [], dict.fromkeys(names, 0), 0, 0
+    # no more sequences than there are tokens for: what patterns leave open, the other items can fill then
+    for pattern, n in rounded(np.array(names, np.int64), demand, width // size, total // width):
+        own = []  # (class, rank in it) of each slot at the first use
+        for k in np.flatnonzero(pattern):
+            for _ in range(pattern[k]):
+                own.append((names[k], taken[names[k]]))
+                taken[names[k]] += n
+        # uses with the same lengths in all slots
+        edges = sorted({0, n, *(int(e) - r for c, r in own for e in starts[c] if 0 < e - r < n)})
+        for lo, hi in zip(edges, edges[1:]):
             offset = 0
-            for k in np.flatnonzero(pattern):
-                for _ in range(pattern[k]):
-                    slots.append((lengths[k], rank[k], rank[k] + n, n, offset, sequence))
-                    rank[k] += n
-                    offset += lengths[k]
-            sequence += n
+            for c, r in own:
+                j = int(np.searchsorted(starts[c], r + lo, "right")) - 1
+                first = r + lo - int(starts[c][j])
+                slots.append((of[c][j], first, first + hi - lo, offset, sequence + lo))
+                offset += of[c][j]
+            if offset < width:
+                gaps.append((filling, width - offset, hi - lo, sequence + lo))
+                filling += (width - offset) * (hi - lo)
+        sequence += n
     loose, stream = {}, 0
-    for k in range(len(lengths)):
-        loose[int(lengths[k])] = (int(rank[k]), stream)
-        stream += int(left[k] * lengths[k])
-    return Plan(width, np.array(slots, np.int64).reshape(-1, 6), loose, stream, sequence)
+    for c in names:
+        for n, start in zip(of[c], starts[c].tolist()):
+            first = min(max(taken[c] - start, 0), histogram[n])
+            loose[n] = (first, stream)
+            stream += (histogram[n] - first) * n
+    return Plan(width, np.array(slots, np.int64).reshape(-1, 5), np.array(gaps, np.int64).reshape(-1, 4), loose, stream, filling, sequence)
 
 
 def cut_stream(at: int, n: int, p: Plan) -> list[tuple[int, int, int]]:
     """(length, sequence, offset) of the parts of n tokens at a place of the stream. Its last sequence is split into powers of two."""
     out = []
-    whole = p.stream // p.width * p.width
+    whole = (p.stream - p.filling) // p.width * p.width
     while n:
-        sequence, offset = p.base + at // p.width, at % p.width
-        room = p.width - offset
-        if at >= whole:
-            rest, start, k = p.stream - whole, 0, 0
-            while True:
-                size = 1 << (rest.bit_length() - 1)
-                if offset < start + size:
-                    break
+        if at < p.filling:
+            start, size, _, first = p.gaps[int(np.searchsorted(p.gaps[:, 0], at, "right")) - 1].tolist()
+            use, inside = divmod(at - start, size)
+            sequence, offset, room = first + use, p.width - size + inside, size - inside
+        elif at - p.filling < whole:
+            sequence, offset = p.base + (at - p.filling) // p.width, (at - p.filling) % p.width
+            room = p.width - offset
+        else:
+            place, rest, start, k = at - p.filling - whole, p.stream - p.filling - whole, 0, 0
+            while place >= start + (size := 1 << (rest.bit_length() - 1)):
                 rest, start, k = rest - size, start + size, k + 1
-            sequence, offset, room = p.base + whole // p.width + k, offset - start, start + size - offset
+            sequence, offset, room = p.base + whole // p.width + k, place - start, start + size - place
         took = min(n, room)
         out.append((took, sequence, offset))
         at, n = at + took, n - took
@@ -263,8 +288,9 @@ def cut_stream(at: int, n: int, p: Plan) -> list[tuple[int, int, int]]:
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, end: int = 0) -> DataFrame:
     """(id, start, length, ids, doc_tokens, sequence_id, offset): one row per piece; ids are its little-endian 32-bit ids.
 
-    Rows with equal ids or texts are packed one by one; null and empty texts are the end id alone. Sequences count from 0:
-    first those of patterns, then those of the stream, then the whole parts of long documents.
+    Rows with equal ids or texts are packed one by one; null and empty texts are the end id alone; an empty table gives an
+    empty one. Other columns are left out. Sequences count from 0: first those of patterns, then those of the stream, then
+    the whole parts of long documents.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark, "tokens")
@@ -275,7 +301,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     counts = cut(light.groupBy("rest", "salt").agg(F.count(F.lit(1)).alias("count"), F.sum("whole").alias("wholes")))
     totals = sorted(map(tuple, counts.groupBy("rest").agg(F.sum("count"), F.sum("wholes")).collect()))  # at most `width` rows
     p = plan({rest: n for rest, n, _ in totals if rest}, width)
-    shared = spark.sparkContext.broadcast(p)  # at most `width` patterns, each with at most `width` items
+    shared = spark.sparkContext.broadcast(p)  # bounded by `width`: no row of the table goes into it
     base = dict(zip((rest for rest, _, _ in totals), np.cumsum([p.end, *(w for _, _, w in totals)]).tolist()))  # first whole sequence of each rest
 
     earlier = Window.partitionBy("rest").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -300,7 +326,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                     own = of.get(rest)
                     k = int(np.searchsorted(own[:, 1], rank, "right")) - 1 if own is not None else -1
                     if k >= 0 and rank < own[k, 2]:
-                        _, first, _, _, offset, sequence = own[k].tolist()
+                        _, first, _, offset, sequence = own[k].tolist()
                         pieces.append((rest, sequence + rank - first, offset))
                     else:
                         first, at = q.loose[rest]
@@ -316,6 +342,6 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             for at in range(0, max(1, len(out[0])), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 4096], t) for c, t in zip(out, kinds)], names)
 
-    joined = tokens.join(ranked.hint("shuffle_hash"), "row").select(id_col, "n", "ids", "rank", "whole_rank")
+    joined = tokens.join(ranked, "row").select(id_col, "n", "ids", "rank", "whole_rank")
     long = F.lit(0).cast("long")
     return joined.mapInArrow(place, joined.select(id_col, long.alias("start"), long.alias("length"), "ids", long.alias("doc_tokens"), long.alias("sequence_id"), long.alias("offset")).schema)

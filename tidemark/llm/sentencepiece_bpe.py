@@ -2,7 +2,7 @@
 
 No piece of such a vocabulary has a space mark after another letter, so merges never cross from one word to the next;
 a text is encoded word by word, and words met before come from a bounded memory. Each word that is new to a worker, and
-one whole text of every Arrow batch, is held against the sentencepiece library.
+some whole texts of every Arrow batch, are held against the sentencepiece library.
 """
 
 from __future__ import annotations
@@ -17,34 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.words import Memory, by_words, chosen_text
+
 MARK = "▁"
-#: Words that a worker remembers in each of two generations, and the longest of them in letters.
-REMEMBERED, LONGEST = 400_000, 64
-#: Words up to so many letters take the agenda without a heap.
+#: Words up to so many letters take the agenda as a list, others as a heap: the same order of merges.
 SHORT = 40
 codecs.register_error("each_byte_replaced", lambda e: ("�" * (e.end - e.start), e.end))
 
 
-class Memory:
-    """word -> value, at most twice `most` of them: when the newer half is full, the older one goes."""
-
-    def __init__(self, most: int = REMEMBERED):
-        self.most, self.new, self.old = most, {}, {}
-
-    def missing(self, words: set) -> list:
-        """Those of words that aren't known; the others are all in the newer half then."""
-        out = [w for w in words if w not in self.new]
-        if len(self.new) + len(out) > self.most:
-            self.new, self.old, out = {}, self.new, list(words)
-        new, old, rest = self.new, self.old, []
-        for w in out:
-            if (v := old.get(w)) is None:
-                rest.append(w)
-            else:
-                new[w] = v
-        return rest
-
-
 class PieceModel:
     """The pieces of a model file and what its text rules ask for."""
 
@@ -149,40 +129,17 @@ def _words(text: str) -> list[str]:
     return [MARK + w for w in text.split(" ")]
 
 
-def _bytes(model: PieceModel, words: list[str]) -> dict[str, bytes]:
-    return {w: array("i", ids).tobytes() for w, ids in zip(words, model.checked(words))} if words else {}
+def encode_texts(texts: list[str | None], path: str, end: bool = True, longest: bool = True) -> list[bytes]:
+    """The ids of each text, as the bytes of 32-bit integers. A null is an empty text.
 
-
-def encode_texts(texts: list[str | None], path: str, end: bool = True) -> list[bytes]:
-    """The ids of each text, as the bytes of 32-bit integers. A null is an empty text."""
+    One text chosen by its hash, and the longest if longest is set, are held against the library as a whole.
+    """
     model, memory = _model(path)
     tail = np.int32(model.end).tobytes() if end else b""
-    out: list[bytes] = []
-    held: list[list[str]] = []
-    size = 0
-
-    def done() -> None:
-        distinct = set().union(*held)
-        aside = {w for w in distinct if len(w) > LONGEST} if len(distinct) <= memory.most else distinct
-        once = _bytes(model, list(aside))  # words that the memory doesn't take
-        fresh = memory.missing(distinct - aside if aside else distinct)
-        known = memory.new
-        known.update(_bytes(model, fresh))
-        for words in held:
-            got = [known[w] if w in known else once[w] for w in words] if once else [known[w] for w in words]
-            out.append(b"".join(got) + tail)
-        held.clear()
-
-    for t in texts:
-        held.append(_words(t) if t else [])
-        size += len(held[-1])
-        if size > 100_000:
-            done()
-            size = 0
-    done()
-    check = min((k for k, t in enumerate(texts) if t), key=lambda k: len(texts[k]), default=None)
-    if check is not None and np.frombuffer(out[check], np.int32).tolist() != model.library.encode(texts[check], add_eos=end):
-        raise ValueError("the library encodes a text in another way")
+    out = [ids + tail for ids in by_words(texts, _words, lambda words: [array("i", ids).tobytes() for ids in model.checked(words)], memory)]
+    for k in chosen_text(texts, longest):
+        if np.frombuffer(out[k], np.int32).tolist() != model.library.encode(texts[k], add_eos=end):
+            raise ValueError("the library encodes a text in another way")
     return out
 
 
@@ -201,7 +158,7 @@ def _with(docs: DataFrame, name: str, kind: str, make) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 256):  # long texts: no more of them at once
                 part = b.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, make(part)], [*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, make(part, not at)], [*part.schema.names, name])
 
     return docs.mapInArrow(run, docs.select("*", F.lit(None).cast(kind).alias(name)).schema)
 
@@ -209,24 +166,30 @@ def _with(docs: DataFrame, name: str, kind: str, make) -> DataFrame:
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", end: bool = True) -> DataFrame:
     """docs with one more column, the ids of each whole text (array<int>), with the end id if end is set.
 
-    A null text is an empty one. Rows keep their other columns; a column named ids_col raises.
+    A null text is an empty one. Rows keep their other columns, repeated rows and empty tables stay as they are; a column named
+    ids_col raises.
     """
     at = docs.columns.index(text_col)
-    return _with(docs, ids_col, "array<int>", lambda b: _lists(encode_texts(b.column(at).to_pylist(), model_path, end)))
+    return _with(docs, ids_col, "array<int>", lambda b, first: _lists(encode_texts(b.column(at).to_pylist(), model_path, end, longest=first)))
 
 
 def decode(docs: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """docs with one more column, the text that the ids stand for. Null ids decode to an empty text; ids out of range raise."""
+    """docs with one more column, the text that the ids stand for. Null ids decode to an empty text; ids out of range raise.
+
+    Of each 256 rows one chosen by its hash, and the longest of each batch, are held against the library. Repeated rows and
+    empty tables stay as they are; a column named text_col raises.
+    """
     at = docs.columns.index(ids_col)
 
-    def make(b: pa.RecordBatch) -> pa.Array:
+    def make(b: pa.RecordBatch, first: bool) -> pa.Array:
         model, _ = _model(model_path)
         lists = b.column(at)
         flat, ends = lists.flatten().to_numpy().tolist(), np.cumsum(lists.value_lengths().fill_null(0)).tolist()
-        own = [model.decode(flat[i:j]) for i, j in zip([0, *ends], ends)]
-        check = min((k for k in range(len(own)) if b.column(at)[k].is_valid), key=lambda k: len(b.column(at)[k]), default=None)
-        if check is not None and own[check] != model.library.decode(b.column(at)[check].as_py()):
-            raise ValueError("the library decodes some ids in another way")
+        spans = list(zip([0, *ends], ends))
+        own = [model.decode(flat[i:j]) for i, j in spans]
+        for k in chosen_text(own, first):
+            if own[k] != model.library.decode(flat[spans[k][0] : spans[k][1]]):
+                raise ValueError("the library decodes some ids in another way")
         return pa.array(own, pa.string())
 
     return _with(docs, text_col, "string", make)
