@@ -82,16 +82,21 @@ def test_pivots_save_work():
     x = np.rint(r.normal(size=(5000, 3)) * 1000)
     x = np.rint(x / np.linalg.norm(x, axis=1)[:, None] * 1000)  # of one length: the bound tells near from far
     t = topk.PivotTable(np.arange(5000), x, topk.choose_pivots(x[:500], 16))
-    t.search(0, x[0], 5)
+    t.search(np.arange(1), x[:1], 5)
     assert t.evaluated < 1000
+    x = np.rint(r.normal(size=(20000, 64)) * 8).astype(np.int64)  # no structure at all
+    t = topk.PivotTable(np.arange(20000), x, topk.choose_pivots(x[:2000].astype(float), 56))
+    for q, got in zip(range(20), t.search(np.arange(20), x[:20], 20)):
+        assert got == [(i, -s) for s, i in sorted((-int(s), i) for i, s in enumerate(x @ x[q]) if i != q)[:20]]
+    assert t.evaluated < 0.1 * 20 * 20000
 
 
 def test_top_k_limits(spark):
     df = spark.createDataFrame([(0, [1, 2]), (1, [3, 4])], "vec_id long, vector array<long>")
     assert [tuple(r) for r in topk.top_k(df, df.where("vec_id = 0")).collect()] == [(0, 1, 1, 11)]
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        topk.top_k(spark.createDataFrame([(0, [1 << 40])], "vec_id long, vector array<long>"), df)
+    big = spark.createDataFrame([(0, [3 << 29, 1]), (1, [1 << 30, 5]), (2, [1 << 30, 6]), (3, [-1, 7])], "vec_id long, vector array<long>")
+    assert [tuple(r) for r in topk.top_k(big, big.where("vec_id = 0"), k=2).collect()] == [(0, 1, 2, (3 << 59) + 6), (0, 2, 1, (3 << 59) + 5)]
     assert [r[0] for r in spark.createDataFrame([([-0.01, 0.99],)], "v array<double>").select(topk.scaled("v").alias("x")).collect()] == [[-1, 63]]
 
 
