@@ -4,14 +4,15 @@ Vectors are projected and shifted in a different way for each curve and ordered
 range-partitions each order; a query takes the window of rows around its own place, compares short codes there, and the
 best of all windows are ranked again by exact distances on the original vectors.
 
-The width of the windows, a share of all rows, is fitted on a bounded sample so that the wanted share of true neighbours
-is found: narrow where vectors cluster, wide where they don't. Equal vectors are indexed once, with their smallest ids.
+The width of the windows is fitted on a bounded sample, and on a quarter of it, so that the wanted share of true neighbours
+is found: how much wider the whole sample's windows are says how they grow with the table. Where vectors cluster they
+hardly grow; where they have no structure they stay a share of all rows. Equal vectors are indexed once, with their smallest ids.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -53,12 +54,18 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Curves:
-    """A projection and a shift for each curve; window: the share of all rows on either side of a query."""
+    """A projection and a shift for each curve; window: the rows on either side of a query in a table of `rows`; growth: the power of the table's size that it grows by."""
 
     projections: np.ndarray
     shifts: np.ndarray
     bits: int
     window: float = 0.0
+    rows: int = 1
+    growth: float = 1.0
+
+    def half(self, rows: int) -> int:
+        """The rows on either side of a query in a table of so many."""
+        return max(256, math.ceil(self.window * max(1.0, rows / self.rows) ** self.growth))
 
     def keys(self, v: np.ndarray) -> np.ndarray:
         """(curves, rows) of Hilbert keys."""
@@ -70,7 +77,10 @@ class Curves:
 
 
 def fit(sample: np.ndarray, curves: int = 16, dims: int = 12, bits: int = 4, recall: float = 0.96, k: int = 10, queries: int = 128, seed: int = 7) -> Curves:
-    """Curves for vectors like those of the sample, with the narrowest window that finds the wanted share of the k nearest within it."""
+    """Curves for vectors like those of the sample, with the narrowest window that finds the wanted share of the k nearest within it.
+
+    The sample's rows are in random order: a part of it stands for a smaller table.
+    """
     r = np.random.default_rng(seed)
     d = sample.shape[1]
     dims = min(dims, d)
@@ -83,29 +93,45 @@ def fit(sample: np.ndarray, curves: int = 16, dims: int = 12, bits: int = 4, rec
         shifts.append(0.5 - mean @ p + r.uniform(-0.15, 0.15, dims))
     index = Curves(np.stack(projections), np.stack(shifts), bits)
     n = len(sample)
-    at = np.empty((curves, n), np.int64)
+    window = _window(index, sample, k, recall, queries)
+    part = max(2 * k, n // 4)
+    quarter = _window(index, sample[:part], k, recall, queries)
+    growth = math.log(max(1.0, window / quarter)) / math.log(n / part) + 0.1 if part < n else 1.0
+    return replace(index, window=window, rows=n, growth=min(1.0, growth))
+
+
+def _window(index: Curves, sample: np.ndarray, k: int, recall: float, queries: int) -> float:
+    """The rows on either side within which the wanted share of the k nearest of some of the sample's rows lies on some curve."""
+    n = len(sample)
+    if n < 2:
+        return 1.0
+    at = np.empty((len(index.shifts), n), np.int64)
     for row, key in zip(at, index.keys(sample)):
         row[np.argsort(key, kind="stable")] = np.arange(n)
-    found = 0.5
-    asked = range(0, n, max(1, n // queries))
-    true, near = [], []
-    for q in asked:
+    near = []
+    for q in range(0, n, max(1, n // queries)):
         dist = ((sample - sample[q]) ** 2).sum(1)
         dist[q] = np.inf
-        true.append(np.argsort(dist, kind="stable")[: min(k, n - 1)])
-        near.append(np.abs(at - at[:, [q]]).min(0)[true[-1]])  # of each true neighbour the closest it comes on any curve
-    if n > 1:
-        found = np.quantile(np.concatenate(near), recall) / n
-    return Curves(index.projections, index.shifts, bits, float(min(0.5, found + 1 / n)))
+        true = np.argsort(dist, kind="stable")[: min(k, n - 1)]
+        near.append(np.abs(at - at[:, [q]]).min(0)[true])  # of each true neighbour the closest it comes on any curve
+    return float(np.quantile(np.concatenate(near), recall)) + 1
+
+
+def dimension(vectors: DataFrame, id_col: str, vector_col: str) -> int:
+    """The commonest dimension of the vectors that can be used, the smaller of equals; 0 without any."""
+    top = _finite(vectors, id_col, vector_col).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    return top["d"] if top else 0
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v: array<double>): rows whose vector isn't null, zero or of null or non-finite components, and has the commonest dimension; equal rows once."""
+def _finite(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.transform(vector_col, lambda x: x.cast("double"))
     rows = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), v.alias("v"))
-    rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    top = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == (top["d"] if top else 0)).distinct()
+    return rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
+
+
+def usable(vectors: DataFrame, id_col: str, vector_col: str, dims: int) -> DataFrame:
+    """(id, v: array<double>): rows of dims components whose vector isn't null, zero or of null or non-finite components; equal rows once."""
+    return _finite(vectors, id_col, vector_col).where(F.size("v") == dims).distinct()
 
 
 def _codes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,26 +149,28 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 4096, curves: int = 16, recall: float = 0.96) -> DataFrame:
     """(query_id, rank, id, score): of each query row its k nearest other rows by Euclidean distance, as far as the windows show them.
 
-    queries: rows of the same columns, all of which are rows of vectors too. Ties go to smaller ids. Rows that usable() leaves out take no
-    part. With no more than k + 1 rows, or an empty table, all that there is comes back.
+    queries: rows of the same columns, all of which are rows of vectors too. Ties go to smaller ids. Rows that usable() leaves out, and
+    vectors and queries of other than the commonest dimension of vectors, take no part. Rows that repeat count once. With no more
+    than k + 1 rows, or an empty table, all that there is comes back. Other columns are left out.
     """
     spark = vectors.sparkSession
     folder = shared_folder(spark, "ann")
-    rows = usable(vectors, id_col, vector_col)
+    dims = dimension(vectors, id_col, vector_col)
+    rows = usable(vectors, id_col, vector_col, dims)
     # Equal vectors: the k + 1 smallest ids can be results, the smallest stands for all.
     by_vector = Window.partitionBy("v")
     members = rows.withColumn("n", F.row_number().over(by_vector.orderBy("id"))).where(F.col("n") <= k + 1)
     members.withColumn("rep", F.min("id").over(by_vector)).write.parquet(f"{folder}/members")
     members = spark.read.parquet(f"{folder}/members")
     reps = members.where("n = 1").select("rep", "v")
-    asked = cut(usable(queries, id_col, vector_col).join(reps, "v").select(F.col("id").alias("query_id"), "rep"))
+    asked = cut(usable(queries, id_col, vector_col, dims).join(reps, "v").select(F.col("id").alias("query_id"), "rep"))
 
     sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).toArrow()  # bounded by sample_rows
     if not sample.num_rows:
         return asked.select("query_id", F.lit(0).alias("rank"), F.col("rep").alias("id"), F.lit(0.0).alias("score")).limit(0)
     index = fit(_matrix(sample.column("v").combine_chunks()), curves=curves, recall=recall, k=k)
     total = reps.count()
-    half = max(256, math.ceil(index.window * total))
+    half = index.half(total)
     shared = spark.sparkContext.broadcast(index)
 
     def keyed(batches):
