@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept. All but the last return the columns
 of documents; the last returns the pieces of packed sequences.
+
+In every stage a null text is an empty one, rows with equal ids or texts are told apart as rows where nothing else is said,
+extra columns pass through, names that begin with an underscore are the stages' own, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,25 +26,27 @@ LEAST_TOXICITY = 0.5
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of unknown language: without a letter, with too few n-grams that the best language knows, or with no language that fits better than the next."""
+    """Drops documents of unknown language: without a letter, with too few n-grams that the best language knows, or with no language that fits better than the next.
+
+    Null and empty texts go. Languages that fit equally well are a reason to go. Equal texts have equal fates.
+    """
     model = langid.fit(docs)
-    usual = langid.usual_shares(docs, model)
+    usual = langid.usual_shares(docs, model).select(F.col("lang").alias("_lang"), F.col("share").alias("_usual"))
     found = langid.identify(docs, model, lang_col="_lang", score_col="_score", evidence_cols=("_share", "_deviations"))
-    least = F.lit(LEAST_USUAL_SHARE)
-    for lang, share in usual.items():  # at most as many as fit() keeps
-        least = F.when(F.col("_lang") == lang, LEAST_USUAL_SHARE * share).otherwise(least)
+    found = found.join(F.broadcast(usual), "_lang", "left")  # a row for each language of the model
+    least = LEAST_USUAL_SHARE * F.coalesce("_usual", F.lit(1.0))
     evident = (F.col("_score") >= LEAST_LANGUAGE_SCORE) & (F.col("_share") >= least) & (F.col("_deviations") > LEAST_DEVIATIONS)
     return found.where((F.col("_lang") != "und") & evident).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier calls toxic."""
+    """Drops documents that the classifier calls toxic. Null and empty texts stay; equal texts have equal fates."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, score_col="_score").where(F.col("_score") < LEAST_TOXICITY).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes passages of lines that stand in an earlier document out of texts; n_chars follows the text."""
+    """Takes passages of lines that stand in an earlier document out of texts; n_chars follows the text. All rows stay, with empty texts if nothing is left."""
     cleaned = linededup.remove_repeated(docs, removed_col="_removed")
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
@@ -50,12 +55,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (Jaccard similarity of five-word shingles 0.8 or more) the document with the smallest id stays."""
+    """Of each group of near duplicates (Jaccard similarity of five-word shingles 0.8 or more) the document with the smallest id stays.
+
+    The SimHash index links first; exact comparison decides. Texts without words are one group. Of equal ids in a group
+    the one with the smallest text hash stays; an id that repeats with another text keeps both.
+    """
     return similar.drop_near_duplicates(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed sequences."""
+    """The pieces of packed sequences: every row has its tokens, null and empty texts the end id alone."""
     return piece_digests(packing.pack(docs, vocabulary("byte_bpe_50k.json")))
 
 

@@ -1,11 +1,12 @@
 """Language identification by bit-sliced Bloom filters of character n-grams.
 
-Each slot of one table holds a bitmask of languages; an n-gram's slots, and-ed, give every language that holds it at
-once. A document's language is the one with most n-grams, once the expected false positives are taken off.
+Each slot of one table holds a bitmask of languages (as many words of 64 as they need); an n-gram's slots, and-ed, give
+every language that holds it at once. A document's language is the one with most n-grams, once the expected false positives are taken off.
 """
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from dataclasses import dataclass
 
@@ -19,16 +20,17 @@ from tidemark.llm.common import held_out
 SIZES = (2, 3, 4)
 #: Characters that are worked on at once; longer texts span several blocks.
 BLOCK = 1 << 19
-#: Parts that the documents of one language are dealt into when the sample is drawn.
-SALTS = 1024
-_LETTER: np.ndarray | None = None
+#: Languages that one filter can hold; more raise.
+MOST_LANGUAGES = 4096
+_KINDS: list[np.ndarray] = []
 
 
-def _letters() -> np.ndarray:
-    global _LETTER
-    if _LETTER is None:
-        _LETTER = np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
-    return _LETTER
+def _kinds() -> list[np.ndarray]:
+    """For each code point whether it's a letter or a mark on one, and whether it's a letter."""
+    if not _KINDS:
+        kind = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
+        _KINDS[:] = np.array([k in "LM" for k in kind]), np.array([k == "L" for k in kind])
+    return _KINDS
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -46,7 +48,7 @@ def _blocks(texts: list[str | None]):
     def out():
         s = "".join(parts)
         c = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        return c * _letters()[c], np.repeat([o for o, _ in owners], [n for _, n in owners])
+        return c * _kinds()[0][c], np.repeat([o for o, _ in owners], [n for _, n in owners])
 
     for k, t in enumerate(texts):
         low = (t or "").lower()
@@ -92,13 +94,18 @@ class LanguageFilter:
     def build(cls, languages: tuple[str, ...], grams: dict[str, np.ndarray], hashes: int = 3, bits_each: int = 24) -> LanguageFilter:
         most = max([len(g) for g in grams.values()], default=1)
         size = 1 << max(10, int(np.ceil(np.log2(max(1, most) * bits_each / 4))))
-        slots = np.zeros(size, np.uint64)
+        slots = np.zeros((size, -(-len(languages) // 64) or 1), np.uint64)
         for k, lang in enumerate(languages):
             for at in cls._places(grams[lang], size, hashes):
-                np.bitwise_or.at(slots, at, np.uint64(1 << k))
-        share = np.array([((slots >> np.uint64(k)) & np.uint64(1)).mean() for k in range(len(languages))])
+                np.bitwise_or.at(slots[:, k // 64], at, np.uint64(1 << k % 64))
+        share = np.array([cls.has(slots, k).mean() for k in range(len(languages))])
         return cls(languages, slots, hashes, share)
 
+    @staticmethod
+    def has(masks: np.ndarray, k: int) -> np.ndarray:
+        """Which of the bitmasks hold the language k."""
+        return (masks[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1) != 0
+
     @staticmethod
     def _places(h: np.ndarray, size: int, hashes: int):
         step = (h >> np.uint64(32)) | np.uint64(1)
@@ -107,7 +114,7 @@ class LanguageFilter:
 
     def members(self, h: np.ndarray) -> np.ndarray:
         """The bitmask of the languages that hold each n-gram (false positives included)."""
-        mask = np.full(len(h), ~np.uint64(0))
+        mask = np.full((len(h), self.slots.shape[1]), ~np.uint64(0))
         for at in self._places(h, len(self.slots), self.hashes):
             mask &= self.slots[at]
         return mask
@@ -120,16 +127,17 @@ class LanguageFilter:
         """What predict gives, and the evidence for the language: the share of the text's n-grams that it holds, without the
         expected false positives, and how many standard deviations of these that is. N-grams of all languages don't count."""
         hits, total, letters = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts)), np.zeros(len(texts))
-        every = np.uint64((1 << len(self.languages)) - 1) if len(self.languages) > 1 else ~np.uint64(0)
+        n = len(self.languages)
+        every = np.array([(1 << max(0, min(64, n - 64 * w))) - 1 for w in range(self.slots.shape[1])], np.uint64) if n > 1 else ~np.uint64(0)
         for c, doc in _blocks(texts):
-            letters += np.bincount(doc, weights=c != 0, minlength=len(texts))
+            letters += np.bincount(doc, weights=_kinds()[1][c], minlength=len(texts))
             for h, d in _grams(c, doc):
                 mask = self.members(h)
-                tells = mask != every  # what all languages share tells nothing
+                tells = (mask != every).any(1)  # what all languages share tells nothing
                 mask, d = mask[tells], d[tells]
                 total += np.bincount(d, minlength=len(texts))
-                for k in range(len(self.languages)):
-                    hits[:, k] += np.bincount(d[(mask >> np.uint64(k)) & np.uint64(1) != 0], minlength=len(texts))
+                for k in range(n):
+                    hits[:, k] += np.bincount(d[self.has(mask, k)], minlength=len(texts))
         wrong = self.share**self.hashes
         true = np.clip((hits - total[:, None] * wrong) / (1 - wrong + 1e-12), 0, None)
         best = true.argmax(1)  # the first of equals: languages are in order of their documents' number
@@ -143,23 +151,29 @@ class LanguageFilter:
         return ["und" if not n else self.languages[k] for n, k in zip(letters, best)], np.where(letters > 0, score, 0.0), share, np.where(total > 0, deviations, 0.0)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = 1500, most_grams: int = 12000, most_langs: int = 64) -> LanguageFilter:
-    """The filter of a bounded sample: of each of the most_langs commonest languages the most_docs documents with the smallest id hashes.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = 1500, most_grams: int = 12000) -> LanguageFilter:
+    """The filter of a bounded sample of labelled rows: of each language the most_docs documents with the smallest id hashes.
 
-    Rows held out, without text or without lang teach nothing. The n-grams are counted in Spark; each language keeps its
-    most_grams commonest. At most most_langs * (most_docs + most_grams) rows come to the driver.
+    Rows held out, without text or without lang teach nothing; of an id that repeats one text counts. All languages are
+    learned, as many as MOST_LANGUAGES; more raise. The n-grams of the sample are counted in Spark; a language is modelled by
+    its most_grams commonest, and the driver sees these only. Without a language to learn every text is und.
     """
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    langs = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(most_langs)
-    names = tuple(r[0] for r in langs.collect())
+    ids = rows.select("i", "l").distinct()
+    sizes = ids.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    names = tuple(r["l"] for r in sizes)
     if not names:
-        return LanguageFilter((), np.zeros(1024, np.uint64), 3, np.zeros(0))
-    chosen = rows.where(F.col("l").isin(*names)).select("i", "l").withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(SALTS)))
-    for keys in (["l", "salt"], ["l"]):  # a language may have a third of all rows: first the smallest of each of its parts
-        order = Window.partitionBy(*keys).orderBy(F.xxhash64("i"), "i")
-        chosen = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most_docs).drop("n")
-    chosen = chosen.select("i", "l").distinct()
-    sample = rows.join(F.broadcast(chosen), ["i", "l"], "left_semi")
+        return LanguageFilter((), np.zeros((1024, 1), np.uint64), 3, np.zeros(0))
+    # a hash bound leaves a few more than most_docs of each language, however large it is; the window takes them from these
+    span = 1 << 40
+    wanted = most_docs + 6 * math.sqrt(most_docs) + 20
+    bounds = docs.sparkSession.createDataFrame([(r["l"], min(span, int(wanted / r["count"] * span))) for r in sizes], "l string, bound long")
+    near = ids.withColumn("x", F.shiftrightunsigned(F.xxhash64("i"), 24)).join(F.broadcast(bounds), "l").where("x <= bound")
+    order = Window.partitionBy("l").orderBy("x", "i")
+    chosen = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most_docs).select("i", "l")
+    sample = rows.join(F.broadcast(chosen), ["i", "l"], "left_semi").groupBy("i", "l").agg(F.min("t").alias("t"))
 
     def count(batches):
         for b in batches:
@@ -176,23 +190,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return LanguageFilter.build(names, {name: g[k == i] for i, name in enumerate(names)})
 
 
-def usual_shares(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text_col: str = "text", most_docs: int = 2000) -> dict[str, float]:
-    """Of each language the median share of known n-grams, over the most_docs held-out documents with the smallest id hashes."""
-    held = docs.where(held_out(id_col) & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = held.orderBy(F.xxhash64(id_col), id_col).limit(most_docs).select(F.substring(text_col, 1, 4000)).collect()
-    if not rows or not model.languages:
-        return {}
-    langs, scores, shares, _ = model.measure([r[0] for r in rows])
-    found: dict[str, list[float]] = {}
-    for lang, score, share in zip(langs, scores, shares):
-        if score > 0:
-            found.setdefault(lang, []).append(float(share))
-    return {lang: float(np.median(x)) for lang, x in found.items()}
+def usual_shares(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(lang, share): of each predicted language the median share of known n-grams over all held-out documents."""
+    held = docs.where(held_out(id_col) & F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"))
+    found = identify(held, model, "t", "lang", "score", ("part", "deviations"))
+    return found.where("score > 0").groupBy("lang").agg(F.percentile_approx("part", 0.5, 10000).alias("share"))
 
 
 def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "lang_score", evidence_cols: tuple[str, str] | None = None) -> DataFrame:
     """docs with two more columns: the predicted language and its score. Extra columns pass through; clashing names raise.
 
+    Null texts and texts without a letter (marks alone aren't letters) are und with score 0. Of languages that fit equally
+    the one with more documents is taken. Repeated rows and empty tables stay as they are; whole texts are read in blocks.
     evidence_cols names two more, if wanted: the share of known n-grams and its standard deviations over chance.
     """
     for c in (lang_col, score_col, *(evidence_cols or ())):
