@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out
+from tidemark.llm.common import cut, held_out
 
 #: General insults known before anything is learned.
 SEED_TERMS = (
@@ -227,7 +227,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
     return tuple(map(float, w))
 
 
-def _lexicon(top: list, most: int) -> list[tuple[str, float]]:
+def _lexicon(top: list) -> list[tuple[str, float]]:
     """Of candidates (term, toxic texts, log odds), best first: a stem if it gathers more texts than any word of its own, else the word."""
     chosen: list[tuple[str, float]] = []
     bad = {w: b for w, b, _ in top}
@@ -239,35 +239,38 @@ def _lexicon(top: list, most: int) -> list[tuple[str, float]]:
                 continue
             chosen = [(c, x) for c, x in chosen if not c.startswith(w[:-1])]
         chosen.append((w, o))
-    return chosen[:most]
+    return chosen
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 3000, most_terms: int = 200, seed_terms: tuple[str, ...] = SEED_TERMS) -> ToxicityModel:
-    """A model of a bounded sample: of each label the most_rows rows with the smallest id hashes, none of them held out.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 3000, seed_terms: tuple[str, ...] = SEED_TERMS) -> ToxicityModel:
+    """A model of a bounded sample of labelled rows: of each label the most_rows ids with the smallest hashes, none of them held out.
 
-    An id with several labels counts as toxic if any says so; null ids, labels or texts teach nothing. The lexicon is
-    seed_terms and the words and stems that toxic texts use far more than clean ones, at most most_terms; words that clean texts
-    use although they are within reach of a term are learned as benign.
+    An id with several labels counts as toxic if any says so, as does a text that several ids have; of an id that repeats
+    one text counts. Null ids, labels or texts teach nothing. The lexicon is seed_terms and all words and stems that
+    toxic texts of the sample use far more than clean ones (in at least 4 of them and 1 % of them); words that clean texts
+    use although they are within reach of a term are learned as benign. Without both labels only seed_terms count.
     """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("i")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     chosen = None
     for y in (0, 1):
         part = marked.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(most_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    sample = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(chosen), "i").select("t", "y")
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(chosen), "i")
+    texts = texts.groupBy("i", "y").agg(F.min("t").alias("t")).groupBy("t").agg(F.max("y").alias("y"))
+    sample = cut(texts)  # at most 2 * most_rows rows
     pieces = F.transform(
-        F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{N}]{3,24}"), F.lit(0)),
+        F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)),
         lambda w: F.array(w, *(F.when(F.length(w) >= k, F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STEM_LETTERS)),
     )
-    words = sample.dropDuplicates(["t"]).select("y", F.explode(F.array_distinct(F.flatten(pieces))).alias("w")).where("w is not null")
+    words = sample.select("y", F.explode(F.array_distinct(F.flatten(pieces))).alias("w")).where("w is not null")
     counts = words.groupBy("w").agg(F.sum("y").cast("long").alias("bad"), F.sum(1 - F.col("y")).cast("long").alias("good"))
     n = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
     if not n.get(1) or not n.get(0):
         base = np.log((n.get(1, 0) + 0.5) / (n.get(0, 0) + 0.5))
         return ToxicityModel({t: 1.0 for t in seed_terms}, frozenset(), (2.0, 1.0, 0.0, 0.5, float(min(base, -2.0))))
     odds = F.log((F.col("bad") + 0.5) / (n[1] + 1.0)) - F.log((F.col("good") + 0.5) / (n[0] + 1.0))
-    top = counts.where(F.col("bad") >= max(4, 0.01 * n[1])).select("w", "bad", odds.alias("o")).where("o >= 3").orderBy(F.desc(F.col("o") * F.col("bad")), "w").limit(10 * most_terms).collect()
-    weights = {t: 0.5 for t in seed_terms} | {w: float(np.clip(o / 4, 0.5, 1.5)) for w, o in _lexicon(top, most_terms)}
+    top = counts.where(F.col("bad") >= max(4, 0.01 * n[1])).select("w", "bad", odds.alias("o")).where("o >= 3").orderBy(F.desc(F.col("o") * F.col("bad")), "w").collect()
+    weights = {t: 0.5 for t in seed_terms} | {w: float(np.clip(o / 4, 0.5, 1.5)) for w, o in _lexicon(top)}
     automaton = TermAutomaton(tuple(weights))
 
     def reach(batches):
@@ -276,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield b.filter(pa.array(live, pa.bool_()))
 
     spread = counts.where(~F.col("w").endswith("*") & (F.col("good") / n[0] >= F.col("bad") / n[1])).select("w", "good").mapInArrow(reach, "w string, good long")
-    benign = frozenset(r[0] for r in spread.orderBy(F.desc("good"), "w").limit(20 * most_terms).collect())
+    benign = frozenset(r[0] for r in spread.collect())  # words of the sample
     model = ToxicityModel(weights, benign, (0.0,) * 5)
 
     def measure(batches):
@@ -290,7 +293,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
-    """docs with one more column, 0 to 1. A null text scores as an empty one. Other columns pass through; a clashing name raises."""
+    """docs with one more column, 0 to 1, of the whole text. A null text scores as an empty one, equal texts score equally.
+
+    Other columns pass through, repeated rows and empty tables stay as they are; a column named score_col raises.
+    """
     if score_col in docs.columns:
         raise ValueError(f"docs has a column {score_col} already")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit()
