@@ -135,19 +135,27 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs with the repeated lines taken out of their texts, and the number of lines taken out in removed_col (None: no such column)."""
     if removed_col in docs.columns:
         raise ValueError(f"docs has a column {removed_col} already")
+    if own := [c for c in docs.columns if c.lower().startswith("_ld_")]:
+        raise ValueError(f"columns of docs can't be named {own}")
     ranges = cut(repeated_ranges(docs, id_col, text_col, window, divisor, long_line_words))
     key = F.xxhash64(id_col, text_col)
     joined = docs.withColumn(_KEY, key).alias("d").join(ranges.alias("r"), F.col(f"d.{id_col}").eqNullSafe(F.col(f"r.{_ID}")) & (F.col(f"d.{_KEY}") == F.col(f"r.{_KEY}")), "left")
-    kept = let(
-        F.split(F.col(f"d.{text_col}"), "\n", -1),
-        lambda lines: F.filter(lines, lambda _, i: ~F.exists(F.col("r.ranges"), lambda r: (r["start"] <= i) & (i < r["end"]))),
-    )
+    kept = let(F.split(F.col(f"d.{text_col}"), "\n", -1), lambda lines: _without(lines, F.col("r.ranges")))
     kept = let(kept, lambda lines: F.when(F.exists(lines, lambda x: x.rlike(r"\S")), lines).otherwise(F.array().cast("array<string>")))
     text = F.when(F.col("r.ranges").isNull(), F.col(f"d.{text_col}")).otherwise(F.array_join(kept, "\n"))
-    out = joined.select(*(text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns), *([(_lines(F.col(f"d.{text_col}")) - F.when(F.size(kept) == 0, 0).otherwise(F.size(kept))).alias("_n"), F.col("r.ranges").isNull().alias("_whole")] if removed_col else []))
+    out = joined.select(*(text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns), *([(_lines(F.col(f"d.{text_col}")) - F.when(F.size(kept) == 0, 0).otherwise(F.size(kept))).alias("_ld_n"), F.col("r.ranges").isNull().alias("_ld_whole")] if removed_col else []))
     if not removed_col:
         return out
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.when(F.col("_whole"), F.lit(0)).otherwise(F.col("_n")).cast("int").alias(removed_col))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.when(F.col("_ld_whole"), F.lit(0)).otherwise(F.col("_ld_n")).cast("int").alias(removed_col))
+
+
+def _without(lines: Column, ranges: Column) -> Column:
+    """The lines between ranges (start, end) that don't overlap."""
+
+    def between(rs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(rs)), lambda k: let(F.coalesce(F.get(rs, k - 1)["end"], F.lit(0)), lambda s: F.slice(lines, s + 1, F.coalesce(F.get(rs, k)["start"], F.size(lines)) - s)))
+
+    return F.flatten(let(F.array_sort(ranges), between))
 
 
 def _lines(text: Column) -> Column:
