@@ -33,8 +33,11 @@ def decided(pages: DataFrame, id_col: str = "page_id", body_col: str = "html", l
     """pages with payload_digest (hex SHA-1), payload_bytes, record_type and refers_to.
 
     Of equal payloads of at least `least` bytes the row with the largest id is the response (each of them, if that id
-    repeats or all are null); the others revisit it. A null body is an empty one.
+    repeats or all are null); the others revisit it. A null body is an empty one. Other columns pass through; one that has
+    a name of those that are added raises.
     """
+    if own := {"payload_digest", "payload_bytes", "record_type", "refers_to", "_holder", "_n"} & {c.lower() for c in pages.columns}:
+        raise ValueError(f"columns of pages can't be named {sorted(own)}")
     body = F.encode(F.coalesce(F.col(body_col), F.lit("")), "UTF-8")
     known = pages.withColumn("payload_digest", F.sha1(body)).withColumn("payload_bytes", F.octet_length(body).cast("long"))
     groups = known.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max(id_col).alias("_holder"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
@@ -186,24 +189,23 @@ def read_archives(archives: DataFrame, members_per_part: int = 512, verify: bool
     """(archive, offset, type, record_id, uri, refers_to, digest, payload_length, payload) of each record of the archives.
 
     The index says where members begin, so an archive is read in parts by several tasks, each from an offset. payload is
-    null for revisits. verify: a payload that its digest doesn't fit raises.
+    null for revisits. verify: a payload that its digest doesn't fit raises. Records that repeat are read each; an archive
+    without records, or an empty table, gives no rows.
     """
 
     def parts(batches):
         for b in batches:
             for a in b.column(0).to_pylist():
                 fs, path = _filesystem(a)
-                starts, n, at = [], 0, 0
+                spans: list[list[int]] = []  # the borders of the members of each part
                 with fs.open_input_stream(f"{path}.idx", compression=None) as f:
                     for line in io.BufferedReader(f):
                         offset, length = map(int, line.split(b"\t")[:2])
-                        if n >= members_per_part or not starts or offset - starts[-1] > 8 * BLOCK:
-                            starts.append(offset)
-                            n = 0
-                        at, n = offset + length, n + 1
-                if starts:
-                    ends = [*starts[1:], at]
-                    yield pa.RecordBatch.from_pydict({"archive": [a] * len(starts), "start": starts, "end": ends})
+                        if not spans or len(spans[-1]) > members_per_part or offset - spans[-1][0] > 8 * BLOCK:
+                            spans.append([offset])
+                        spans[-1].append(offset + length)
+                if spans:
+                    yield pa.RecordBatch.from_arrays([pa.array([a] * len(spans)), pa.array(spans, pa.list_(pa.int64()))], ["archive", "borders"])
 
     def run(batches):
         import hashlib
@@ -211,29 +213,27 @@ def read_archives(archives: DataFrame, members_per_part: int = 512, verify: bool
         names = ["archive", "offset", "type", "record_id", "uri", "refers_to", "digest", "payload_length", "payload"]
         types = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary()]
         for b in batches:
-            for a, start, end in zip(*(b.column(k).to_pylist() for k in range(3))):
+            for a, borders in zip(*(b.column(k).to_pylist() for k in range(2))):
                 fs, path = _filesystem(a)
                 with fs.open_input_file(path) as f:
-                    f.seek(start)
-                    raw = f.read(end - start)
-                out, size, offset = [], 0, start
-                while raw:
-                    z = zlib.decompressobj(31)
-                    data = z.decompress(raw)
+                    f.seek(borders[0])
+                    raw = memoryview(f.read(borders[-1] - borders[0]))
+                out, size = [], 0
+                for offset, end in zip(borders, borders[1:]):
+                    data = zlib.decompress(raw[offset - borders[0] : end - borders[0]], 31)
                     (headers, _, block), = split_records(iter([data]))
                     body = block.partition(END)[2] if headers["warc-type"] == "response" else None
                     digest = _hex(headers["warc-payload-digest"])
                     if verify and body is not None and hashlib.sha1(body).hexdigest() != digest:
                         raise ValueError(f"{a}: the payload at {offset} doesn't fit its digest")
                     out.append((a, offset, headers["warc-type"], headers["warc-record-id"], headers["warc-target-uri"], headers.get("warc-refers-to"), digest, int(headers.get("warc-payload-length", len(body or b""))), body))
-                    offset += len(raw) - len(z.unused_data)
-                    raw, size = z.unused_data, size + len(body or b"")
-                    if size > 8 * BLOCK or not raw:
+                    size += len(body or b"")
+                    if size > 8 * BLOCK or end == borders[-1]:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
                         out, size = [], 0
 
     spark = archives.sparkSession
-    spans = archives.select("archive").mapInArrow(parts, "archive string, start long, end long")
+    spans = archives.select("archive").mapInArrow(parts, "archive string, borders array<long>")
     dealt = spans.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return dealt.mapInArrow(run, "archive string, offset long, type string, record_id string, uri string, refers_to string, digest string, payload_length long, payload binary")
 
@@ -245,7 +245,10 @@ def _hex(digest: str) -> str:
 
 
 def archive(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = LEAST_SHARED) -> DataFrame:
-    """Writes a record per page to monolithic gzip archives, normalises them, and gives the (archive, records, bytes) table of the result."""
+    """Writes a record per page to monolithic gzip archives, normalises them, and gives the (archive, records, bytes) table of the result.
+
+    Rows that repeat have a record each; an empty table gives archives without records, or none.
+    """
     spark = pages.sparkSession
     folder = folder or shared_folder(spark, "warc")
     write_monolithic(records(decided(pages, id_col, body_col, least), id_col, url_col, body_col), f"{folder}/monolithic")
