@@ -168,17 +168,21 @@ def format_conversations(turns: DataFrame, template: Template = LLAMA_LIKE, conv
 
 
 def read_back(formatted: DataFrame, template: Template = LLAMA_LIKE, conv_col: str = "conv_id") -> DataFrame:
-    """One row per conversation of what format_conversations() gives, in its order, with what its text and mask say."""
+    """One row per conversation of what format_conversations() gives, in its order, with what its text and mask say.
+
+    The rows of a conversation must follow each other, its segments counting from 0 (a stored table is sorted by both
+    first); other orders raise. An empty table gives an empty one.
+    """
     import hashlib
 
     def run(batches):
         names = [conv_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
         conv, begun, reader, turns, said, learnt, chars, learnt_chars, state = None, False, None, 0, None, None, 0, 0, ""
-        kind = None
+        kind, place = None, 0
         for b in _and_none(batches):
             out: list[list] = [[] for _ in names]
             kind = b.schema.field(0).type if b is not None else kind
-            for c, text, loss, now in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4))) if b is not None else [(None, None, None, None)]:
+            for c, segment, text, loss, now in zip(*(b.column(k).to_pylist() for k in range(5))) if b is not None else [(None,) * 5]:
                 if begun and (text is None or c != conv):
                     if reader.held:
                         raise ValueError(f"conversation {conv} has text after its last turn")
@@ -188,6 +192,10 @@ def read_back(formatted: DataFrame, template: Template = LLAMA_LIKE, conv_col: s
                     break
                 if not begun or c != conv:
                     conv, begun, reader, turns, said, learnt, chars, learnt_chars = c, True, Reader(template), 0, hashlib.sha256(), hashlib.sha256(), 0, 0
+                    place = 0
+                if segment != place:
+                    raise ValueError(f"conversation {conv} has segment {segment} where {place} should be")
+                place += 1
                 chars, state = chars + len(text), now
                 for role, body, masked in reader.feed(text, loss):
                     turns += 1

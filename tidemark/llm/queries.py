@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +19,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocabulary(name: str) -> str:
-    """The place of a public tokenizer's file; the folder of TOKENIZER_DIR goes before the installed package."""
-    if folder := os.environ.get("TOKENIZER_DIR"):
-        return f"{folder.rstrip('/')}/{name}"
+    """The place of a public tokenizer's file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
