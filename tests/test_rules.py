@@ -88,12 +88,6 @@ def test_breaker_and_states(spark):
     assert got == ["INITIALIZING", "NORMAL", "WARNING", "ALERT", "ALERT", "NORMAL", "WARNING"]
 
 
-def test_bounded_queue(spark):
-    df = spark.createDataFrame([(1, t * K.SECOND, t) for t in (0, 1, 2, 3, 13)], "k int, t long, sequence long")
-    got = [r["queued"] for r in folds.bounded_queue(df, ["k"], "t", ["t"], size=2, least_seconds=0.5, drain_seconds=10).orderBy("t").collect()]
-    assert got == ["TAKEN", "TAKEN", "DROPPED", "DROPPED", "TAKEN"]
-
-
 def test_consecutive_and_limit(spark):
     df = spark.createDataFrame([(1, i, v) for i, v in enumerate([5.0, 9.0, 9.0, None, 9.0])], "k int, sequence long, v double")
     assert [r["consecutive"] for r in history.consecutive(df, ["k"], ["sequence"], F.col("v") > 6).orderBy("sequence").collect()] == [0, 1, 2, 0, 1]

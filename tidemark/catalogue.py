@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import guarding, outcomes, points, sequences, upkeep
+from tidemark.plans import consequences, guarding, ingestion, outcomes, points, sequences, upkeep
 
-_PLANS = (points, guarding, sequences, outcomes, upkeep)
+_PLANS = (points, guarding, sequences, outcomes, upkeep, ingestion, consequences)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

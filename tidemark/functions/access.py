@@ -25,3 +25,13 @@ def device_key_error(device_found: Column, key_found: Column, active: Column, re
         .when(revoked_at.isNotNull(), "KEY_REVOKED")
         .when(expires_at < now, "KEY_EXPIRED")
     )
+
+
+def call_error(given: Column, role: Column, active: Column, own_source: Column, domains: Column, source: Column, domain: Column) -> Column:
+    """Null for a call that may write, else why not. role and what follows are those of the key with the given key's hash."""
+    return (
+        F.when(given.isNull(), "missing_key")
+        .when(role.isNull(), "invalid_key")
+        .when(~F.coalesce(active, F.lit(False)), "inactive_key")
+        .when(~may_write(role, own_source, domains, source, domain), "forbidden")
+    )

@@ -68,3 +68,9 @@ def out_of_message_range(value: Column, type_: Column) -> Column:
 
 def not_iot(domain: Column) -> Column:
     return F.coalesce(F.lower(domain) != "iot", F.lit(False))
+
+
+def contract_error(sensor_id: Column, value: Column, timestamp: Column) -> Column:
+    """What a reading (texts) lacks to keep the domain's contract; null if it keeps it."""
+    missing = [F.when(c.isNull(), f"Missing required field: {name}") for name, c in (("sensor_id", sensor_id), ("value", value), ("timestamp", timestamp))]
+    return F.coalesce(*missing, F.when(sensor_id.try_cast("long").isNull(), "sensor_id must be an integer"), F.when(value.try_cast("double").isNull(), "value must be a number"))

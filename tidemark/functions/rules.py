@@ -109,3 +109,31 @@ def backoff_seconds(attempt: Column, base: float = 1.0, cap: float = 30.0, facto
 def dead_letter_fate(recovered: Column, retries: Column, age_seconds: Column, most: int = K.DLQ_RETRIES, max_age: int = K.DLQ_MAX_AGE) -> Column:
     """What becomes of a dead letter: recovered ones and those too old go, those tried often enough are archived, the rest go back."""
     return F.when(recovered | (age_seconds > max_age), "deleted").when(retries >= most, "archived").otherwise("requeued")
+
+
+def persists_reading(class_: Column) -> Column:
+    """Alerts and warnings leave their reading; clean values only renew the newest one."""
+    return class_.isin("ALERT", "WARNING")
+
+
+def goes_to_learning(class_: Column) -> Column:
+    """Only clean values go to the learning side, never alerts or warnings."""
+    return class_ == "ML_PREDICTION"
+
+
+def store_of(domain: Column) -> Column:
+    return F.when(F.coalesce(domain, F.lit("")) == "", "unsupported").when(domain == "iot", "iot").otherwise("universal")
+
+
+def state_of(known: Column, state: Column) -> Column:
+    """A sensor's state: UNKNOWN for one that isn't known or whose state can't be read, INITIALIZING for one without a state."""
+    name = F.upper(F.coalesce(state, F.lit("INITIALIZING")))
+    return F.when(known & name.isin(*K.TRANSITIONS, "UNKNOWN"), name).otherwise("UNKNOWN")
+
+
+def spike_message(delta: Column, last_value: Column, seconds: Column, triggered: Column) -> Column:
+    sloped = F.array_contains(triggered, "abs_slope") | F.array_contains(triggered, "rel_slope")
+    # Fixed: the message's words.
+    moved = F.when(delta > 0, "subió").otherwise("cambió")
+    told = F.concat(F.lit("El valor "), moved, F.lit(" "), F.format_string("%.2f", delta), F.lit(" unidades desde "), F.format_string("%.2f", last_value))
+    return F.when(sloped & (seconds > 0), F.concat(told, F.lit(". en "), F.format_string("%.0f", seconds), F.lit(" segundos"))).otherwise(told)

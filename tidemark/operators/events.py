@@ -41,15 +41,17 @@ def with_spike(rows: DataFrame, thresholds: dict[str, float | None], typed: bool
     return rows.withColumn("triggered", rules.spike(F.col("value"), F.col("t"), F.col("previous_value"), F.col("previous_t"), limits, *floor, least))
 
 
-def iot_classified(rows: DataFrame, ranges: DataFrame, spikes: dict[str, float | None], fresh_seconds: float = K.FRESH_SECONDS, cooldown_seconds: float = K.COOLDOWN_SECONDS, warm_up: int = K.WARM_UP_READINGS, required: int = K.CONSECUTIVE) -> DataFrame:
+def iot_classified(rows: DataFrame, ranges: DataFrame, spikes: dict[str, float | None], fresh_seconds: float = K.FRESH_SECONDS, cooldown_seconds: float = K.COOLDOWN_SECONDS, warm_up: int = K.WARM_UP_READINGS, required: int = K.CONSECUTIVE, takes_part: Column | None = None) -> DataFrame:
     """rows with class (ALERT, WARNING or ML_PREDICTION) and reason.
 
     In order: invalid values; sensors that warm up; values out of range, of which the required number in a row makes an
     alert; values in the warning band; spikes, unless one was reported within the cooldown; all else is clean.
-    ranges: (sensor_id, low, high, warning_min, warning_max), one row per sensor.
+    ranges: (sensor_id, low, high, warning_min, warning_max), one row per sensor. Rows for which takes_part isn't true are
+    invalid and leave no trace in the history of their sensor.
     """
     r = rows.join(ranges, "sensor_id", "left")
     good = ~(F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf")))
+    good = good if takes_part is None else good & F.coalesce(takes_part, F.lit(False))
     r = r.withColumn("_good", good).withColumn("_n", F.sum(F.col("_good").cast("int")).over(history.upto(KEYS, ORDER)))
     r = r.withColumn("_open", F.col("_good") & (F.col("_n") >= warm_up))
     r = r.withColumn("_out", guards.below_or_above(F.col("value"), F.col("low"), F.col("high")))

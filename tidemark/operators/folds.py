@@ -54,24 +54,49 @@ def spaced(rows: DataFrame, keys: list[str], time_col: str, seconds: float, orde
     """
     gap = int(seconds * K.SECOND)
     kept = rows.columns
+    if order[0] != time_col:
+        raise ValueError("rows must be in order of their times first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last = None, None
+        key, last = None, None  # of the last row before a batch, and the time accepted last of that key
         for b in batches:
-            own = list(zip(*(b.column(b.schema.names.index(c)).to_pylist() for c in keys)))
+            n = b.num_rows
+            if not n:
+                continue
+            columns = [b.column(b.schema.names.index(c)) for c in keys]
+            codes = np.stack([c.dictionary_encode(null_encoding="encode").indices.to_numpy() for c in columns], 1)
+            starts = np.r_[0, np.flatnonzero((np.diff(codes, axis=0) != 0).any(1)) + 1]
             t = b.column(b.schema.names.index(time_col))
             missing = t.is_null().to_numpy(zero_copy_only=False)
             micros = t.fill_null(0).to_numpy()
-            out = np.zeros(len(own), bool)
-            looked_at = np.ones(len(own), bool) if only is None else b.column(b.schema.names.index(only)).fill_null(False).to_numpy(zero_copy_only=False)
-            for i, k in enumerate(own):
-                if k != key:
-                    key, last = k, None
-                if not looked_at[i]:
-                    continue
-                if missing[i] or last is None or micros[i] - last >= gap:
-                    out[i] = True
-                    last = last if missing[i] else micros[i]
+            looked_at = np.ones(n, bool) if only is None else b.column(b.schema.names.index(only)).fill_null(False).to_numpy(zero_copy_only=False)
+            out = looked_at & missing
+            rows_ = np.flatnonzero(looked_at & ~missing)
+            times, groups = micros[rows_], np.searchsorted(starts, rows_, "right") - 1
+            first = [c[0].as_py() for c in columns]
+            held = last if first == key else None
+            ends = np.searchsorted(groups, np.arange(len(starts)), "right")
+            at = np.searchsorted(groups, np.arange(len(starts)), "left")
+            if held is not None:
+                at[0] = np.searchsorted(times[: ends[0]], held + gap)
+            # all keys move on to their next accepted row at once
+            span = int(times.max() - times.min()) + gap + 1 if len(times) else 1
+            base = int(times.min()) if len(times) else 0
+            place = groups * span + (times - base)
+            own, accepted = np.arange(len(starts)), np.full(len(starts), -1)
+            while True:
+                live = at[own] < ends[own]
+                own = own[live]
+                if not len(own):
+                    break
+                accepted[own] = at[own]
+                out[rows_[at[own]]] = True
+                at[own] = np.maximum(at[own] + 1, np.searchsorted(place, own * span + (times[at[own]] - base) + gap))
+            key = [c[n - 1].as_py() for c in columns]
+            if accepted[-1] >= 0:
+                last = int(times[accepted[-1]])
+            elif len(starts) > 1 or held is None:
+                last = None
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*kept, name])
 
     return in_order(rows, keys, order).mapInArrow(run, rows.select("*", F.lit(True).alias(name)).schema)
@@ -123,25 +148,3 @@ def states(rows: DataFrame, keys: list[str], severity_col: str, order: list[str]
         return (mode, n), mode
 
     return fold(rows, keys, order, [severity_col], lambda: ("INITIALIZING", 0), step, name, "string")
-
-
-def bounded_queue(rows: DataFrame, keys: list[str], time_col: str, order: list[str], size: int, least_seconds: float, drain_seconds: float, name: str = "queued") -> DataFrame:
-    """rows with what a bounded queue does: RATE_LIMITED within least_seconds of the last one taken, DROPPED when full, else TAKEN.
-
-    One element leaves every drain_seconds.
-    """
-
-    def step(state: tuple, x: tuple) -> tuple:
-        held, last, drained = state
-        now = x[0]
-        if drained is None:
-            drained = now
-        gone = int((now - drained) // (drain_seconds * K.SECOND))
-        held, drained = max(0, held - gone), drained + int(gone * drain_seconds * K.SECOND)
-        if last is not None and now - last < least_seconds * K.SECOND:
-            return (held, last, drained), "RATE_LIMITED"
-        if held >= size:
-            return (held, last, drained), "DROPPED"
-        return (held + 1, now, drained), "TAKEN"
-
-    return fold(rows, keys, order, [time_col], lambda: (0, None, None), step, name, "string")

@@ -39,21 +39,27 @@ def newest(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> Dat
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= n)
 
 
-def rate_limited(rows: DataFrame, keys: list[str], time_col: str, order: list[str], limit: int, window_seconds: int = K.RATE_WINDOW_SECONDS) -> DataFrame:
-    """rows with approx (calls in a sliding window, by the share of the bucket before that still counts) and allowed."""
+def rate_limited(rows: DataFrame, keys: list[str], time_col: str, order: list[str], limit: int, window_seconds: int = K.RATE_WINDOW_SECONDS, counts: Column | None = None) -> DataFrame:
+    """rows with approx (calls in a sliding window, by the share of the bucket before that still counts) and allowed.
+
+    Windows only: one scan and one exchange. Rows for which counts isn't true aren't calls: they have neither.
+    """
     width = window_seconds * K.SECOND
     bucket = F.floor(F.col(time_col) / F.lit(width)).cast("long")
-    counted = rows.withColumn("_bucket", bucket).withColumn("_n", F.row_number().over(by([*keys, "_bucket"], order)))
+    r = rows.withColumn("_call", F.lit(1) if counts is None else F.when(counts, 1)).withColumn("_bucket", bucket)
+    r = r.withColumn("_n", F.sum("_call").over(upto([*keys, "_bucket"], order)))
     # of the bucket directly before, all calls count, allowed or not
-    sizes = counted.groupBy(*keys, (F.col("_bucket") + 1).alias("_bucket")).agg(F.count(F.lit(1)).alias("_previous"))
-    met = counted.join(sizes, [*keys, "_bucket"], "left")
+    r = r.withColumn("_previous", F.sum("_call").over(Window.partitionBy(*keys).orderBy("_bucket").rangeBetween(-1, -1)))
     weight = 1 - (F.col(time_col) - F.col("_bucket") * width) / float(width)
-    approx = (F.floor(F.coalesce("_previous", F.lit(0)) * weight) + F.col("_n")).cast("long")
-    return met.select(*rows.columns, approx.alias("approx"), (approx <= limit).alias("allowed"))
+    approx = F.when(F.col("_call") == 1, (F.floor(F.coalesce("_previous", F.lit(0)) * weight) + F.col("_n")).cast("long"))
+    return r.select(*rows.columns, approx.alias("approx"), (approx <= limit).alias("allowed"))
 
 
 def as_of_forward(events: DataFrame, readings: DataFrame, key: str, at: str, time_col: str, value_col: str, name: str = "actual") -> DataFrame:
-    """events with the first non-null value strictly after their time: both sides share one ordered pass, there is no range join."""
+    """events with the first non-null value strictly after their time: both sides share one ordered pass, there is no range join.
+
+    All rows of one key are one ordered group of a task, which spills: fit for sensors, not for a key that holds most rows.
+    """
     extra = [c for c in events.columns if c not in (key, at)]
     left = events.select(key, F.col(at).alias("_t"), F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_side"), F.struct(*extra).alias("_e"))
     right = readings.where(F.col(value_col).isNotNull()).select(key, F.col(time_col).alias("_t"), F.col(value_col).cast("double").alias("_v"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_e"].dataType).alias("_e"))

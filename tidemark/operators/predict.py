@@ -54,3 +54,17 @@ def to_explain(predictions: DataFrame, score: float = K.EXPLAIN_SCORE, n: int =
     """The n newest anomalous predictions without an explanation."""
     blank = F.trim(F.coalesce("explanation", F.lit(""))) == ""
     return predictions.where(F.col("is_anomaly") & (F.col("anomaly_score") >= score) & blank).orderBy(F.desc("target_t"), F.desc("id")).limit(n)
+
+
+def cycle(news: DataFrame, predictions: DataFrame, models: DataFrame) -> DataFrame:
+    """One run over all sensors with news: (sensor_id, model_id, prediction_id, predicted_value, offset_before, offset_after).
+
+    An id is made of the newest reading and the sensor, so a cycle that runs again gives the same. A sensor without a
+    model gets one with its negative number; one without a prediction keeps its offset and is tried again.
+    """
+    j = news.join(predictions.select("sensor_id", "predicted_value"), "sensor_id", "left").join(models, "sensor_id", "left")
+    made = F.col("predicted_value").isNotNull()
+    return j.select(
+        "sensor_id", F.coalesce("model_id", -F.col("sensor_id")).alias("model_id"), F.when(made, F.col("newest") * 1000 + F.col("sensor_id") % 1000).alias("prediction_id"), "predicted_value",
+        F.col("last").alias("offset_before"), F.when(made, F.col("newest")).otherwise(F.col("last")).alias("offset_after"),
+    )

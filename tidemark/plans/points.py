@@ -21,7 +21,7 @@ def classified(points: DataFrame, config: DataFrame) -> DataFrame:
     config: bounds by (domain, stream_id), one row for each; points without any are normal. Bounds go before changes; the
     value before is the last one that no bound has stopped. A null or NaN value breaks no bound.
     """
-    c = points.join(F.broadcast(config.withColumn("configured", F.lit(True))), ["domain", "stream_id"], "left")  # one row per kind of stream
+    c = points.join(config.withColumn("configured", F.lit(True)), ["domain", "stream_id"], "left")
     bound = rules.violated_bound(F.col("value"), {b: F.col(b) for b in K.BOUNDS[:8]})
     c = c.withColumn("violated_constraint", bound)
     passes = F.col("configured").isNotNull() & F.col("violated_constraint").isNull()
@@ -123,10 +123,8 @@ def csv_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
         (VALUES ('infrastructure'), ('finance'), ('health')) d(domain), (SELECT DISTINCT CAST(user_id AS VARCHAR) AS source_id FROM events) s""")
 def authz_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = [("ka", "admin", None, []), ("kb", "source_writer", "3", ["finance", "health"]), ("kc", "source_writer", "4", []), ("kd", "read_only", None, ["finance"])]
-    table = spark.createDataFrame(keys, "name string, role string, own string, domains array<string>")
-    rules_ = [r.asDict() for r in table.select("role", "own", "domains", F.sha2("name", 256).alias("h")).collect()]  # four rows
     asked = readings.event_points(spark, sf_dir).select("source_id").distinct().select("source_id", F.explode(F.array(*map(F.lit, ("infrastructure", "finance", "health")))).alias("domain"))
-    given = F.array(*(F.struct(F.lit(r["h"]).alias("h"), F.lit(r["role"]).alias("role"), F.lit(r["own"]).cast("string").alias("own"), F.array(*map(F.lit, r["domains"])).cast("array<string>").alias("domains")) for r in rules_))
+    given = F.array(*(F.struct(F.sha2(F.lit(name), 256).alias("h"), F.lit(role).alias("role"), F.lit(own).cast("string").alias("own"), F.array(*map(F.lit, domains)).cast("array<string>").alias("domains")) for name, role, own, domains in keys))
     from tidemark.functions.access import may_write
 
     each = asked.select("source_id", "domain", F.explode(given).alias("k"))

@@ -25,10 +25,9 @@ _RANGES = f"{THRESHOLDS_SQL}, rg AS (SELECT c.sensor_id, c.low, c.high, w.low AS
 
 
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    th = thresholds(spark, sf_dir)
-    c = th.where("id % 10 = 2").select("sensor_id", "low", "high")
-    w = th.where("id % 10 = 1").select("sensor_id", F.col("low").alias("warning_min"), F.col("high").alias("warning_max"))
-    return c.join(w, "sensor_id")
+    rule = F.col("id") % 10
+    pick = lambda n, c, name: F.max(F.when(rule == n, F.col(c))).alias(name)
+    return thresholds(spark, sf_dir).groupBy("sensor_id").agg(pick(2, "low", "low"), pick(2, "high", "high"), pick(1, "low", "warning_min"), pick(1, "high", "warning_max"))
 
 
 _OUT = "(coalesce(value < low, false) OR coalesce(value > high, false))"
@@ -152,12 +151,11 @@ def rate_limit_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT r.sequence, CASE WHEN l1.approx > 60 THEN 'ip' WHEN l2.approx > 20 THEN 'device' WHEN l3.approx > 3 THEN 'sensor' END AS denied_by FROM r JOIN l1 USING (sequence) LEFT JOIN l2 USING (sequence) LEFT JOIN l3 USING (sequence)""")
 def rate_limit_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _readings(spark, sf_dir).select("sensor_id", "t", "sequence", (F.col("sensor_id") % 7).alias("ip"), (F.col("sensor_id") % 20).alias("device"))
-    out, left = None, r
-    for level, key, limit in (("ip", "ip", 60), ("device", "device", 20), ("sensor", "sensor_id", 3)):
-        told = history.rate_limited(left, [key], "t", ORDER, limit, 86400)
-        denied = told.where("not allowed").select("sequence", F.lit(level).alias("denied_by"))
-        out, left = denied if out is None else out.unionByName(denied), told.where("allowed").select(*r.columns)
-    return out.unionByName(left.select("sequence", F.lit(None).cast("string").alias("denied_by")))
+    r = r.withColumn("denied_by", F.lit(None).cast("string"))
+    for level, key, limit in (("ip", "ip", 60), ("device", "device", 20), ("sensor", "sensor_id", 3)):  # a call counts at a level if none before denied it
+        told = history.rate_limited(r, [key], "t", ORDER, limit, 86400, counts=F.col("denied_by").isNull())
+        r = told.withColumn("denied_by", F.coalesce("denied_by", F.when(~F.col("allowed"), level))).drop("approx", "allowed")
+    return r.select("sequence", "denied_by")
 
 
 _ARRIVAL = f"{READINGS}, ar AS (SELECT sensor_id, CASE WHEN k % 10 = 9 THEN NULL ELSE t END AS sent, t + k * 5000 AS received, sequence, sequence // 8 * 8 + (sequence * 5) % 8 AS arrival FROM r)"
