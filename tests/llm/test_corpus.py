@@ -87,6 +87,27 @@ def test_language_odd_rows(spark):
     assert langid.identify(empty, langid.fit(empty)).count() == 0
 
 
+def test_many_languages_and_marks(spark):
+    r = random.Random(2)
+    alphabet = [chr(c) for c in range(0x4E00, 0x4E00 + 70 * 40)]
+    word = lambda k: "".join(r.choice(alphabet[40 * k : 40 * k + 40]) for _ in range(4))
+    rows = [(100 * k + j, " ".join(word(k) for _ in range(30)), f"l{k:02}") for k in range(70) for j in range(12)] + [(-1, "\u0301\u0300 \u0301", "l01")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert len(model.languages) == 70 and model.slots.shape[1] == 2
+    got = {x["doc_id"]: (x["lang_pred"], x["lang"]) for x in langid.identify(df, model).collect()}
+    assert got.pop(-1)[0] == "und"
+    assert np.mean([a == b for a, b in got.values()]) > 0.98
+
+
+def test_one_text_of_a_repeated_id_teaches(spark):
+    rows = [(1, f"you are an idiot {k}") for k in range(3000)] + [(k, f"a calm text number {k}") for k in range(2, 60)]
+    labels = spark.createDataFrame([(1, 1)] + [(k, 0) for k in range(2, 60)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = toxicity.fit(docs, labels), toxicity.fit(docs.orderBy(F.desc("text")), labels)
+    assert a.weights == b.weights and a.coef == b.coef
+
+
 def plain_fingerprint(text, width=4):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text).encode().split()
     if not words:
@@ -190,6 +211,8 @@ def test_normaliser_streams_any_members(tmp_path):
 
 def test_empty_archives(spark):
     df = spark.createDataFrame([], PAGE)
+    with pytest.raises(ValueError):
+        warc.decided(df.withColumn("record_type", F.lit("x")))
     assert warc.read_archives(warc.archive(df)).count() == 0
 
 

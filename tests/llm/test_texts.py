@@ -72,6 +72,26 @@ def test_bytes_equal_the_library(text):
     assert np.frombuffer(packing.token_bytes([text, ""], BYTES)[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids + [0]
 
 
+def test_all_characters_and_very_long_texts_split_as_the_library_does():
+    t = packing._tokenizer(BYTES)[0]
+    every = [chr(c) for c in [*range(0x3000), *range(0x3000, 0x110000, 41)] if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b {c}1{c}{c} {c}\n {c}  {c}" for c in every[k : k + 1000]) for k in range(0, len(every), 1000)]
+    texts += [" " * 1_000_000, "\n" * 1_000_000, "é" * 300_000, "a b  c\t" * 100_000]
+    for text in texts:
+        assert np.frombuffer(packing.token_bytes([text], BYTES)[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids + [0]
+
+
+def test_patterns_of_the_linear_program_place_most_items():
+    r = np.random.default_rng(7)
+    for n in (300, 3000, 100_000):
+        rest = (np.exp(r.normal(5.5, 1.2, n)).astype(int) % 1023) + 1
+        histogram = dict(zip(*map(np.ndarray.tolist, np.unique(rest, return_counts=True))))
+        p = packing.plan(histogram)
+        placed = (p.slots[:, 2] - p.slots[:, 1]).sum()
+        assert placed >= 0.9 * n
+        assert p.end <= rest.sum() // 1024 + 10  # no more sequences than the tokens need, and the last's powers of two
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_places_every_item_without_gaps(seed):
     r = np.random.default_rng(seed)
@@ -123,6 +143,8 @@ def test_packing_table(spark):
     single = [r for r in rows if r["doc_id"] == 1]  # "a b c" and a long one
     assert {r["doc_tokens"] for r in single} == {len(want_) // 4 for k, want_ in want if k == 1}
     assert queries.piece_digests(packing.pack(df.limit(0), BYTES)).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(df.withColumnRenamed("doc_id", "row"), BYTES, id_col="row")
 
 
 def test_op10_pieces_are_the_documents(spark, sf_dir):
@@ -184,6 +206,16 @@ def test_chat_table(spark, sf_dir):
         assert r["loss_sha256"] == hashlib.sha256(learnt.encode()).hexdigest()
 
 
+def test_segments_out_of_order_raise(spark):
+    rows = [(1, 0, "<s>[INST] ", False, "user"), (1, 2, "x", False, "user"), (1, 1, " [/INST]", False, "user")]
+    df = spark.createDataFrame(rows, "conv_id long, segment long, text string, loss boolean, state string").coalesce(1)
+    with pytest.raises(Exception, match="should be"):
+        chat.read_back(df).collect()
+    long = [(5, 0, "user", "u " * 200_000), (5, 1, "assistant", "a\\" * 200_000)]
+    got = chat.read_back(chat.format_conversations(spark.createDataFrame(long, "conv_id long, turn long, role string, text string"))).first()
+    assert (got["n_turns"], got["loss_chars"]) == (2, 400_000)
+
+
 def test_bad_template():
     with pytest.raises(ValueError):
         chat.Template({"user": ("a\\", "b")}, ("x ", "y ", "z "), frozenset(), {}, frozenset())
@@ -243,11 +275,20 @@ def test_removed_lines_stand_in_an_earlier_text(spark, sf_dir):
         assert set(gone) <= kept
 
 
+def test_very_long_texts_of_lines(spark):
+    block = "\n".join(LINES)
+    long = "\n".join(f"own {k}" if k % 3 else "same\nsame too" for k in range(60_000))
+    got = clean(spark, [(1, block, ""), (2, long, ""), (3, long + "\nlast", "")])
+    assert got[(2, "")][1] == 2 * 20_000 - 2 and got[(3, "")][0] == "last"
+
+
 def test_line_columns_clash(spark):
     df = spark.createDataFrame([(1, "a", 5)], "doc_id long, text string, removed_lines int")
     with pytest.raises(ValueError):
         linededup.remove_repeated(df)
     assert linededup.remove_repeated(df, removed_col=None).columns == df.columns
+    with pytest.raises(ValueError):
+        linededup.remove_repeated(df.withColumn("_ld_key", F.lit(1)), removed_col=None)
     assert linededup.remove_repeated(df.limit(0), removed_col=None).count() == 0
 
 

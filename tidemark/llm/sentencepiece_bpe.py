@@ -118,7 +118,7 @@ _models: dict[str, tuple[PieceModel, Memory]] = {}
 
 def _model(path: str) -> tuple[PieceModel, Memory]:
     if path not in _models:
-        _models[path] = PieceModel(path), Memory()
+        _models[path] = PieceModel(path), Memory(400_000)
     return _models[path]
 
 

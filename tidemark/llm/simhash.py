@@ -5,8 +5,8 @@ keep the bits that all fingerprints below them agree on. Two trees (or one with
 whose agreed bits differ in too many places are dropped with all that is below them.
 
 A large table is laid out in several Gray orders, each of which puts some bits first: two fingerprints within the distance
-agree on the first bits of one order at least, so only groups with equal first bits meet there. A group that several tasks
-hold is cut into cells; cells meet only if their agreed bits allow it.
+agree on the first bits of one order at least, so only groups with equal first bits meet there. A large group is cut into
+cells by range; cells meet only if their agreed bits allow it.
 """
 
 from __future__ import annotations
@@ -180,60 +180,48 @@ def orders(rows: int, most: int, group_rows: int = GROUP_ROWS) -> list[int]:
 
 
 def _cells(most: int, cell_rows: int):
-    """For mapInArrow over rows (route, bits, rank) in order: links inside of cells, and cells of groups that may have others."""
+    """For mapInArrow over rows (route, bits, part, rank) in order: links inside of cells, and the cells of groups that have several."""
 
-    def links_of(cell: Cell):
-        x, y, _ = link_cells(cell, cell, most)
-        return x.view(np.int64), y.view(np.int64)
-
-    def row(a=None, b=None, route=None, bits=None, cell=None, agreed=None, mask=None, ranks=None):
+    def row(a=None, b=None, ranks=None, **more):
         n = len(a) if a is not None else 1
-        whole = lambda x: pa.nulls(n, pa.int64()) if x is None else pa.array([x], pa.int64())
-        ends = pa.nulls(n, pa.list_(pa.int64())) if ranks is None else pa.array([ranks], pa.list_(pa.int64()))
-        a, b = (pa.nulls(n, pa.int64()) if x is None else pa.array(x) for x in (a, b))
-        return pa.RecordBatch.from_arrays([a, b, *map(whole, (route, bits, cell, agreed, mask)), ends], ["a", "b", "route", "bits", "cell", "agreed", "mask", "ranks"])
+        columns = [pa.nulls(n, pa.int64()) if x is None else pa.array(x) for x in (a, b)]
+        columns += [pa.array([more.get(k)] * n, pa.int64()) for k in ("route", "bits", "cell", "agreed", "mask")]
+        columns.append(pa.nulls(n, pa.list_(pa.int64())) if ranks is None else pa.array([ranks], pa.list_(pa.int64())))
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "route", "bits", "cell", "agreed", "mask", "ranks"])
 
     def signed(x: int) -> int:
         return x - (1 << 64) if x >> 63 else x
 
     def run(batches):
-        n, held, groups = 0, [], 0  # cells so far, parts of the group at hand, groups so far
-        key, last = None, None
+        cells, held, key, several = 0, [], None, False
 
-        def close(end: bool, edge: bool):
-            """Makes a cell of what is held; edge: other cells of this group may lie in this partition or the next ones."""
-            nonlocal held, n
+        def close():
+            nonlocal cells, held
             ranks = np.concatenate(held)
-            cell = Cell(at_rank(ranks))
-            held = []
-            x, y = links_of(cell)
+            cell, held = Cell(at_rank(ranks)), []
+            x, y, _ = link_cells(cell, cell, most)
             if len(x):
-                yield row(x, y)
-            if edge:
-                yield row(route=key[0], bits=key[1], cell=(TaskContext.get().partitionId() << 32) + n, agreed=signed(cell.agreed), mask=signed(cell.mask), ranks=ranks)
-            n += 1
+                yield row(x.view(np.int64), y.view(np.int64))
+            if several:
+                yield row(route=key[0], bits=key[1], cell=(TaskContext.get().partitionId() << 32) + cells, agreed=signed(cell.agreed), mask=signed(cell.mask), ranks=ranks)
+                cells += 1
 
-        cut_before = False  # whether the group at hand has a cell already
         for b in batches:
-            route, bits, rank = (b.column(c).to_numpy() for c in range(3))
-            if not len(rank):
-                continue
-            edges = np.flatnonzero((np.diff(route) != 0) | (np.diff(bits) != 0)) + 1
-            for own in np.split(np.arange(len(rank)), edges):
-                now = int(route[own[0]]), int(bits[own[0]])
-                if now != key:
+            keys = np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(3)], 1)
+            rank = b.column(3).to_numpy()
+            for own in np.split(np.arange(len(rank)), np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1) if len(rank) else ():
+                if (now := tuple(keys[own[0]].tolist())) != key:
                     if held:
-                        yield from close(True, groups == 1 or cut_before)
-                    key, groups, cut_before = now, groups + 1, False
+                        yield from close()
+                    key, several = now, now[2] >= 0
                 while len(own):
                     room = cell_rows - sum(map(len, held))
                     held.append(rank[own[:room]])
                     own = own[room:]
                     if len(own):
-                        yield from close(False, True)
-                        cut_before = True
+                        yield from close()
         if held:
-            yield from close(True, True)
+            yield from close()
 
     return run
 
@@ -264,14 +252,19 @@ def _between(most: int):
 def links(distinct: DataFrame, most: int = 4, group_rows: int = GROUP_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Links (a, b) that join all of the distinct fingerprints (fp long) within most bits.
 
-    Each order is range-partitioned, so a group of any size is spread over tasks. Of the cells of one group only their
-    headers meet (a row per cell_rows rows); cells go on to meet where fewer than most of their agreed bits differ.
+    A group of more than cell_rows rows is dealt out by ranges of its Gray ranks, so it is spread over tasks. Of the cells
+    of one group only their headers meet (a row per cell); cells go on to meet where no more than most agreed bits differ.
     """
     spark = distinct.sparkSession
     masks = [m - (1 << 64) if m >> 63 else m for m in orders(distinct.count(), most, group_rows)]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     routed = distinct.select(gray_rank(F.col("fp")).alias("rank"), F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks))).alias("route", "bits"))
-    ordered = routed.select("route", "bits", "rank").repartitionByRange(parts, "route", "bits", "rank").sortWithinPartitions("route", "bits", "rank")
+    large = cut(routed.groupBy("route", "bits").count().where(F.col("count") > cell_rows))
+    # so many of the first bits of a rank as make parts of about half a cell; -1 in groups that are one cell
+    first = F.ceil(F.log2(F.col("count") * 2 / cell_rows)).cast("int")
+    part = F.when(F.col("count").isNull(), F.lit(-1).cast("long")).otherwise(F.expr("shiftrightunsigned(rank, 64 - _first)"))
+    ordered = routed.join(large, ["route", "bits"], "left").withColumn("_first", first).select("route", "bits", part.alias("part"), "rank")
+    ordered = ordered.repartition(parts, "route", "bits", "part").sortWithinPartitions("route", "bits", "part", "rank")
     found = cut(ordered.mapInArrow(_cells(most, cell_rows), "a long, b long, route long, bits long, cell long, agreed long, mask long, ranks array<long>"))
     cells = found.where("cell is not null")
     heads = cells.select("route", "bits", "cell", "agreed", "mask")

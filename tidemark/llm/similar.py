@@ -41,7 +41,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, least: float,
 
     def run(batches):
         late = shared.value
-        for b in batches:
+        for b in (x.slice(at, 256) for x in batches for at in range(0, x.num_rows, 256)):
             keys, fps, sizes, prefixes = [], [], [], []
             for t in b.column(2).cast(pa.binary()).to_pylist():
                 h = shingles(t or b"", width)
@@ -111,7 +111,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
     """The pairs (a, b) whose sets are similar. texts: (key, text), one row per key."""
 
     def run(batches):
-        for b in batches:
+        for b in (x.slice(at, 256) for x in batches for at in range(0, x.num_rows, 256)):
             x, y = (b.column(c).cast(pa.binary()).to_pylist() for c in (2, 3))
             ok, memory = np.zeros(b.num_rows, bool), (None, None)
             for k, (s, t) in enumerate(zip(x, y)):
@@ -134,10 +134,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are null. Rows with equal ids or texts each keep their row; an empty table gives an empty one.
     """
     sets = cut(_sets(docs, id_col, text_col, width, least, _common(docs, id_col, text_col, width)))
-    nodes = cut(sets.groupBy("key").agg(F.min(F.struct("t", "id")).alias("one"), F.first(F.struct("n", "fp", "prefix")).alias("s")).select("key", "one", "s.n", "s.fp", "s.prefix"))
-    met = nodes.select("key", "n", F.posexplode("prefix").alias("at", "h"))
-    often = met.groupBy("h").count().where("count > 1").select("h")
-    met = cut(met.join(often, "h").select("h", "key", "n", F.col("at").cast("long").alias("at")))
+    nodes = cut(sets.groupBy("key").agg(F.min(F.struct("t", "id")).alias("one"), F.first("fp").alias("fp")))
+    # of shingles in prefixes those that two sets have, in one exchange: rows (h, key, size and place in one number)
+    met = sets.groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).select("key", "n", F.posexplode("prefix").alias("at", "h"))
+    met = met.select("h", "key", (F.shiftleft("n", 31) + F.col("at")).alias("place")).withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("holders > 1")
+    met = cut(met.select("h", "key", F.shiftright("place", 31).alias("n"), F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).alias("at")))
 
     def texts(pairs: DataFrame) -> DataFrame:
         """(key, text) of each key in pairs, from one of the rows that have it."""

@@ -129,7 +129,7 @@ class _Live(dict):
         self.automaton = automaton
 
     def __missing__(self, prefix: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[prefix] = s = self.automaton.after(prefix)
         return s
@@ -142,7 +142,7 @@ class _Found(dict):
         self.automaton, self.weights, self.benign = automaton, model.weights, model.benign
 
     def __missing__(self, word: str) -> tuple[str, int] | None:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         found = self.automaton.lookup(word)
         best = min(found, key=lambda x: (x[1], -self.weights[x[0]], x[0])) if found else None
