@@ -1,73 +1,22 @@
-"""A Python data source for feeds of messages: batches and streams of (topic, payload) from JSON-lines files.
+"""Feeds of messages: batches and streams of (topic, payload) from JSON-lines files, where a broker's subscription would stand.
 
-It stands where a broker's subscription would: `spark.readStream.format("tidemark_feed").option("path", folder)`.
+Spark's own file source keeps account of the files: each is read once, whatever its name and whenever it arrives, from any
+path that Spark reads, and a micro-batch takes no more of them than it is told to.
 """
 
 from __future__ import annotations
 
-import json
-import os
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+#: Files that one micro-batch takes.
+FILES_PER_BATCH = 100
 
 
-def _lines(path: str) -> Iterator[tuple[str, str]]:
-    with open(path, encoding="utf-8") as f:
-        for line in f:
-            try:
-                x = json.loads(line)
-                yield x["topic"], x["payload"] if isinstance(x["payload"], str) else json.dumps(x["payload"])
-            except (ValueError, KeyError, TypeError):
-                yield "", line.rstrip("\n")
-
-
-class FeedSource(DataSource):
-    """option path: a folder of *.jsonl files that all machines share; files are taken in order of their names, each once."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "tidemark_feed"
-
-    def schema(self) -> str:
-        return "topic string, payload string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return FeedReader(self.options["path"])
-
-    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802  the interface's name
-        return FeedStreamReader(self.options["path"])
-
-
-def _files(folder: str) -> list[str]:
-    return sorted(f for f in os.listdir(folder) if f.endswith(".jsonl"))
-
-
-class FeedReader(DataSourceReader):
-    def __init__(self, folder: str):
-        self.folder = folder
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(f) for f in _files(self.folder)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple[str, str]]:
-        return _lines(os.path.join(self.folder, partition.value))
-
-
-class FeedStreamReader(DataSourceStreamReader):
-    """The offset is the name of the last file taken; executors read the files, one to a partition."""
-
-    def __init__(self, folder: str):
-        self.folder = folder
-
-    def initialOffset(self) -> dict:  # noqa: N802
-        return {"after": ""}
-
-    def latestOffset(self) -> dict:  # noqa: N802
-        return {"after": max(_files(self.folder), default="")}
-
-    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [InputPartition(f) for f in _files(self.folder) if start["after"] < f <= end["after"]]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple[str, str]]:
-        return _lines(os.path.join(self.folder, partition.value))
+def feed(spark: SparkSession, folder: str, stream: bool = False, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """(topic, payload) of each line of the *.jsonl files in a folder. A payload that is an object comes as its JSON text; a line that can't be read has no topic and is its own payload."""
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch) if stream else spark.read
+    lines = reader.option("pathGlobFilter", "*.jsonl").text(folder)
+    topic, payload = (F.get_json_object("value", f"$.{c}") for c in ("topic", "payload"))
+    good = topic.isNotNull() & payload.isNotNull()
+    return lines.select(F.when(good, topic).otherwise("").alias("topic"), F.when(good, payload).otherwise(F.col("value")).alias("payload"))

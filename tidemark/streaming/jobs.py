@@ -1,20 +1,23 @@
 """Streams of readings: deduplication, windows, throttling, classification and idempotent writes.
 
 Each takes a streaming DataFrame with a timestamp column and gives one. State is kept by key in the state store, so it
-outlives restarts and executors; a watermark bounds how long.
+outlives restarts and executors. Watermarks bound the state of windows and deduplication, a life time, if one is given,
+that of throttles and classifiers: a key that is silent for so long starts anew. Life times go by the clock, so a stream
+that has one runs until it is stopped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions import constants as K
-from tidemark.functions import rules
+from tidemark.functions import guards, rules
 
 
 def timed(points: DataFrame, time_col: str = "t", name: str = "ts") -> DataFrame:
@@ -32,43 +35,54 @@ def bucket_counts(points: DataFrame, keys: list[str], time_col: str = "ts", widt
     return points.withWatermark(time_col, late).groupBy(F.window(time_col, width), *keys).agg(F.count(F.lit(1)).alias("n"), F.max("sequence").alias("acknowledged")).select(*keys, F.unix_micros("window.start").alias("start"), "n", "acknowledged")
 
 
+def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A micro-batch's rows of one key, by time; the source's limits bound how many these are. Rows without a time are left out."""
+    data = pd.concat(list(rows))
+    return data[data["t"].notna()].astype({"t": "int64"}).sort_values(["t", "sequence"])
+
+
 class Throttle(StatefulProcessor):
     """Of each key the rows that come `seconds` or more after the last accepted one."""
 
-    def __init__(self, seconds: float):
-        self.gap = int(seconds * K.SECOND)
+    def __init__(self, seconds: float, forget_seconds: float | None):
+        self.gap, self.forget = int(seconds * K.SECOND), forget_seconds and int(forget_seconds * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "t long")
+        self.last = handle.getValueState("last", "t long", self.forget)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  the interface's names
-        data = pd.concat(list(rows)).sort_values(["t", "sequence"])
+        data = _ordered(rows)
         last = self.last.get()[0] if self.last.exists() else None
-        keep = []
-        for t in data["t"]:
-            ok = last is None or t - last >= self.gap
-            keep.append(ok)
-            last = t if ok else last
-        self.last.update((int(last),))
+        keep, times = np.zeros(len(data), bool), data["t"].to_numpy()
+        at = 0 if last is None else int(np.searchsorted(times, last + self.gap))
+        while at < len(times):
+            keep[at], last = True, int(times[at])
+            at = max(at + 1, int(np.searchsorted(times, last + self.gap)))
+        if last is not None:
+            self.last.update((last,))
         yield data.loc[keep, ["sensor_id", "t", "sequence", "value"]]
 
     def close(self) -> None:
         pass
 
 
-def throttled(readings: DataFrame, seconds: float) -> DataFrame:
+def throttled(readings: DataFrame, seconds: float, forget_seconds: float | None = None) -> DataFrame:
     """(sensor_id, t, sequence, value): readings thinned out per sensor. A micro-batch's rows of a sensor are put in order first."""
-    return readings.select("sensor_id", "t", "sequence", "value").groupBy("sensor_id").transformWithStateInPandas(statefulProcessor=Throttle(seconds), outputStructType="sensor_id long, t long, sequence long, value double", outputMode="Append", timeMode="None")
+    processor = Throttle(seconds, forget_seconds)
+    return readings.select("sensor_id", "t", "sequence", "value").groupBy("sensor_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType="sensor_id long, t long, sequence long, value double", outputMode="Append", timeMode="ProcessingTime" if forget_seconds else "None")
 
 
 class LastValue(StatefulProcessor):
     """Adds to each row the value before that no bound has stopped."""
 
+    def __init__(self, forget_seconds: float | None):
+        self.forget = forget_seconds and int(forget_seconds * 1000)
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("value", "value double")
+        self.value = handle.getValueState("value", "value double", self.forget)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        data = pd.concat(list(rows)).sort_values(["t", "sequence"])
+        data = _ordered(rows)
         last = self.value.get()[0] if self.value.exists() else None
         before = []
         for value, passes in zip(data["value"], data["passes"]):
@@ -82,14 +96,14 @@ class LastValue(StatefulProcessor):
         pass
 
 
-def classified(points: DataFrame, config: DataFrame) -> DataFrame:
+def classified(points: DataFrame, config: DataFrame, forget_seconds: float | None = None) -> DataFrame:
     """(series_id, sequence, value, previous_value, violated_constraint, classification): the classifier of batches, with its one value of state per series."""
-    c = points.join(F.broadcast(config.withColumn("configured", F.lit(True))), ["domain", "stream_id"], "left")  # one row per kind of stream
+    c = points.join(config.withColumn("configured", F.lit(True)), ["domain", "stream_id"], "left")
     c = c.withColumn("violated_constraint", rules.violated_bound(F.col("value"), {b: F.col(b) for b in K.BOUNDS[:8]}))
     c = c.withColumn("passes", F.col("configured").isNotNull() & F.col("violated_constraint").isNull())
     c = c.select("series_id", "t", "sequence", "value", "violated_constraint", "passes", "max_abs_delta", "max_rel_delta")
     kind = "series_id string, sequence long, value double, violated_constraint string, max_abs_delta double, max_rel_delta double, previous_value double"
-    s = c.groupBy("series_id").transformWithStateInPandas(statefulProcessor=LastValue(), outputStructType=kind, outputMode="Append", timeMode="None")
+    s = c.groupBy("series_id").transformWithStateInPandas(statefulProcessor=LastValue(forget_seconds), outputStructType=kind, outputMode="Append", timeMode="ProcessingTime" if forget_seconds else "None")
     change = F.col("value") - F.col("previous_value")
     relative = (F.col("previous_value") != 0) & (F.abs(change / F.nullif("previous_value", F.lit(0.0))) * 100 > F.col("max_rel_delta"))
     delta = F.when(F.abs(change) > F.col("max_abs_delta"), "max_abs_delta").when(relative, "max_rel_delta")
@@ -105,6 +119,30 @@ def write_once(folder: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def ingested(config: DataFrame, folder: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over points: guards, deduplicates and classifies a micro-batch, and writes its readings, alerts and dead letters, each to a folder of the batch's own.
+
+    The batch is classified once and kept while its three tables are written; a batch that runs again replaces itself.
+    """
+    from tidemark.plans import points as plans
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        reason = F.coalesce(F.when(~guards.not_iot(F.col("domain")), "invalid_domain"), guards.value_reason(F.col("value")))
+        checked = batch.withColumn("reason", reason)
+        good = checked.where("reason is null").drop("reason").dropDuplicates(["series_id", "t"])
+        told = plans.classified(good, config).persist()
+        try:
+            told.write.mode("overwrite").parquet(f"{folder}/readings/batch={batch_id}")
+            alerts = told.where(rules.should_alert(F.col("classification"))).select("series_id", "sequence", "value", rules.alert_severity(F.col("classification")).alias("severity"), "violated_constraint", "t")
+            alerts.write.mode("overwrite").parquet(f"{folder}/alerts/batch={batch_id}")
+            dead = checked.where("reason is not null").select("series_id", "sequence", F.col("reason").alias("error"), F.lit("validation_error").alias("error_type"), "t", F.lit(0).alias("retry_count"))
+            dead.write.mode("overwrite").parquet(f"{folder}/dead_letters/batch={batch_id}")
+        finally:
+            told.unpersist()
+
+    return write
+
+
 def drained(stream: DataFrame, folder: str, checkpoint: str) -> None:
     """Runs a stream over all that is there now and ends."""
     q = stream.writeStream.foreachBatch(write_once(folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
