@@ -6,7 +6,7 @@ import zlib
 from collections.abc import Callable
 
 #: Words that a worker remembers in each of two generations, and the longest of them in letters.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 100_000, 64
 
 
 class Memory:
