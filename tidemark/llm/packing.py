@@ -35,20 +35,18 @@ CLASSES = 128
 SALTS = 4096
 #: Fixed: how byte-level vocabularies of this family split a text into pieces that no merge goes across.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A space between two other characters always begins a piece, so what lies between two of them is split and encoded alone.
-BORDER = re.compile(r"(?<=\S) (?=\S)")
 _tokenizers: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str) -> tuple:
-    """The tokenizer of a file, the pattern of its special tokens, that of its pieces, and the words and pieces met before."""
+    """The tokenizer of a file, the pattern of its special tokens, that of its pieces, and the pieces met before."""
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         special = re.compile("|".join(re.escape(x.content) for x in t.get_added_tokens_decoder().values()) or r"(?!)")
-        _tokenizers[path] = t, special, regex.compile(PATTERN), Memory(), Memory()
+        _tokenizers[path] = t, special, regex.compile(PATTERN), Memory()
     return _tokenizers[path]
 
 
@@ -66,11 +64,10 @@ def token_bytes(texts: list[str | None], path: str, end: int = 0, longest: bool
     """The ids of each text and the id `end`, as little-endian 32-bit bytes. A null text is an empty one.
 
     All ids come from the tokenizers library, whose merges stay inside of pieces: its model encodes each distinct piece
-    once, and what lies between two single spaces is put together once. Texts that hold the string of a special token are
-    encoded whole. One text chosen by its hash, and the longest if longest is set, are held against the library's ids of
-    the whole text.
+    once. Texts that hold the string of a special token are encoded whole. One text chosen by its hash, and the longest if
+    longest is set, are held against the library's ids of the whole text.
     """
-    t, special, pieces, memory, piece_memory = _tokenizer(path)
+    t, special, pieces, memory = _tokenizer(path)
     tail = np.uint32(end).tobytes()
     whole = lambda text: np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     model = t.model
@@ -79,17 +76,10 @@ def token_bytes(texts: list[str | None], path: str, end: int = 0, longest: bool
         spelt = (x.encode().decode("latin-1").translate(_LETTERS) for x in new)
         return [array("I", [token.id for token in model.tokenize(x)]).tobytes() for x in spelt]
 
-    def words(text: str) -> list[str]:
-        if special.search(text):
-            return []
-        found = BORDER.split(text)
-        found[0] = " " + found[0]  # the first has no space before it: one stands for that
-        return found
+    def split(text: str) -> list[str]:
+        return [] if special.search(text) else pieces.findall(text)
 
-    def put_together(new: list[str]) -> list[bytes]:
-        return by_words([w[1:] if w[0] == " " else " " + w for w in new], pieces.findall, merged, piece_memory)
-
-    out = by_words(texts, words, put_together, memory)
+    out = by_words(texts, split, merged, memory)
     out = [(whole(x) if x and not ids else ids) + tail for x, ids in zip(texts, out)]
     for k in chosen_text(texts, longest):
         if out[k] != whole(texts[k]) + tail:
