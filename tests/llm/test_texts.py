@@ -81,6 +81,23 @@ def test_all_characters_and_very_long_texts_split_as_the_library_does():
         assert np.frombuffer(packing.token_bytes([text], BYTES)[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids + [0]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(max_codepoint=127)))
+def test_ascii_texts_split_as_others_do(text):
+    _, _, pieces, ascii_pieces, _ = packing._tokenizer(BYTES)
+    assert ascii_pieces.findall(text) == pieces.findall(text)
+
+
+def test_forgotten_pieces_are_encoded_again():
+    t = packing._tokenizer(BYTES)[0]
+    known = packing.Pieces(t.model, most=5)
+    words = [f" w{k % 17}é" for k in range(100)] + [" " + "x" * 200]
+    for w in words:
+        assert np.frombuffer(known[w], "<u4").tolist() == t.encode(w, add_special_tokens=False).ids
+        assert len(known) <= 5 and len(known.old) <= 5
+    assert " " + "x" * 200 not in known
+
+
 def test_patterns_of_the_linear_program_place_most_items():
     r = np.random.default_rng(7)
     for n in (300, 3000, 100_000):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, shared_folder
-from tidemark.llm.words import Memory, by_words, chosen_text
+from tidemark.llm.words import chosen_text
 
 WIDTH = 1024
 #: Classes of lengths that the linear program tells apart; lengths of a class differ by less than width / CLASSES.
@@ -35,18 +35,22 @@ CLASSES = 128
 SALTS = 4096
 #: Fixed: how byte-level vocabularies of this family split a text into pieces that no merge goes across.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same in a text of ASCII characters only.
+ASCII_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
+#: Pieces that a worker remembers in each of two generations, and the longest of them in letters.
+REMEMBERED, LONGEST = 200_000, 64
 _tokenizers: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str) -> tuple:
-    """The tokenizer of a file, the pattern of its special tokens, that of its pieces, and the pieces met before."""
+    """The tokenizer of a file, the pattern of its special tokens, those of its pieces in any and in ASCII texts, and the pieces met before."""
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         special = re.compile("|".join(re.escape(x.content) for x in t.get_added_tokens_decoder().values()) or r"(?!)")
-        _tokenizers[path] = t, special, regex.compile(PATTERN), Memory()
+        _tokenizers[path] = t, special, regex.compile(PATTERN), re.compile(ASCII_PATTERN, re.ASCII), Pieces(t.model)
     return _tokenizers[path]
 
 
@@ -60,27 +64,49 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
+class Pieces(dict):
+    """piece -> its ids as little-endian 32-bit bytes, by the library's model. When it holds `most` pieces, they become the older half, and the older half before goes."""
+
+    def __init__(self, model, most: int = REMEMBERED):
+        self.model, self.most, self.old = model, most, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            if piece.isascii() and piece.isprintable():
+                spelt = piece.replace(" ", _LETTERS[32])
+            else:
+                spelt = piece.encode().decode("latin-1").translate(_LETTERS)
+            ids = array("I", [token.id for token in self.model.tokenize(spelt)]).tobytes()
+            if len(piece) > LONGEST:
+                return ids
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 def token_bytes(texts: list[str | None], path: str, end: int = 0, longest: bool = True) -> list[bytes]:
     """The ids of each text and the id `end`, as little-endian 32-bit bytes. A null text is an empty one.
 
-    All ids come from the tokenizers library, whose merges stay inside of pieces: its model encodes each distinct piece
-    once. Texts that hold the string of a special token are encoded whole. One text chosen by its hash, and the longest if
-    longest is set, are held against the library's ids of the whole text.
+    All ids come from the tokenizers library, whose merges stay inside of pieces: its model encodes each piece when it is
+    first met. Texts that hold the string of a special token are encoded whole. One text chosen by its hash, and the
+    longest if longest is set, are held against the library's ids of the whole text.
     """
-    t, special, pieces, memory = _tokenizer(path)
+    t, special, pieces, ascii_pieces, known = _tokenizer(path)
     tail = np.uint32(end).tobytes()
-    whole = lambda text: np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    model = t.model
+    ids_of = known.__getitem__
 
-    def merged(new: list[str]) -> list[bytes]:
-        spelt = (x.encode().decode("latin-1").translate(_LETTERS) for x in new)
-        return [array("I", [token.id for token in model.tokenize(x)]).tobytes() for x in spelt]
+    def whole(text: str) -> bytes:
+        return np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def split(text: str) -> list[str]:
-        return [] if special.search(text) else pieces.findall(text)
+    def ids(text: str) -> bytes:
+        if special.search(text):
+            return whole(text)
+        return b"".join(map(ids_of, (ascii_pieces if text.isascii() else pieces).findall(text)))
 
-    out = by_words(texts, split, merged, memory)
-    out = [(whole(x) if x and not ids else ids) + tail for x, ids in zip(texts, out)]
+    out = [(ids(x) if x else b"") + tail for x in texts]
     for k in chosen_text(texts, longest):
         if out[k] != whole(texts[k]) + tail:
             raise ValueError("the pieces' ids aren't those that the tokenizers library gives for a whole text")
