@@ -24,6 +24,8 @@ from tidemark.llm.common import components, cut
 SAMPLE_DOCS, COMMON = 20000, 200000
 #: Bits that the fingerprints of the first pairs differ in at most.
 MOST = 8
+#: Hashes that a worker holds of texts compared lately, in each of two generations; a text counts for 32 more.
+HELD = 2_000_000
 
 
 def shingles(text: bytes, width: int = 5) -> np.ndarray:
@@ -92,14 +94,31 @@ def _neighbours(met: DataFrame, least: float) -> DataFrame:
     return rows.select(F.least("key", "x.key").alias("a"), F.greatest("key", "x.key").alias("b")).distinct()
 
 
-def _apart(met: DataFrame, linked: DataFrame, least: float) -> DataFrame:
+def _by_group(met: DataFrame, linked: DataFrame) -> DataFrame:
+    """The holders of those shingles that several groups hold, each with its group (root) and whether that isn't the shingle's largest (minor)."""
+    rows = cut(met.join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+    largest = rows.groupBy("h", "root").count().groupBy("h").agg(F.max_by("root", F.struct("count", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("h", "top")
+    return cut(rows.join(largest, "h").withColumn("minor", F.col("root") != F.col("top")))
+
+
+def _nearest(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of each minor holder with those of the largest group that are next to it by size, the smaller and the larger.
+
+    They join most of what belongs to a large group before all that is still apart meets.
+    """
+    member = F.when(~F.col("minor"), F.struct("key", "n", "at"))
+    up, down = Window.partitionBy("h").orderBy("n", "key"), Window.partitionBy("h").orderBy(F.desc("n"), F.desc("key"))
+    sides = F.array(*(F.last(member, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for w in (up, down)))
+    found = rows.withColumn("sides", sides).where("minor").select("key", "n", "at", F.explode("sides").alias("x")).where("x.key is not null")
+    found = found.where(_may_be(F.col("n"), F.col("x.n"), F.col("n") - F.col("at"), F.col("x.n") - F.col("x.at"), least))
+    return found.select(F.least("key", "x.key").alias("a"), F.greatest("key", "x.key").alias("b")).distinct()
+
+
+def _apart(rows: DataFrame, least: float) -> DataFrame:
     """All pairs (a, b) that share a shingle and may be similar, but are in different groups yet.
 
     Of the holders of a shingle those of its largest group don't meet each other: a join of the others with all.
     """
-    rows = cut(met.join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
-    largest = rows.groupBy("h", "root").count().groupBy("h").agg(F.max_by("root", F.struct("count", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("h", "top")
-    rows = cut(rows.join(largest, "h").withColumn("minor", F.col("root") != F.col("top")))
     x, y = rows.where("minor").alias("x"), rows.alias("y")
     apart = (F.col("x.root") != F.col("y.root")) & (~F.col("y.minor") | (F.col("x.key") < F.col("y.key")))
     apart &= _may_be(F.col("x.n"), F.col("y.n"), F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"), least)
@@ -111,15 +130,27 @@ def _similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
     """The pairs (a, b) whose sets are similar. texts: (key, text), one row per key."""
 
     def run(batches):
-        for b in (x.slice(at, 256) for x in batches for at in range(0, x.num_rows, 256)):
-            x, y = (b.column(c).cast(pa.binary()).to_pylist() for c in (2, 3))
-            ok, memory = np.zeros(b.num_rows, bool), (None, None)
-            for k, (s, t) in enumerate(zip(x, y)):
-                if memory[0] != s:
-                    memory = (s, shingles(s or b"", width))
-                g, h = memory[1], shingles(t or b"", width)
-                both = len(np.intersect1d(g, h, assume_unique=True))
-                ok[k] = both >= np.ceil(least * (len(g) + len(h)) / (1 + least) - 1e-6)
+        new, old, size = {}, {}, 0  # key -> hashes
+
+        def held(keys, texts, k):
+            nonlocal new, old, size
+            if (h := new.get(key := keys[k])) is None:
+                if (h := old.get(key)) is None:
+                    h = shingles(texts[k].as_py() or b"", width)
+                if size > HELD:
+                    new, old, size = {}, new, 0
+                new[key] = h
+                size += len(h) + 32
+            return h
+
+        for b in batches:
+            a_keys, b_keys = b.column(0).to_pylist(), b.column(1).to_pylist()
+            x, y = (b.column(c).cast(pa.binary()) for c in (2, 3))
+            ok = np.zeros(b.num_rows, bool)
+            for k in range(b.num_rows):
+                g, h = held(a_keys, x, k), held(b_keys, y, k)
+                need = math.ceil(least * (len(g) + len(h)) / (1 + least) - 1e-6)
+                ok[k] = min(len(g), len(h)) >= need and len(np.intersect1d(g, h, assume_unique=True)) >= need
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
 
     pairs = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
@@ -153,11 +184,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = nodes.join(first.withColumnRenamed("key", "x"), "fp").where("key <> x").select("x", F.col("key").alias("y"))
     asked = cut(near.select("x", "y").unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     links = cut(_similar(asked, texts(asked), width, least))
-    for more in (lambda: _neighbours(met, least), lambda: _apart(met, components(links), least)):
-        pairs = cut(more().join(asked, ["a", "b"], "left_anti"))
+    linked = None
+    for more in (None, _nearest, _apart):
+        pairs = cut((more(_by_group(met, linked), least) if more else _neighbours(met, least)).join(asked, ["a", "b"], "left_anti"))
         asked = asked.unionByName(pairs)
         links = links.unionByName(cut(_similar(pairs, texts(pairs), width, least)))
-    member = sets.select("id", "t", "key").join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        linked = components(links)
+        links = linked.select(F.col("node").alias("a"), F.col("root").alias("b"))  # the same groups by fewer links
+    member = sets.select("id", "t", "key").join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least_id = cut(member.groupBy("root").agg(F.min("id").alias("component_id")))
     return member.join(least_id, "root").select(F.col("id").alias(id_col), "t", "root", "component_id")
 
