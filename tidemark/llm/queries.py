@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10: each applies its operator to its whole table."""
+"""The registered queries op1 to op13: each applies its operator to its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, chat, langid, linededup, packing, sentencepiece_bpe, simhash, topk, toxicity, warc
+from tidemark.llm import ann, chat, langid, linededup, merkle, packing, sentencepiece_bpe, simhash, topk, toxicity, warc
 from tidemark.llm.common import held_out, table
 
 
@@ -96,8 +96,19 @@ def piece_digests(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+#: The letters that op11's tampering changes.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    found = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], presented={"text": tampered})
+    return merkle.verified(found).drop("source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_line_dedup, op4_language_id, op5_simhash, op6_ann, op7_chat, op8_top_k, op9_warc, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_line_dedup, op4_language_id, op5_simhash, op6_ann, op7_chat, op8_top_k, op9_warc, op10_packing, op11_merkle)}
 
 
 #: Texts are compared by code points in both engines.
@@ -126,5 +137,52 @@ ORACLE_SQL = {
 }
 
 
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text of ASCII characters as an expression of DuckDB, bit by bit."""
+    bit = "lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    octets = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce({octets}, lambda r, x: list_reduce(CAST(range(8) AS BIGINT[]), {bit}, xor(r, x)), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def merkle_sql() -> str:
+    """op11 in SQL: trees of at most 16 ** 9 leaves a source, and of at most 16 ** 5 sources."""
+
+    def tree(name: str, depth: int) -> str:
+        """CTEs of the levels over {name}0 (g, i, n, h), their runs of children, and the roots."""
+        out = []
+        for k in range(depth):
+            out.append(f"{name}_runs{k} AS (SELECT g, i // 16 AS p, max(n) AS n, list(h ORDER BY i) AS run FROM {name}{k} WHERE n > 1 GROUP BY g, p)")
+            out.append(f"{name}{k + 1} AS (SELECT g, p AS i, (n + 15) // 16 AS n, sha256(list_aggregate(run, 'string_agg', '')) AS h FROM {name}_runs{k})")
+        out.append(f"{name}_roots AS ({' UNION ALL '.join(f'SELECT g, h FROM {name}{k} WHERE n = 1' for k in range(depth + 1))})")
+        return ", ".join(out)
+
+    def climb(into: str, start: str, name: str, depth: int) -> str:
+        """CTEs that take rows (id, g, i, n, h: hash so far, proof) up a tree; {into} has what they are at its top."""
+        out = [f"{into}0 AS ({start})"]
+        for k in range(depth):
+            at = "CAST(c.i % 16 AS BIGINT)"
+            before, after = (f"coalesce(list_aggregate({x}, 'string_agg', ''), '')" for x in (f"r.run[1:{at}]", f"r.run[{at} + 2:]"))
+            up = f"SELECT c.id, c.g, c.i // 16 AS i, (c.n + 15) // 16 AS n, sha256({before} || c.h || {after}) AS h, c.proof || {before} || {after} AS proof FROM {into}{k} c JOIN {name}_runs{k} r ON c.g = r.g AND c.i // 16 = r.p WHERE c.n > 1"
+            out.append(f"{into}{k + 1} AS ({up} UNION ALL SELECT * FROM {into}{k} WHERE n = 1)")
+        return ", ".join(out)
+
+    fields = lambda text: " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR) END" for c in ("doc_id", "source", "lang", "n_chars", text))
+    lowered = f"translate(text, '{UPPER}', '{LOWER}')"
+    return f"""
+        WITH d AS (SELECT *, {crc32_sql("CAST(doc_id AS VARCHAR)")} % 5 = 0 AS tampered FROM documents),
+        leaves AS (
+            SELECT doc_id AS id, coalesce('=' || source, '') AS g, sha256({fields("text")}) AS h,
+                CASE WHEN tampered THEN sha256({fields(lowered)}) ELSE sha256({fields("text")}) END AS shown FROM d
+        ),
+        s0 AS (SELECT id, g, row_number() OVER (PARTITION BY g ORDER BY id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS n, h, shown FROM leaves),
+        {tree("s", 9)},
+        u0 AS (SELECT '' AS g, g AS source, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, h FROM s_roots),
+        {tree("u", 5)},
+        {climb("a", "SELECT id, g, i, n, shown AS h, '' AS proof FROM s0", "s", 9)},
+        {climb("b", "SELECT a9.id, '' AS g, u0.i, u0.n, a9.h, a9.proof FROM a9 JOIN u0 ON a9.g = u0.source", "u", 5)}
+        SELECT s0.id AS doc_id, s0.h AS leaf, s_roots.h AS subroot, u_roots.h AS root, sha256(b5.proof) AS proof_sha256, b5.h AS folded_root, b5.h = u_roots.h AS verified
+        FROM s0 JOIN s_roots ON s0.g = s_roots.g JOIN b5 ON s0.id = b5.id, u_roots"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    return ORACLE_SQL | {"op11_merkle": merkle_sql()}
