@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, chat, langid, linededup, merkle, packing, sentencepiece_bpe, simhash, topk, toxicity, warc
-from tidemark.llm.common import held_out, table
+from tidemark.llm import ann, chat, langid, linededup, merkle, packing, repair, sentencepiece_bpe, simhash, topk, toxicity, warc
+from tidemark.llm.common import cut, held_out, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,8 +107,13 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(found).drop("source")
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repaired = cut(repair.repair(repair.damaged(table(spark, sf_dir, "conversations"))))
+    return repair.digests(repaired).withColumnRenamed("conv", "conv_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_line_dedup, op4_language_id, op5_simhash, op6_ann, op7_chat, op8_top_k, op9_warc, op10_packing, op11_merkle)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_line_dedup, op4_language_id, op5_simhash, op6_ann, op7_chat, op8_top_k, op9_warc, op10_packing, op11_merkle, op13_repair)}
 
 
 #: Texts are compared by code points in both engines.
@@ -184,5 +189,64 @@ def merkle_sql() -> str:
         FROM s0 JOIN s_roots ON s0.g = s_roots.g JOIN b5 ON s0.id = b5.id, u_roots"""
 
 
+def repair_sql() -> str:
+    """op13 in SQL: the best way to each state of the grammar, row by row (s: nothing yet, y: after system, u and a: after those)."""
+    crc = crc32_sql("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")
+    add = lambda way, cost, edit: f"CASE WHEN {way} IS NOT NULL THEN {{'c': {way}.c + {cost}, 'x': {way}.x || '{edit}'}} END"
+    best = lambda *ways: f"list_min(list_filter([{', '.join(ways)}], lambda z: z IS NOT NULL))"
+    when = lambda where, way: f"CASE WHEN {where} THEN {way} END"
+    to_user = best("u", add("s", 5, "I"), add("y", 5, "I"), add("a", 5, "I"))
+    to_assistant = best("a", add("cu", 5, "I"))
+    return rf"""
+        WITH RECURSIVE raw AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS how FROM conversations
+        ), after AS (
+            SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+                CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM raw, unnest(range(CASE how WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copies(k)
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM after
+        ), judged AS (
+            SELECT *, left(role, 1) AS letter, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before,
+                CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
+                    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                    WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' END AS fault
+            FROM placed
+        ), kinds AS (
+            SELECT conv_id, pos, letter, coalesce(fault IN ('blank', 'duplicate'), false) AS must_go, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more FROM judged
+        ), ids AS (SELECT DISTINCT conv_id FROM conversations),
+        way AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS pos, {{'c': CAST(0 AS BIGINT), 'x': ''}} AS s, CAST(NULL AS STRUCT(c BIGINT, x VARCHAR)) AS y,
+                CAST(NULL AS STRUCT(c BIGINT, x VARCHAR)) AS u, CAST(NULL AS STRUCT(c BIGINT, x VARCHAR)) AS a FROM ids
+            UNION ALL
+            SELECT conv_id, pos, {add("s", 2, "D")},
+                {best(add("y", 2, "D"), when("not must_go AND letter = 's'", add("s", "more", "K")))},
+                {best(add("cu", 2, "D"), when("not must_go AND letter = 'u'", add("free", "more", "K")), when("not must_go", add("free", "1 + more", "R")))},
+                {best(add("ca", 2, "D"), when("not must_go AND letter = 'a'", add("cu", "more", "K")), when("not must_go", add("cu", "1 + more", "R")))}
+            FROM (SELECT *, {best("s", "y", "ca")} AS free FROM (SELECT *, {to_assistant} AS ca FROM (
+                SELECT w.conv_id, k.pos, s, y, u, a, letter, must_go, more, {to_user} AS cu
+                FROM way w JOIN kinds k ON w.conv_id IS NOT DISTINCT FROM k.conv_id AND k.pos = w.pos + 1)))
+        ), ends AS (
+            SELECT conv_id, {best("s", "ca")} AS won FROM (SELECT *, {to_assistant} AS ca FROM (
+                SELECT *, {to_user} AS cu FROM way QUALIFY pos = max(pos) OVER (PARTITION BY conv_id)))
+        ), steps AS (
+            SELECT conv_id, k, won.x[k] AS edit, len(replace(won.x[:k], 'I', '')) AS pos, len(replace(won.x[:k], 'D', '')) AS nth FROM ends, unnest(range(1, len(won.x) + 1)) AS steps(k)
+        ), turns AS (
+            SELECT s.*, j.role, CASE WHEN edit = 'I' THEN '' ELSE j.text END AS text,
+                max(CASE WHEN nth = 1 AND edit = 'K' AND letter = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY s.conv_id) AS skipped
+            FROM steps s LEFT JOIN judged j ON s.conv_id IS NOT DISTINCT FROM j.conv_id AND s.pos = j.pos WHERE edit <> 'D'
+        ), repaired AS (
+            SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (nth - skipped) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k) AS whole FROM turns GROUP BY conv_id
+        ), counts AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || letter NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id
+        )
+        SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            won.c AS cost, won.x AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+        FROM ends e LEFT JOIN counts c ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired r ON e.conv_id IS NOT DISTINCT FROM r.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return ORACLE_SQL | {"op11_merkle": merkle_sql()}
+    return ORACLE_SQL | {"op11_merkle": merkle_sql(), "op13_repair": repair_sql()}
