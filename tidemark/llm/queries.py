@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, chat, langid, linededup, merkle, packing, repair, sentencepiece_bpe, simhash, topk, toxicity, warc
+from tidemark.llm import ann, chat, jaccard, langid, linededup, merkle, packing, repair, sentencepiece_bpe, simhash, topk, toxicity, warc
 from tidemark.llm.common import cut, held_out, table
 
 
@@ -107,13 +107,17 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(found).drop("source")
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_sets(table(spark, sf_dir, "documents"))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     repaired = cut(repair.repair(repair.damaged(table(spark, sf_dir, "conversations"))))
     return repair.digests(repaired).withColumnRenamed("conv", "conv_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_line_dedup, op4_language_id, op5_simhash, op6_ann, op7_chat, op8_top_k, op9_warc, op10_packing, op11_merkle, op13_repair)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_line_dedup, op4_language_id, op5_simhash, op6_ann, op7_chat, op8_top_k, op9_warc, op10_packing, op11_merkle, op12_jaccard, op13_repair)}
 
 
 #: Texts are compared by code points in both engines.
@@ -248,5 +252,29 @@ def repair_sql() -> str:
         FROM ends e LEFT JOIN counts c ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired r ON e.conv_id IS NOT DISTINCT FROM r.conv_id"""
 
 
+#: op12 in SQL: all pairs of different sets that share a shingle, then the smallest id reachable.
+JACCARD_SQL = r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+    ), s AS (
+        SELECT doc_id, list_sort(list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+            ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')) END)) AS shingles FROM w
+    ), classes AS (
+        SELECT min(doc_id) AS node, shingles FROM s WHERE len(shingles) > 0 GROUP BY shingles
+    ), entries AS (
+        SELECT node, len(shingles) AS n, unnest(shingles) AS h FROM classes
+    ), links AS (
+        SELECT x.node AS a, y.node AS b FROM entries x JOIN entries y ON x.h = y.h AND x.node < y.node AND 10 * x.n >= 9 * y.n AND 10 * y.n >= 9 * x.n
+        GROUP BY x.node, y.node, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))
+    ), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (
+        SELECT node AS a, node AS root FROM classes
+        UNION
+        SELECT e.b, r.root FROM reach r JOIN both_ways e ON r.a = e.a
+    ), least_root AS (SELECT a, min(root) AS root FROM reach GROUP BY a)
+    SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, coalesce(root, s.doc_id) AS component_id
+    FROM s LEFT JOIN classes c ON s.shingles = c.shingles LEFT JOIN least_root ON c.node = a"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return ORACLE_SQL | {"op11_merkle": merkle_sql(), "op13_repair": repair_sql()}
+    return ORACLE_SQL | {"op12_jaccard": JACCARD_SQL, "op11_merkle": merkle_sql(), "op13_repair": repair_sql()}
