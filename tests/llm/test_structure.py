@@ -134,6 +134,8 @@ def test_join_equals_brute_force(spark, seed, monkeypatch):
     texts = near_texts(seed)
     monkeypatch.setattr(jaccard, "LEAST_HOLDERS", (8, 2, 1)[seed])  # whatever counts as common, the links are the same
     monkeypatch.setattr(jaccard, "SALT_ROWS", 2)
+    monkeypatch.setattr(jaccard, "HOT", (2, 6, 32)[seed])
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", (3, 5, 256)[seed])
     df = spark.createDataFrame(texts, "doc_id long, text string")
     found = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.near_sets(df).collect()}
     assert found == brute_components(texts)
