@@ -60,7 +60,7 @@ def iot_classified(rows: DataFrame, ranges: DataFrame, spikes: dict[str, float |
     r = with_spike(with_previous(r, F.col("_out") | ~F.col("_good"), fresh_seconds), spikes)
     band = rules.within_band(F.col("value"), F.col("warning_min"), F.col("warning_max"))
     r = r.withColumn("_spike", F.col("_open") & ~F.col("_out") & ~F.coalesce(band, F.lit(False)) & (F.coalesce(F.size("triggered"), F.lit(0)) > 0))
-    r = folds.spaced(r, KEYS, "t", cooldown_seconds, ORDER, "_told", only="_spike")
+    r = folds.spaced(r, KEYS, "t", cooldown_seconds, ORDER, "_told", only="_spike", split=False)
     why = (
         F.when(~F.col("_good"), "invalid").when(~F.col("_open"), "warming_up")
         .when(F.col("_out"), F.when(F.col("consecutive") >= required, "out_of_range").otherwise("out_of_range_pending"))

@@ -1,7 +1,7 @@
 """Ordered folds: operators whose answer for a row depends on what they answered before.
 
-Rows go to the partition of their key and stream through in order; a task holds the state of one key and one batch, so a
-key may have any number of rows. Each fold keeps one exchange and one sort.
+Rows go to the partition of their key and stream through in order, with one exchange and one sort; a task holds the state
+of one key and one batch. Keys that hold very many rows are dealt out over several tasks (ranges.py).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import constants as K
+from tidemark.operators import ranges
 
 
 def in_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -45,61 +46,41 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], inputs: list[str],
 _ARROW = {"boolean": pa.bool_(), "string": pa.string(), "long": pa.int64(), "int": pa.int32()}
 
 
-def spaced(rows: DataFrame, keys: list[str], time_col: str, seconds: float, order: list[str], name: str = "accepted", only: str | None = None) -> DataFrame:
+def spaced(rows: DataFrame, keys: list[str], time_col: str, seconds: float, order: list[str], name: str = "accepted", only: str | None = None, split: bool = True, most_rows: int | None = None) -> DataFrame:
     """rows with a flag: the first row of a key is accepted, and each that comes `seconds` or more after the last accepted one.
 
     This is the throttle of publishing, the cooldown of spikes, deduplication with a life time, and that of events and
     notifications. Times are microseconds; a row without one is accepted and changes nothing. only: a boolean column; rows
-    where it isn't true are passed over, with a false flag.
+    where it isn't true are passed over, with a false flag. split: keys of more than most_rows rows are dealt out over several
+    tasks; telling them takes a count of rows by key.
     """
-    gap = int(seconds * K.SECOND)
-    kept = rows.columns
     if order[0] != time_col:
         raise ValueError("rows must be in order of their times first")
+    scan = ranges.Spaced(time_col, int(seconds * K.SECOND), only)
+    plain = lambda r: _streamed(r, keys, order, scan, name, "boolean")
+    if not split:
+        return plain(rows)
+    return ranges.by_size(rows, keys, plain, lambda r: ranges.scanned(r, keys, order, scan, name, "boolean"), most_rows)
+
+
+def _streamed(rows: DataFrame, keys: list[str], order: list[str], scan: ranges.Scan, name: str, kind: str) -> DataFrame:
+    """rows with the answers of a scan, each key in one task."""
+    kept, held = rows.columns, [*keys, *scan.columns()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last = None, None  # of the last row before a batch, and the time accepted last of that key
+        key, state = None, None
         for b in batches:
-            n = b.num_rows
-            if not n:
+            if not b.num_rows:
                 continue
-            columns = [b.column(b.schema.names.index(c)) for c in keys]
-            codes = np.stack([c.dictionary_encode(null_encoding="encode").indices.to_numpy() for c in columns], 1)
-            starts = np.r_[0, np.flatnonzero((np.diff(codes, axis=0) != 0).any(1)) + 1]
-            t = b.column(b.schema.names.index(time_col))
-            missing = t.is_null().to_numpy(zero_copy_only=False)
-            micros = t.fill_null(0).to_numpy()
-            looked_at = np.ones(n, bool) if only is None else b.column(b.schema.names.index(only)).fill_null(False).to_numpy(zero_copy_only=False)
-            out = looked_at & missing
-            rows_ = np.flatnonzero(looked_at & ~missing)
-            times, groups = micros[rows_], np.searchsorted(starts, rows_, "right") - 1
-            first = [c[0].as_py() for c in columns]
-            held = last if first == key else None
-            ends = np.searchsorted(groups, np.arange(len(starts)), "right")
-            at = np.searchsorted(groups, np.arange(len(starts)), "left")
-            if held is not None:
-                at[0] = np.searchsorted(times[: ends[0]], held + gap)
-            # all keys move on to their next accepted row at once
-            span = int(times.max() - times.min()) + gap + 1 if len(times) else 1
-            base = int(times.min()) if len(times) else 0
-            place = groups * span + (times - base)
-            own, accepted = np.arange(len(starts)), np.full(len(starts), -1)
-            while True:
-                live = at[own] < ends[own]
-                own = own[live]
-                if not len(own):
-                    break
-                accepted[own] = at[own]
-                out[rows_[at[own]]] = True
-                at[own] = np.maximum(at[own] + 1, np.searchsorted(place, own * span + (times[at[own]] - base) + gap))
-            key = [c[n - 1].as_py() for c in columns]
-            if accepted[-1] >= 0:
-                last = int(times[accepted[-1]])
-            elif len(starts) > 1 or held is None:
-                last = None
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*kept, name])
-
-    return in_order(rows, keys, order).mapInArrow(run, rows.select("*", F.lit(True).alias(name)).schema)
+            at = [b.schema.names.index(c) for c in held]
+            starts = ranges._starts(b, at[: len(keys)])
+            first = [b.column(k)[0].as_py() for k in at[: len(keys)]]
+            states = [state if first == key else scan.start()] + [scan.start()] * (len(starts) - 1)
+            told, state = scan.answers(states, starts, [b.column(k) for k in at[len(keys) :]])
+            key = [b.column(k)[b.num_rows - 1].as_py() for k in at[: len(keys)]]
+            yield pa.RecordBatch.from_arrays([*b.columns, told], [*kept, name])
+
+    return in_order(rows, keys, order).mapInArrow(run, rows.select("*", F.lit(None).cast(kind).alias(name)).schema)
 
 
 def breaker(rows: DataFrame, keys: list[str], time_col: str, ok_col: str, order: list[str], failures: int = K.BREAKER_FAILURES, recovery_seconds: float = K.BREAKER_RECOVERY_SECONDS, successes: int = K.BREAKER_SUCCESSES, name: str = "breaker") -> DataFrame:
@@ -128,23 +109,25 @@ def breaker(rows: DataFrame, keys: list[str], time_col: str, ok_col: str, order:
     return fold(rows, keys, order, [time_col, ok_col], lambda: ("CLOSED", 0, 0, 0), step, name, "string")
 
 
-def states(rows: DataFrame, keys: list[str], severity_col: str, order: list[str], warm_up: int = K.WARM_UP_READINGS, name: str = "state") -> DataFrame:
+def states(rows: DataFrame, keys: list[str], severity_col: str, order: list[str], warm_up: int = K.WARM_UP_READINGS, name: str = "state", most_rows: int | None = None) -> DataFrame:
     """rows with the sensor's state after each reading: warm-up first, then by severity (critical, warning, or null for a normal value).
 
-    A warning never lowers an alert; a normal value brings back NORMAL.
+    A warning never lowers an alert; a normal value brings back NORMAL. States follow each other by a table, so the rows of a
+    key of more than most_rows rows are dealt out over several tasks.
     """
 
-    def step(state: tuple, x: tuple) -> tuple:
-        mode, n = state
-        if mode == "INITIALIZING":
-            n += 1
-            if n >= warm_up:
-                mode = "NORMAL"
-        if mode in ("NORMAL", "WARNING", "ALERT"):
-            severity = (x[0] or "").lower()
-            target = "ALERT" if severity == "critical" else "WARNING" if severity else "NORMAL"
-            if not (mode == "ALERT" and target == "WARNING") and (target == mode or target in K.TRANSITIONS[mode]):
-                mode = target
-        return (mode, n), mode
-
-    return fold(rows, keys, order, [severity_col], lambda: ("INITIALIZING", 0), step, name, "string")
+    names = ["INITIALIZING"] * warm_up + ["NORMAL", "WARNING", "ALERT"]
+    normal, warning, alert = range(warm_up, warm_up + 3)
+    step = np.zeros((3, warm_up + 3), np.int16)
+    for symbol, target in enumerate((normal, warning, alert)):  # no severity, any but critical, critical
+        for state in range(warm_up + 3):
+            # the reading that ends the warm-up is judged as one of a normal sensor
+            mode = names[state] if state + 1 != warm_up else "NORMAL"
+            held = normal if state + 1 == warm_up else state
+            may = names[target] in K.TRANSITIONS[mode] and not (mode == "ALERT" and target == warning)
+            step[symbol, state] = state + 1 if mode == "INITIALIZING" else target if may else held
+    severity = F.lower(F.coalesce(F.col(severity_col), F.lit("")))
+    marked = rows.withColumn("_symbol", F.when(severity == "critical", 2).when(severity != "", 1).otherwise(0))
+    scan = ranges.Automaton("_symbol", step, 0 if warm_up > 0 else normal, names)
+    plain = lambda r: _streamed(r, keys, order, scan, name, "string")
+    return ranges.by_size(marked, keys, plain, lambda r: ranges.scanned(r, keys, order, scan, name, "string"), most_rows).drop("_symbol")

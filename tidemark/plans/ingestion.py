@@ -38,7 +38,7 @@ def routed(rows: DataFrame, ranges_: DataFrame, spikes: dict[str, float | None],
     """
     reason = guards.reading_reason(F.col("sensor_id"), F.col("value"), F.col("sent"), now)
     r = rows.withColumn("_guard", reason).withColumn("_valid", reason.isNull())
-    r = folds.spaced(r, ["sensor_id", "sent", "value"], "received", dedup_seconds, ["received", "sequence"], "_first", only="_valid")
+    r = folds.spaced(r, ["sensor_id", "sent", "value"], "received", dedup_seconds, ["received", "sequence"], "_first", only="_valid", split=False)
     r = events.iot_classified(r, ranges_, spikes, fresh_seconds, cooldown_seconds, takes_part=F.col("_valid") & F.col("_first"))
     outcome = F.when(~F.col("_valid"), "rejected").when(~F.col("_first"), "duplicate").otherwise("routed")
     kind = F.when(outcome == "routed", F.col("class"))
@@ -108,12 +108,14 @@ def staged_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def routed_points(staged: DataFrame, config: DataFrame) -> DataFrame:
     """(series_id, domain, sequence, classification, status, error): rejected points keep their error; of points with one series and time the first is accepted."""
-    good = staged.where("error is null").groupBy("series_id", "t").agg(F.min(F.struct("sequence", "domain", "source_id", "stream_id", "value")).alias("p"), F.collect_list("sequence").alias("all"))
-    told = universal.classified(good.select("series_id", "t", "p.*"), config)
+    good = staged.where("error is null")
+    firsts = good.groupBy("series_id", "t").agg(F.min(F.struct("sequence", "domain", "source_id", "stream_id", "value")).alias("p"), F.count(F.lit(1)).alias("n"))
+    told = universal.classified(firsts.select("series_id", "t", "p.*"), config)
     bad = staged.where("error is not null").select("series_id", "domain", "sequence", F.lit(None).cast("string").alias("classification"), F.lit("rejected").alias("status"), "error")
     accepted = told.select("series_id", "domain", "sequence", "classification", F.lit("accepted").alias("status"), F.lit(None).cast("string").alias("error"))
-    again = good.select("series_id", F.col("p.domain").alias("domain"), F.explode(F.array_remove("all", F.col("p.sequence"))).alias("sequence"))
-    again = again.select("*", F.lit(None).cast("string").alias("classification"), F.lit("duplicate").alias("status"), F.lit(None).cast("string").alias("error"))
+    repeated = firsts.where("n > 1").select("series_id", "t", F.col("p.sequence").alias("first"))
+    again = good.join(repeated, ["series_id", "t"]).where(F.col("sequence") != F.col("first"))
+    again = again.select("series_id", "domain", "sequence", F.lit(None).cast("string").alias("classification"), F.lit("duplicate").alias("status"), F.lit(None).cast("string").alias("error"))
     return accepted.unionByName(again).unionByName(bad)
 
 

@@ -110,7 +110,7 @@ def last_clean_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
 def next_actual_after_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _readings(spark, sf_dir)
     made = r.where("k < 20").select("sensor_id", (F.col("t") + 3600 * S).alias("target_t"), F.col("sequence").alias("prediction_id"))
-    return history.as_of_forward(made, r, "sensor_id", "target_t", "t", "value").select("prediction_id", "sensor_id", "target_t", "actual")
+    return history.as_of_forward(made, r, "sensor_id", "target_t", "t", "value", ties="sequence").select("prediction_id", "sensor_id", "target_t", "actual")
 
 
 _OFFSETS = "off_ AS (SELECT sensor_id, max(sequence) - 20 * (sensor_id % 2) AS last FROM r WHERE sensor_id % 3 <> 0 GROUP BY sensor_id)"
