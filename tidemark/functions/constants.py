@@ -55,12 +55,14 @@ TRANSITIONS = {
 BLOCKING_STATES = ("UNKNOWN", "INITIALIZING", "STALE")
 
 SECOND = 1_000_000  # microseconds
+# Fixed: intervals and limits.
 FUTURE_SECONDS, PAST_SECONDS, MESSAGE_PAST_SECONDS = 300, 30 * 86400, 86400
 MESSAGE_VALUE_LIMIT = 1e12
 ZERO_TOLERANCE, MESSAGE_ZERO_TOLERANCE = 1e-6, 1e-10
 FRESH_SECONDS, COOLDOWN_SECONDS, DEDUP_SECONDS, THROTTLE_SECONDS, EVENT_SECONDS = 600, 300, 300, 1, 600
 LEAST_SLOPE_SECONDS, GENERIC_NOISE = 1.0, (0.1, 0.01)
 WARM_UP_READINGS, CONSECUTIVE = 10, 3
+LIMITER_SECONDS = 300
 RATE_WINDOW_SECONDS, SENSOR_LIMIT, DEVICE_LIMIT, IP_LIMIT = 60, 60, 300, 1000
 TIMING_SAMPLES, EXPECTED_MS, TOLERANCE_MS, LAG_WARN_MS, OUT_OF_ORDER_FAIL = 100, 1000.0, 100.0, 200.0, 0.01
 EXPLAIN_SCORE, EXPLAIN_BATCH = 0.8, 50

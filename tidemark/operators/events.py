@@ -49,6 +49,16 @@ def iot_classified(rows: DataFrame, ranges: DataFrame, spikes: dict[str, float |
     ranges: (sensor_id, low, high, warning_min, warning_max), one row per sensor. Rows for which takes_part isn't true are
     invalid and leave no trace in the history of their sensor.
     """
+    r = _judged(rows, ranges, spikes, fresh_seconds, cooldown_seconds, warm_up, required, takes_part)
+    return r.select(*rows.columns, "previous_value", "triggered", _kind(F.col("reason")).alias("class"), "reason")
+
+
+def _kind(reason: Column) -> Column:
+    return F.when(reason == "out_of_range", "ALERT").when(reason == "spike", "WARNING").otherwise("ML_PREDICTION")
+
+
+def _judged(rows: DataFrame, ranges: DataFrame, spikes: dict[str, float | None], fresh_seconds: float, cooldown_seconds: float, warm_up: int, required: int, takes_part: Column | None) -> DataFrame:
+    """rows with reason, and what it was found by: _good, _open, _out, consecutive, previous values, triggered."""
     r = rows.join(ranges, "sensor_id", "left")
     good = ~(F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf")))
     good = good if takes_part is None else good & F.coalesce(takes_part, F.lit(False))
@@ -66,8 +76,31 @@ def iot_classified(rows: DataFrame, ranges: DataFrame, spikes: dict[str, float |
         .when(F.col("_out"), F.when(F.col("consecutive") >= required, "out_of_range").otherwise("out_of_range_pending"))
         .when(F.coalesce(band, F.lit(False)), "warning_band").when(F.col("_told"), "spike").when(F.col("_spike"), "spike_cooldown").otherwise("clean")
     )
-    kind = F.when(why == "out_of_range", "ALERT").when(why == "spike", "WARNING").otherwise("ML_PREDICTION")
-    return r.select(*rows.columns, "previous_value", "triggered", kind.alias("class"), why.alias("reason"))
+    return r.withColumn("reason", why)
+
+
+def left_behind(rows: DataFrame, ranges: DataFrame, spikes: dict[str, float | None], fresh_seconds: float = K.FRESH_SECONDS, cooldown_seconds: float = K.COOLDOWN_SECONDS, warm_up: int = K.WARM_UP_READINGS, required: int = K.CONSECUTIVE, takes_part: Column | None = None) -> DataFrame:
+    """(sensor_id, n, run, value, since, told): the state of each sensor's path after rows, for a stream to begin with.
+
+    Readings that count, violations in a row, the newest value within bounds and when it began to stand, the last reported spike.
+    """
+    r = _judged(rows, ranges, spikes, fresh_seconds, cooldown_seconds, warm_up, required, takes_part)
+    ok, order = F.col("_good") & ~F.col("_out"), F.struct(*ORDER)
+    begins = ok & ~history.last_where(F.col("value"), ok, history.before(KEYS, ORDER)).eqNullSafe(F.col("value"))
+    r = r.where("_good").withColumn("_begins", begins)
+    last = lambda c, where: F.max_by(c, F.when(where, order))
+    return r.groupBy("sensor_id").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(last("consecutive", F.col("_open")), F.lit(0)).alias("run"), last("value", ok).alias("value"),
+        F.max(F.when(F.col("_begins"), F.col("t"))).alias("since"), F.max(F.when(F.col("reason") == "spike", F.col("t"))).alias("told"),
+    )
+
+
+def consequences(told: DataFrame) -> DataFrame:
+    """(…, outcome, reason) with class, suspicious and what is done with each row; only routed rows have a class."""
+    routed = F.col("outcome") == "routed"
+    r = told.withColumn("class", F.when(routed, _kind(F.col("reason")))).withColumn("suspicious", routed & guards.suspicious_zero(F.col("value"), F.lit(None).cast("string")))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return r.withColumns({"persist_reading": yes(rules.persists_reading(F.col("class"))), "update_latest": F.col("class").isNotNull(), "to_learning": yes(rules.goes_to_learning(F.col("class")))})
 
 
 def active_alerts(violations: DataFrame) -> DataFrame:

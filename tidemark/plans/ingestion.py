@@ -41,12 +41,7 @@ def routed(rows: DataFrame, ranges_: DataFrame, spikes: dict[str, float | None],
     r = folds.spaced(r, ["sensor_id", "sent", "value"], "received", dedup_seconds, ["received", "sequence"], "_first", only="_valid", split=False)
     r = events.iot_classified(r, ranges_, spikes, fresh_seconds, cooldown_seconds, takes_part=F.col("_valid") & F.col("_first"))
     outcome = F.when(~F.col("_valid"), "rejected").when(~F.col("_first"), "duplicate").otherwise("routed")
-    kind = F.when(outcome == "routed", F.col("class"))
-    zero = (outcome == "routed") & guards.suspicious_zero(F.col("value"), F.lit(None).cast("string"))
-    return r.select(
-        *rows.columns, outcome.alias("outcome"), F.coalesce("_guard", F.when(outcome == "routed", F.col("reason"))).alias("reason"), kind.alias("class"), zero.alias("suspicious"),
-        F.coalesce(rules.persists_reading(kind), F.lit(False)).alias("persist_reading"), kind.isNotNull().alias("update_latest"), F.coalesce(rules.goes_to_learning(kind), F.lit(False)).alias("to_learning"),
-    )
+    return events.consequences(r.select(*rows.columns, outcome.alias("outcome"), F.coalesce("_guard", F.when(outcome == "routed", F.col("reason"))).alias("reason")))
 
 
 _ARRIVED = f"""{READINGS.replace('r AS (', 'r0 AS (', 1)}, ar AS (
