@@ -35,3 +35,10 @@ def call_error(given: Column, role: Column, active: Column, own_source: Column,
         .when(~F.coalesce(active, F.lit(False)), "inactive_key")
         .when(~may_write(role, own_source, domains, source, domain), "forbidden")
     )
+
+
+def global_key_error(given: Column, expected: str | None, production: bool) -> Column:
+    """Null for a call with the one key of all callers, else why not. Without such a key all may call, but not in production: there it is a fault of the set-up."""
+    if not expected:
+        return F.lit("key_not_configured" if production else None).cast("string")
+    return F.when(F.coalesce(given, F.lit("")) == "", "missing_key").when(given != F.lit(expected), "invalid_key")

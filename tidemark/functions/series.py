@@ -46,3 +46,8 @@ def client_ip(forwarded: Column, real: Column, peer: Column) -> Column:
     """The first of X-Forwarded-For, else X-Real-IP, else the peer's address."""
     first = F.trim(F.get(F.split(forwarded, ","), F.lit(0)))
     return F.coalesce(F.nullif(first, F.lit("")), F.nullif(F.trim(real), F.lit("")), peer)
+
+
+def processed_at(status: Column, at: Column) -> Column:
+    """When a point was done with: set as it is persisted, rejected or failed."""
+    return F.when(status.isin("persisted", "rejected", "failed"), at)

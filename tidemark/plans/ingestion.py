@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import access, guards, rules, series
 from tidemark.functions import constants as K
-from tidemark.operators import events, folds
+from tidemark.operators import events, folds, lineage
 from tidemark.plans import points as universal
 from tidemark.plans.base import BOUNDS_SQL, COOLDOWN, FRESH, NOW, POINTS, READINGS, SPIKES, Registry, bounds
 from tidemark.plans.sequences import _IOT, ranges
-from tidemark.sources import readings, sinks
+from tidemark.sources import csv_files, readings, sinks
 
 query = Registry()
 KEYS, ORDER = ["sensor_id"], ["t", "sequence"]
@@ -114,6 +114,7 @@ def routed_points(staged: DataFrame, config: DataFrame) -> DataFrame:
     return accepted.unionByName(again).unionByName(bad)
 
 
+_KEYS = "k (name, role, own, domains, active) AS (VALUES ('ka', 'admin', NULL, CAST([] AS VARCHAR[]), true), ('kb', 'source_writer', '3', ['finance', 'health'], true), ('kc', 'source_writer', '4', ['health'], false), ('kd', 'read_only', NULL, ['finance'], true))"
 _CLASSIFIED2 = universal.CLASSIFIED.replace(f"{POINTS}, {BOUNDS_SQL}", _STAGED, 1).replace("FROM p LEFT JOIN bounds", "FROM p2 p LEFT JOIN bounds", 1)
 
 
@@ -123,6 +124,24 @@ def route_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed_points(staged_points(spark, sf_dir), bounds(spark))
 
 
+@query(f"""WITH {_CLASSIFIED2}, {_KEYS}, au AS (
+        SELECT dp.sequence, CASE WHEN given IS NULL THEN 'missing_key' WHEN k.name IS NULL THEN 'invalid_key' WHEN NOT active THEN 'inactive_key' WHEN role = 'admin' THEN NULL WHEN role = 'source_writer' AND own = source_id AND list_contains(k.domains, domain) THEN NULL ELSE 'forbidden' END AS denied
+        FROM (SELECT *, CASE sequence % 6 WHEN 1 THEN 'kb' WHEN 2 THEN 'kc' WHEN 3 THEN 'kd' WHEN 4 THEN 'other' ELSE 'ka' END AS given FROM dp) dp LEFT JOIN k ON k.name = given)
+    SELECT dp.sequence, st.status, CASE WHEN st.status <> 'pending' THEN {NOW} END AS processed_at, CASE WHEN denied IS NOT NULL THEN denied ELSE dp.error END AS error
+    FROM dp JOIN au USING (sequence), LATERAL (SELECT CASE WHEN denied IS NOT NULL OR dp.error IS NOT NULL THEN 'rejected' WHEN dup THEN 'failed' ELSE 'persisted' END AS status) st""")
+def point_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of calls with keys, in one plan: who may not write is turned away, then what is wrong; repeats fail at the store, the rest is stored. Each has the time at which it was done with."""
+    s = F.col("sequence")
+    staged = staged_points(spark, sf_dir).withColumn("given", F.when(s % 6 == 1, "kb").when(s % 6 == 2, "kc").when(s % 6 == 3, "kd").when(s % 6 == 4, "other").otherwise("ka"))
+    j = staged.withColumn("key_hash", access.key_hash(F.col("given"))).join(api_keys(spark), "key_hash", "left")
+    denied = access.call_error(F.col("given"), F.col("role"), F.col("active"), F.col("own"), F.col("domains"), F.col("source_id"), F.col("domain"))
+    told = j.withColumn("denied", denied).withColumn("stored", F.min(F.when(F.col("error").isNull(), s)).over(Window.partitionBy("series_id", "t")))
+    rejected = F.col("denied").isNotNull() | F.col("error").isNotNull()
+    status = series.lifecycle(rejected, F.col("stored") != s, F.lit("normal"), F.col("stored") == s)
+    out = told.select("sequence", status.alias("status"), F.coalesce("denied", "error").alias("error"))
+    return out.withColumn("processed_at", series.processed_at(F.col("status"), F.lit(NOW)))
+
+
 @query("""SELECT event_id AS sequence, CASE WHEN domain IS NULL OR domain = '' THEN 'unsupported' WHEN domain = 'iot' THEN 'iot' ELSE 'universal' END AS store
     FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'iot' WHEN 1 THEN 'IoT' WHEN 2 THEN 'finance' WHEN 3 THEN '' END AS domain FROM events)""")
 def store_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,21 +166,103 @@ def universal_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.coalesce("sequence", F.regexp_extract("payload", r"^\{oops (\d+)$", 1).try_cast("long")).alias("sequence"), F.when(F.coalesce(F.col("reason") != "NOT_JSON", F.lit(True)), F.col("series_id")).alias("series_id"), "error", "value")
 
 
-@query(f"""WITH {READINGS} SELECT sensor_id % 10 AS device, sensor_id, value, t FROM r WHERE k < 50""")
+#: Readings of a packet at most: sequences are unique, so a packet takes those of one range of them.
+PACKET_READINGS = 500
+
+
+def _packets(r: DataFrame) -> DataFrame:
+    return r.withColumn("device", F.col("sensor_id") % 10).withColumn("packet", F.expr(f"sequence div {PACKET_READINGS}"))
+
+
+@query(f"""WITH {READINGS} SELECT sensor_id % 10 AS device, sensor_id, value, t FROM r""")
 def bulk_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bulk packets as JSON, one per device and day, unpacked by their schema."""
-    r = readings.event_readings(spark, sf_dir).where("k < 50")
+    """Bulk packets as JSON, each of a device and of bounded length, unpacked by their schema."""
+    r = _packets(readings.event_readings(spark, sf_dir))
     one = F.struct("sensor_id", "value", F.date_format(F.timestamp_micros("t"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"))
-    packets = r.groupBy((F.col("sensor_id") % 10).alias("device"), F.expr(f"t div {86400 * S}").alias("day")).agg(F.collect_list(one).alias("readings")).select("device", F.to_json(F.struct("readings")).alias("body"))
+    packets = r.groupBy("device", "packet").agg(F.collect_list(one).alias("readings")).select("device", F.to_json(F.struct("readings")).alias("body"))
     rows = packets.select("device", F.from_json("body", readings.BULK).alias("b")).select("device", F.inline("b.readings"))
     return rows.select("device", "sensor_id", "value", F.unix_micros("timestamp").alias("t"))
 
 
-@query(f"WITH {READINGS} SELECT sensor_id % 10 AS device, t // {86400 * S} AS day, count(*) AS inserted, count(DISTINCT sensor_id) AS limited_keys FROM r WHERE k < 50 GROUP BY ALL")
+@query(f"WITH {READINGS} SELECT sensor_id % 10 AS device, sequence // {PACKET_READINGS} AS packet, count(*) AS inserted, count(DISTINCT sensor_id) AS limited_keys FROM r GROUP BY ALL")
 def bulk_acknowledged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each packet reports back: the rows of it, and the distinct sensors that the rate limiter counts."""
-    r = readings.event_readings(spark, sf_dir).where("k < 50")
-    return r.groupBy((F.col("sensor_id") % 10).alias("device"), F.expr(f"t div {86400 * S}").alias("day")).agg(F.count(F.lit(1)).alias("inserted"), F.count_distinct("sensor_id").alias("limited_keys"))
+    r = _packets(readings.event_readings(spark, sf_dir))
+    return r.groupBy("device", "packet").agg(F.count(F.lit(1)).alias("inserted"), F.count_distinct("sensor_id").alias("limited_keys"))
+
+
+@query(f"""WITH RECURSIVE {_ROUTED} SELECT sensor_id % 10 AS device, sequence // {PACKET_READINGS} AS packet, count(*) AS received, count(*) FILTER (outcome = 'routed') AS accepted, count(*) FILTER (outcome = 'rejected') AS rejected,
+        count(*) FILTER (outcome = 'duplicate') AS duplicates, coalesce(max(sequence) FILTER (outcome <> 'rejected'), -1) AS acknowledged,
+        CASE WHEN count(*) FILTER (outcome = 'rejected') = 0 THEN 'ok' WHEN count(*) FILTER (outcome <> 'rejected') = 0 THEN 'error' ELSE 'partial' END AS status FROM ro GROUP BY ALL""")
+def packet_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer to each packet after its readings were routed: how many were taken, turned away or there already, and the newest sequence that needn't be sent again."""
+    r = _packets(_routed(spark, sf_dir))
+    rejected = F.count_if(F.col("outcome") == "rejected")
+    told = r.groupBy("device", "packet").agg(
+        F.count(F.lit(1)).alias("received"), F.count_if(F.col("outcome") == "routed").alias("accepted"), rejected.alias("rejected"), F.count_if(F.col("outcome") == "duplicate").alias("duplicates"),
+        F.coalesce(F.max(F.when(F.col("outcome") != "rejected", F.col("sequence"))), F.lit(-1)).alias("acknowledged"),
+    )
+    return told.withColumn("status", F.when(F.col("rejected") == 0, "ok").when(F.col("rejected") == F.col("received"), "error").otherwise("partial"))
+
+
+_UNIVERSAL = f"""{POINTS}, u AS (SELECT CASE WHEN sequence % 50 = 7 THEN 'IoT' ELSE domain END AS domain, source_id, CASE WHEN sequence % 9 = 4 THEN '' ELSE stream_id END AS stream_id,
+        CASE WHEN sequence % 9 = 5 THEN series_id || ':own' END AS given, value, t, sequence FROM p)"""
+
+
+@query(f"""WITH {_UNIVERSAL} SELECT CASE WHEN given IS NOT NULL THEN given WHEN stream_id <> '' THEN domain || ':' || source_id || ':' || stream_id END AS series_id, domain, source_id, stream_id, value, t, sequence,
+        CASE WHEN lower(domain) = 'iot' THEN 'invalid_domain' WHEN given IS NULL AND stream_id = '' THEN 'missing_stream' END AS error FROM u""")
+def universal_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Universal packets as JSON, each of a domain and source and of bounded length, unpacked by their schema and checked point by point."""
+    s = F.col("sequence")
+    p = readings.event_points(spark, sf_dir).withColumn("given", F.when(s % 9 == 5, F.concat("series_id", F.lit(":own"))))
+    one = F.struct(F.col("given").alias("series_id"), F.when(s % 9 == 4, "").otherwise(F.col("stream_id")).alias("stream_id"), "value", F.date_format(F.timestamp_micros("t"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), "sequence")
+    p = p.withColumn("domain", F.when(s % 50 == 7, "IoT").otherwise(F.col("domain")))
+    packets = p.groupBy("domain", "source_id", F.expr(f"sequence div {PACKET_READINGS}").alias("packet")).agg(F.collect_list(one).alias("data_points"))
+    body = packets.select(F.to_json(F.struct("domain", "source_id", "data_points")).alias("body"))
+    found = readings.points(body.select(F.from_json("body", readings.POINTS).alias("p")).select("p.*"))
+    return found.select("series_id", "domain", "source_id", "stream_id", "value", F.unix_micros("timestamp").alias("t"), "sequence", "error")
+
+
+_FILES = """w AS (SELECT event_id % 4 AS job, event_id, ts, event_id % 11 = 0 AS bad, CASE WHEN event_id % 5 = 0 THEN 'x' WHEN event_id % 17 = 0 THEN NULL ELSE CAST(event_id % 97 AS VARCHAR) END AS a, CAST(event_id % 13 AS VARCHAR) AS b,
+        row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) - 1 AS csv_row FROM events)"""
+
+
+@query(f"""WITH {_FILES}, l AS (SELECT *, unnest(['a', 'b']) AS csv_column, unnest([a, b]) AS txt FROM w)
+    SELECT job, csv_row, csv_column, 'plant:file' || job || ':m_' || csv_column AS series_id, epoch_us(date_trunc('second', ts)) AS t, TRY_CAST(txt AS DOUBLE) AS value FROM l WHERE NOT bad AND TRY_CAST(txt AS DOUBLE) IS NOT NULL""")
+def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of rows, written and read back: every point tells the row and column that it comes from, counted as they lie in the file."""
+    e = F.col("event_id")
+    wide = readings.table(spark, sf_dir, "events").select(
+        (e % 4).alias("job"), e, F.when(e % 11 == 0, "bad").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("at"),
+        F.when(e % 5 == 0, "x").when(e % 17 != 0, (e % 97).cast("string")).alias("a"), (e % 13).cast("string").alias("b"),
+    )
+    folder = lineage.folder(spark, "csv")
+    wide.repartition("job").sortWithinPartitions("job", "event_id").select("job", "at", "a", "b").write.partitionBy("job").csv(folder, header=True, emptyValue="")
+    rows = csv_files.rows(spark, folder).withColumn("job", F.regexp_extract("file", r"/job=(\d+)/", 1).cast("long"))
+    found = csv_files.points(rows, "at", ["a", "b"], F.concat(F.lit("file"), F.col("job").cast("string")), "plant", "m_")
+    job = F.regexp_extract("series_id", r"^plant:file(\d+):", 1).cast("long")
+    return found.select(job.alias("job"), F.col("metadata.csv_row").cast("long").alias("csv_row"), F.col("metadata.csv_column").alias("csv_column"), "series_id", "t", "value")
+
+
+@query("""WITH j AS (SELECT event_id AS job_id, CASE WHEN event_id % 10 = 0 THEN 'IOT' WHEN event_id % 10 = 1 THEN NULL ELSE 'finance' END AS domain,
+        CASE event_id % 7 WHEN 0 THEN '[]' WHEN 1 THEN 'price' WHEN 2 THEN '{"a": 1}' WHEN 3 THEN NULL WHEN 4 THEN '["price", "volume"' WHEN 5 THEN '["price"]' ELSE ' ["price", "volume"]' END AS cols FROM events)
+    SELECT job_id, CASE WHEN domain IS NULL OR lower(domain) = 'iot' THEN 'invalid_domain' WHEN cols IS NULL OR json_valid(cols) IS NOT TRUE OR json_type(CASE WHEN json_valid(cols) THEN cols END) <> 'ARRAY' OR json_array_length(CASE WHEN json_valid(cols) THEN cols END) = 0 THEN 'invalid_value_columns' END AS error FROM j""")
+def csv_submits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which submissions of files are taken: not for the domain that has its own path, and with a JSON array that names a column or more."""
+    e = F.col("event_id")
+    m = e % 7
+    cols = F.when(m == 0, "[]").when(m == 1, "price").when(m == 2, '{"a": 1}').when(m == 3, F.lit(None)).when(m == 4, '["price", "volume"').when(m == 5, '["price"]').otherwise(' ["price", "volume"]')
+    jobs = readings.table(spark, sf_dir, "events").select(e.alias("job_id"), F.when(e % 10 == 0, "IOT").when(e % 10 != 1, "finance").alias("domain"), cols.alias("cols"))
+    return jobs.select("job_id", csv_files.submit_error(F.col("domain"), F.col("cols")).alias("error"))
+
+
+@query(f"""WITH {READINGS} SELECT sequence, CASE WHEN k % 3 = 0 THEN 'missing_key' WHEN k % 3 = 1 THEN 'invalid_key' END AS keyed, CAST(NULL AS VARCHAR) AS open_mode, 'key_not_configured' AS unconfigured FROM r""")
+def global_key_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls under one key for all: with a key, in open mode without one, and without one in production."""
+    k = F.col("k") % 3
+    calls = readings.event_readings(spark, sf_dir).select("sequence", F.when(k == 1, "other").when(k == 2, "secret").alias("given"))
+    modes = {"keyed": ("secret", True), "open_mode": (None, False), "unconfigured": (None, True)}
+    return calls.select("sequence", *(access.global_key_error(F.col("given"), expected, production).alias(c) for c, (expected, production) in modes.items()))
 
 
 @query(f"""WITH {READINGS} SELECT sequence, CASE WHEN k % 10 = 1 THEN 'Missing required field: sensor_id' WHEN k % 10 = 2 THEN 'Missing required field: value' WHEN k % 10 = 3 THEN 'Missing required field: timestamp'
@@ -182,7 +283,6 @@ def api_keys(spark: SparkSession) -> DataFrame:
     return table.select(access.key_hash(F.col("name")).alias("key_hash"), "role", "own", "domains", "active")
 
 
-_KEYS = "k (name, role, own, domains, active) AS (VALUES ('ka', 'admin', NULL, CAST([] AS VARCHAR[]), true), ('kb', 'source_writer', '3', ['finance', 'health'], true), ('kc', 'source_writer', '4', ['health'], false), ('kd', 'read_only', NULL, ['finance'], true))"
 _CALLS = f"""{POINTS}, {_KEYS}, q AS (SELECT *, CASE sequence % 6 WHEN 0 THEN 'ka' WHEN 1 THEN 'kb' WHEN 2 THEN 'kc' WHEN 3 THEN 'kd' WHEN 4 THEN 'other' END AS given FROM p),
     au AS (SELECT q.*, k.name, CASE WHEN given IS NULL THEN 'missing_key' WHEN k.name IS NULL THEN 'invalid_key' WHEN NOT active THEN 'inactive_key' WHEN role = 'admin' THEN NULL WHEN role = 'source_writer' AND own = source_id AND list_contains(k.domains, domain) THEN NULL ELSE 'forbidden' END AS error
         FROM q LEFT JOIN k ON sha256(k.name) = sha256(given))"""
