@@ -11,7 +11,7 @@ from tidemark.operators import events, folds, lineage
 from tidemark.plans import points as universal
 from tidemark.plans.base import BOUNDS_SQL, COOLDOWN, FRESH, NOW, POINTS, READINGS, SPIKES, Registry, bounds
 from tidemark.plans.sequences import _IOT, ranges
-from tidemark.sources import csv_files, readings, sinks
+from tidemark.sources import csv_files, readings, sinks, snapshots, tables
 
 query = Registry()
 KEYS, ORDER = ["sensor_id"], ["t", "sequence"]
@@ -355,4 +355,62 @@ def csv_job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("*", F.expr("points div 1000").alias("progress_marks"), F.when(F.col("failed") == 0, "completed").otherwise("completed_with_errors").alias("status"))
 
 
+_STORED = f"""{POINTS}, sp AS (SELECT domain, CASE WHEN sequence % 13 = 0 THEN repeat('s', 256) ELSE source_id END AS source_id, CASE WHEN sequence % 13 = 1 THEN NULL ELSE stream_id END AS stream_id,
+        CASE sequence % 13 WHEN 2 THEN NULL WHEN 3 THEN 'nan'::DOUBLE ELSE value END AS value, CASE WHEN sequence % 13 <> 4 THEN t END AS t, sequence FROM p)"""
+
+
+@query(f"""WITH {_STORED} SELECT sequence, CASE WHEN stream_id IS NULL THEN 'stream_id is null' WHEN value IS NULL THEN 'value is null' WHEN t IS NULL THEN 'timestamp is null' WHEN isnan(value) THEN 'value isn''t finite' WHEN length(source_id) > 255 THEN 'source_id is longer than 255' END AS error,
+        CASE WHEN stream_id IS NULL OR value IS NULL OR t IS NULL OR isnan(value) OR length(source_id) > 255 THEN 'dead_letters' ELSE 'data_points' END AS target FROM sp""")
+def stored_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of points against the rules of their table, each row by itself: what breaks one goes to the dead letters, all others are stored."""
+    m = F.col("sequence") % 13
+    p = readings.event_points(spark, sf_dir).select(
+        "domain", F.when(m == 0, F.repeat(F.lit("s"), F.lit(256))).otherwise(F.col("source_id")).alias("source_id"), F.when(m != 1, F.col("stream_id")).alias("stream_id"),
+        F.when(m == 3, float("nan")).when(m != 2, F.col("value")).alias("value"), F.when(m != 4, F.timestamp_micros("t")).alias("timestamp"), "sequence",
+    )
+    error = tables.DATA_POINTS.broken()
+    told = tables.DATA_POINTS.conformed(p, F.timestamp_micros(F.lit(NOW))).withColumn("error", error)
+    return told.select("sequence", "error", F.when(F.col("error").isNull(), "data_points").otherwise("dead_letters").alias("target"))
+
+
+@query(f"""WITH {POINTS}, c AS (SELECT domain, source_id, stream_id, count(*) AS n, max(sequence) AS newest FROM p GROUP BY ALL)
+    SELECT domain, source_id, stream_id, CASE WHEN newest % 5 = 0 THEN 'm/s' WHEN newest % 3 = 0 THEN 'renamed' ELSE 'first' END AS unit,
+        {NOW} AS created_at, {NOW} + CASE WHEN newest % 5 = 0 THEN 2 WHEN newest % 3 = 0 THEN 1 ELSE 0 END * {S} AS updated_at FROM c""")
+def stream_config_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The configuration of streams, written by three commits (all, every third, every fifth) and read back with the times of its first and last change."""
+    p = readings.event_points(spark, sf_dir).groupBy("domain", "source_id", "stream_id").agg(F.max("sequence").alias("newest"))
+    table = snapshots.SnapshotTable(spark, lineage.folder(spark, "stream_configs"), ["domain", "source_id", "stream_id"])
+    for k, (unit, every) in enumerate((("first", 1), ("renamed", 3), ("m/s", 5))):
+        rows = p.where(F.col("newest") % every == 0).select("domain", "source_id", "stream_id", F.lit(unit).alias("unit"))
+        for _ in range(2):  # a batch that comes twice counts once
+            table.write(rows, NOW + k * S, "configs", k)
+    return table.read()
+
+
+_HEARD = f"""{_MESSAGES.replace("SELECT sequence, k, value, t,", "SELECT sequence, k, value, t, event_type,", 1)}, {BOUNDS_SQL},
+    p2 AS (SELECT 'health' AS domain, CAST(sensor_id AS VARCHAR) AS source_id, 'bpm' AS stream_id, 'health:' || sensor_id || ':bpm' AS series_id, value, t, sequence FROM ms WHERE k % 8 NOT IN (0, 1, 2))"""
+_HEARD_CLASSES = universal.CLASSIFIED.replace(f"{POINTS}, {BOUNDS_SQL}", _HEARD, 1).replace("FROM p LEFT JOIN bounds", "FROM p2 p LEFT JOIN bounds", 1)
+
+
+@query(f"""WITH {_HEARD_CLASSES} SELECT ms.sequence, CASE WHEN k % 8 = 1 THEN 'parse_error' WHEN k % 8 = 0 THEN 'invalid_domain' WHEN k % 8 = 2 THEN 'validation_error' END AS error, c.classification,
+        CASE WHEN k % 8 IN (0, 1, 2) THEN 'dead_letters' ELSE 'data_points' END AS target, coalesce(c.classification IN ('critical', 'warning'), false) AS alert FROM ms LEFT JOIN classified c ON c.sequence = ms.sequence""")
+def message_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages from their text to the table that they end in, in one plan: parsed, checked, classified against bounds and history, judged by the rules of the table."""
+    r, d = readings.event_readings(spark, sf_dir), F.col("k") % 8
+    topic = F.concat_ws("/", F.when(d == 0, "iot").otherwise("health"), F.col("sensor_id").cast("string"), F.lit("bpm"), F.lit("data"))
+    at = F.date_format(F.timestamp_micros("t"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    made = F.to_json(F.struct(F.when(d != 2, F.col("value")).alias("value"), at.alias("timestamp"), F.create_map(F.lit("sequence"), F.col("sequence").cast("string")).alias("metadata")))
+    raw = r.select(topic.alias("topic"), F.when(d == 1, F.concat(F.lit("{oops "), F.col("sequence").cast("string"))).otherwise(made).alias("payload"))
+    m = readings.messages(raw, NOW)
+    m = m.withColumn("sequence", F.coalesce("sequence", F.regexp_extract("payload", r"^\{oops (\d+)$", 1).try_cast("long")))
+    part = lambda k: series.part(F.col("series_id"), k)
+    good = m.where("error is null").select("series_id", part(1).alias("domain"), part(2).alias("source_id"), part(3).alias("stream_id"), "value", "t", "sequence")
+    told = universal.classified(good, bounds(spark)).select("domain", "source_id", "stream_id", "value", F.timestamp_micros("t").alias("timestamp"), "classification", "sequence")
+    told = tables.DATA_POINTS.conformed(told, F.timestamp_micros(F.lit(NOW))).withColumn("error", tables.DATA_POINTS.broken())
+    bad = m.where("error is not null").select("sequence", "error", F.lit(None).cast("string").alias("classification"))
+    out = told.select("sequence", "error", "classification").unionByName(bad)
+    target = F.when(F.col("error").isNull(), "data_points").otherwise("dead_letters")
+    return out.select("sequence", "error", "classification", target.alias("target"), F.coalesce(rules.should_alert(F.col("classification")), F.lit(False)).alias("alert"))
+
+
 QUERIES, ORACLE_SQL = query.queries, query.sql
