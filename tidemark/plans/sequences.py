@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import constants as K
 from tidemark.functions import guards
-from tidemark.operators import events, folds, history, metrics
+from tidemark.operators import events, folds, history, metrics, sketches
 from tidemark.plans.base import COOLDOWN, DEDUP, FRESH, READINGS, SPIKES, THROTTLE, THRESHOLDS_SQL, Registry, thresholds
 from tidemark.sources import readings
 
@@ -205,6 +205,29 @@ def health_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stats(spark, sf_dir).select("sensor_id", v.alias("verdict"), F.array_join(why, ",").alias("reasons"))
 
 
+_DAY = 86400 * S
+
+
+def _timing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of each sensor by day, from which any span of days follows."""
+    return sketches.buckets(_timed(spark, sf_dir), KEYS, "received", "delta_ms", _DAY)
+
+
+@query(f"""WITH {_TIMED} SELECT sensor_id, received // {7 * _DAY} AS week, count(*) AS readings, count(delta_ms) AS n, CAST(round(sum(delta_ms) * 1000) AS BIGINT) AS total_us, round(stddev_samp(delta_ms), 2) AS stdev, min(delta_ms) AS least, max(delta_ms) AS greatest FROM tm GROUP BY ALL""")
+def timing_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between readings by week, merged from days."""
+    weeks = sketches.statistics(sketches.coarser(_timing_days(spark, sf_dir), KEYS, 7))
+    return weeks.select("sensor_id", F.col("bucket").alias("week"), "readings", "n", F.round(F.col("mean") * F.col("n") * 1000).cast("long").alias("total_us"), F.round("stdev", 2).alias("stdev"), "least", "greatest")
+
+
+@query(f"""WITH {_TIMED} SELECT sensor_id, count(*) AS readings, count(delta_ms) AS n, CAST(round(sum(delta_ms) * 1000) AS BIGINT) AS total_us, round(stddev_samp(delta_ms), 2) AS stdev, min(delta_ms) AS least, max(delta_ms) AS greatest FROM tm GROUP BY ALL""")
+def timing_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between readings over the whole history, merged from weeks that were merged from days."""
+    weeks = sketches.coarser(_timing_days(spark, sf_dir), KEYS, 7)
+    whole = sketches.statistics(sketches.merged(weeks, KEYS))
+    return whole.select("sensor_id", "readings", "n", F.round(F.col("mean") * F.col("n") * 1000).cast("long").alias("total_us"), F.round("stdev", 2).alias("stdev"), "least", "greatest")
+
+
 @query(f"""WITH RECURSIVE {READINGS}, o AS (SELECT user_id % 10 AS name, epoch_us(ts) AS t, event_id AS sequence, event_type NOT IN ('error', 'click') AS ok, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS n FROM events),
     s AS (SELECT name, n, sequence, CASE WHEN ok THEN 'CLOSED' ELSE 'CLOSED' END AS mode, CASE WHEN ok THEN 0 ELSE 1 END AS failed, 0 AS won, CASE WHEN ok THEN 0 ELSE t END AS since, CAST('CLOSED' AS VARCHAR) AS breaker FROM o WHERE n = 1
         UNION ALL SELECT name, n, sequence, CASE WHEN turned THEN 'OPEN' WHEN ok THEN CASE WHEN m = 'HALF_OPEN' AND w + 1 < 2 THEN 'HALF_OPEN' ELSE 'CLOSED' END ELSE CASE WHEN m = 'HALF_OPEN' OR failed + 1 >= 3 THEN 'OPEN' ELSE 'CLOSED' END END,
