@@ -176,6 +176,18 @@ def topn_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest(readings.event_readings(spark, sf_dir), ["sensor_id"], [F.desc("t"), F.desc("sequence")], 5).select("sensor_id", "sequence", "value", F.col("place").cast("long"))
 
 
+@query(f"""WITH {READINGS}, v AS (SELECT sensor_id, sequence, t, CASE WHEN k % 7 <> 0 THEN value END AS value FROM r), n AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY t DESC, sequence DESC) AS place FROM v)
+    SELECT sensor_id, row_number() OVER (PARTITION BY sensor_id ORDER BY place DESC) AS nth, coalesce(value, 0.0) AS value, t FROM n WHERE place <= 5""")
+def recent_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest five values of each sensor from the oldest to the newest, with 0 for those that are missing: what a prediction is given."""
+    from tidemark.operators.history import newest
+
+    r = readings.event_readings(spark, sf_dir).withColumn("value", F.coalesce(F.when(F.col("k") % 7 != 0, F.col("value")), F.lit(0.0)))
+    last = newest(r, ["sensor_id"], [F.desc("t"), F.desc("sequence")], 5)
+    rising = F.row_number().over(Window.partitionBy("sensor_id").orderBy(F.desc("place")))
+    return last.select("sensor_id", rising.cast("long").alias("nth"), "value", "t")
+
+
 @query(f"""WITH {READINGS} SELECT sequence, count(*) OVER (PARTITION BY sensor_id ORDER BY t RANGE BETWEEN 172800000000 PRECEDING AND CURRENT ROW) AS recent,
         CASE WHEN row_number() OVER (PARTITION BY sensor_id ORDER BY t, sequence) >= 10 THEN 'NORMAL' ELSE 'INITIALIZING' END AS state FROM r""")
 def warmup_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
