@@ -310,20 +310,38 @@ def test_line_columns_clash(spark):
 
 
 def lines_in_earlier_passages(rows, long_words=50):
-    """By brute force: for each (id, text) the places of lines in a pair of lines, or a long line, that stood earlier already."""
-    seen, out = set(), {}
+    """By brute force: for each (id, text) the places of lines in its longest passages that stand in an earlier text, or further up in their own."""
+    earlier, out = "\n", {}
     for doc, text in sorted(rows):
         lines, gone = text.split("\n"), set()
-        at = [i for i, x in enumerate(lines) if x.strip()]
-        for a, b in [*zip(at, at[1:]), *((i, i) for i in at if len(lines[i].split()) >= long_words)]:
-            passage = tuple(lines[a : b + 1])
-            if passage in seen:
-                gone |= set(range(a, b + 1))
-            seen.add(passage)
+        for i, line in enumerate(lines):
+            above, end = "\n".join(["", *lines[:i], ""]), i
+            while end < len(lines) and any("\n".join(["", *lines[i : end + 1], ""]) in x for x in (earlier, above)):
+                end += 1
+            while end > i and not lines[end - 1].strip():
+                end -= 1
+            many = sum(1 for x in lines[i:end] if x.strip()) > 1 or len(" ".join(lines[i:end]).split()) >= long_words
+            gone |= set(range(i, end)) if line.strip() and many else set()
+        earlier += text + "\n\0\n"
         out[doc] = gone
     return out
 
 
+def test_chunks_find_what_the_complement_is_not_asked_for(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    lines = lambda rows: {(r["_ld_id"], k) for r in rows for k in range(r["start"], r["end"])}
+    rows = linededup.repeated(docs).collect()
+    by_chunk, by_others = lines(r for r in rows if r["whole"]), lines(r for r in rows if not r["whole"])
+    assert len(by_chunk - by_others) > 0.1 * len(by_chunk | by_others) and by_others - by_chunk
+    assert all(r["end"] - r["start"] > 1 for r in rows if r["whole"])
+
+
+def test_first_occurrences_lose_no_line(spark):
+    rows = [(1, "a\na\na", ""), (2, "b\nb\nb\nb\nb", ""), (3, "x y\nx y", ""), (4, "p\nq\np\nq\np", ""), (5, "a\na", "")]
+    got = clean(spark, rows)
+    assert [got[(k, "")] for k in (1, 2, 3, 4, 5)] == [("a\na\na", 0), ("b\nb", 3), ("x y\nx y", 0), ("p\nq", 3), ("", 2)]
+
+
 def test_every_repeated_passage_goes(spark):
     r = random.Random(9)
     own = lambda n: " ".join(f"{r.choice('abcdefgh')}{r.randrange(10**6)}" for _ in range(n))
@@ -345,4 +363,5 @@ def test_no_repeated_passage_of_the_table_stays(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if r["text"]]
     got = {r["doc_id"]: r for r in queries.op3_line_dedup(spark, sf_dir).collect()}
     for doc, gone in lines_in_earlier_passages(rows).items():
-        assert got[doc]["removed_lines"] >= len(gone)
+        left = [x for i, x in enumerate(dict(rows)[doc].split("\n")) if i not in gone]
+        assert not gone and got[doc]["text"] == dict(rows)[doc] or got[doc]["text"] == ("\n".join(left) if any(x.strip() for x in left) else "")
