@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import constants as K
 from tidemark.operators import events, history
-from tidemark.plans import ingestion
-from tidemark.plans.base import COOLDOWN, FRESH, NOW, SPIKES
+from tidemark.plans import ingestion, points
+from tidemark.plans.base import COOLDOWN, FRESH, NOW, SPIKES, bounds
 from tidemark.plans.sequences import ranges
+from tidemark.sources import readings
 from tidemark.streaming import jobs, stateful
 
 COLUMNS = ["sequence", "outcome", "reason", "class", "suspicious", "persist_reading", "update_latest", "to_learning"]
@@ -91,3 +92,44 @@ def test_limiter_equals_batch_and_forgets(spark, tmp_path):
     assert q.exception() is None
     with pytest.raises(ValueError):
         stateful.rate_limited(df, "k", "t", 20, window_seconds=200)
+
+
+def told(df):
+    return sorted((tuple(r) for r in df.select("sequence", "previous_value", "violated_constraint", "classification").collect()), key=repr)
+
+
+@pytest.mark.parametrize("seed,n", [(2, 2), (3, 4)])
+def test_points_are_classified_alike_for_any_cut(spark, sf_dir, tmp_path, seed, n):
+    spark.catalog.clearCache()
+    rows = readings.event_points(spark, sf_dir).where("sequence % 3 = 0")
+    path = str(tmp_path / "rows")
+    rows.write.parquet(path)
+    rows = spark.read.parquet(path)
+    good = rows.where("value is not null and not isnan(value)").dropDuplicates(["series_id", "t"])
+    want = points.classified(good, bounds(spark))
+    for part in write_parts(spark, rows, str(tmp_path / "parts"), cuts_of(rows, n, seed)):
+        run_part(spark, part, lambda s: stateful.ingested(s, bounds(spark)), tmp_path)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert told(got.where("error is null")) == told(want) and want.where("previous_value is not null").count() > 0
+    assert got.where("error is not null").count() == rows.where("value is null or isnan(value)").count()
+
+
+def test_repeats_and_odd_points_over_micro_batches(spark, tmp_path):
+    second = 1_000_000
+    kind = "series_id string, domain string, stream_id string, value double, t long, sequence long"
+    domain, stream, mid = "infrastructure", "cpu", 40.0
+    limits = [1000.0 if c == "critical_max" else 5.0 if c == "max_abs_delta" else None for c in K.BOUNDS]
+    config = spark.createDataFrame([(domain, stream, *limits)], "domain string, stream_id string, " + ", ".join(f"{c} double" for c in K.BOUNDS))
+    point = lambda value, t, sequence, **more: tuple(({"s": "x", "d": domain, "st": stream} | more).values()) + (value, None if t is None else 10**9 + t, sequence)
+    parts = [
+        [point(mid, 0, 1), point(mid, second, 2), point(None, second, 3), point(mid, None, 4), point(mid, 0, 5, d="IoT")],
+        [point(mid + 1, second, 6), point(1e12, 2 * second, 7), point(mid, 5 * second, 9), point(mid, 3 * second, 8)],  # a repeat, a broken bound, out of order
+        [point(mid, 7200 * second, 10)],  # the watermark passes all before
+        [point(mid, 2 * second, 11), point(mid, 7201 * second, 12), point(mid, 1 * second, 13, s="late")],  # too late: both go
+    ]
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+        run_part(spark, str(tmp_path / f"in{k}"), lambda s: stateful.ingested(s, config), tmp_path)
+    got = {r["sequence"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert {k: r["error"] for k, r in got.items() if r["error"]}.keys() == {3, 4, 5} and got[4]["error"] == "missing_timestamp"
+    assert {k: r["previous_value"] for k, r in got.items() if not r["error"]} == {1: None, 2: mid, 7: None, 8: mid, 9: mid, 10: mid, 12: mid}

@@ -10,7 +10,7 @@ from tidemark.plans import points
 from tidemark.plans.base import bounds
 from tidemark.sources import readings
 from tidemark.sources.feed import feed
-from tidemark.streaming import jobs
+from tidemark.streaming import jobs, stateful
 
 
 @pytest.fixture(scope="module")
@@ -74,7 +74,7 @@ def test_ingestion_writes_readings_alerts_and_dead_letters(spark, parts, tmp_pat
     out = str(tmp_path / "out")
     s = stream(spark, parts).withColumn("domain", F.when(F.col("sequence") % 50 == 0, "IoT").otherwise(F.col("domain")))
     for _ in range(2):  # the second run finds nothing new
-        q = s.writeStream.foreachBatch(jobs.ingested(bounds(spark), out)).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q = stateful.ingested(s, bounds(spark)).writeStream.foreachBatch(jobs.tables_once(out)).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
         q.awaitTermination()
     whole = spark.read.parquet(parts)
     good = whole.where("sequence % 50 <> 0").dropDuplicates(["series_id", "t"])

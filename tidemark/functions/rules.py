@@ -137,3 +137,10 @@ def spike_message(delta: Column, last_value: Column, seconds: Column, triggered:
     moved = F.when(delta > 0, "subió").otherwise("cambió")
     told = F.concat(F.lit("El valor "), moved, F.lit(" "), F.format_string("%.2f", delta), F.lit(" unidades desde "), F.format_string("%.2f", last_value))
     return F.when(sloped & (seconds > 0), F.concat(told, F.lit(". en "), F.format_string("%.0f", seconds), F.lit(" segundos"))).otherwise(told)
+
+
+def change_bound(value: Column, before: Column, most: Column, most_percent: Column) -> Column:
+    """The bound on changes that a value breaks against the one before: the absolute one goes first; null if it breaks none or has none before."""
+    change = value - before
+    relative = (before != 0) & (F.abs(change / F.nullif(before, F.lit(0.0))) * 100 > most_percent)
+    return F.when(F.abs(change) > most, "max_abs_delta").when(relative, "max_rel_delta")

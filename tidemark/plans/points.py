@@ -26,10 +26,7 @@ def classified(points: DataFrame, config: DataFrame) -> DataFrame:
     c = c.withColumn("violated_constraint", bound)
     passes = F.col("configured").isNotNull() & F.col("violated_constraint").isNull()
     c = c.withColumn("previous_value", F.when(passes, history.last_where(F.col("value"), passes, history.before(SERIES, ORDER))))
-    change = F.col("value") - F.col("previous_value")
-    absolute = F.abs(change) > F.col("max_abs_delta")
-    relative = (F.col("previous_value") != 0) & (F.abs(change / F.nullif("previous_value", F.lit(0.0))) * 100 > F.col("max_rel_delta"))
-    delta = F.when(absolute, "max_abs_delta").when(relative, "max_rel_delta")
+    delta = rules.change_bound(F.col("value"), F.col("previous_value"), F.col("max_abs_delta"), F.col("max_rel_delta"))
     value = F.coalesce(*(F.when(F.col("violated_constraint") == b, F.col(b)) for b in K.BOUNDS[:8]))
     kind = rules.class_of(F.col("violated_constraint"), delta)
     return c.withColumn("constraint_value", value).withColumn("classification", kind).withColumn("confidence", F.when(kind == "anomaly", 0.9).otherwise(1.0)).drop("configured", *K.BOUNDS)

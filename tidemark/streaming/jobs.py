@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions import constants as K
-from tidemark.functions import guards, rules
+from tidemark.functions import rules
 
 
 def timed(points: DataFrame, time_col: str = "t", name: str = "ts") -> DataFrame:
@@ -104,9 +104,7 @@ def classified(points: DataFrame, config: DataFrame, forget_seconds: float | Non
     c = c.select("series_id", "t", "sequence", "value", "violated_constraint", "passes", "max_abs_delta", "max_rel_delta")
     kind = "series_id string, sequence long, value double, violated_constraint string, max_abs_delta double, max_rel_delta double, previous_value double"
     s = c.groupBy("series_id").transformWithStateInPandas(statefulProcessor=LastValue(forget_seconds), outputStructType=kind, outputMode="Append", timeMode="ProcessingTime" if forget_seconds else "None")
-    change = F.col("value") - F.col("previous_value")
-    relative = (F.col("previous_value") != 0) & (F.abs(change / F.nullif("previous_value", F.lit(0.0))) * 100 > F.col("max_rel_delta"))
-    delta = F.when(F.abs(change) > F.col("max_abs_delta"), "max_abs_delta").when(relative, "max_rel_delta")
+    delta = rules.change_bound(F.col("value"), F.col("previous_value"), F.col("max_abs_delta"), F.col("max_rel_delta"))
     return s.select("series_id", "sequence", "value", "previous_value", "violated_constraint", rules.class_of(F.col("violated_constraint"), delta).alias("classification"))
 
 
@@ -119,23 +117,20 @@ def write_once(folder: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def ingested(config: DataFrame, folder: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over points: guards, deduplicates and classifies a micro-batch, and writes its readings, alerts and dead letters, each to a folder of the batch's own.
+def tables_once(folder: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over stateful.ingested: a micro-batch's readings, alerts and dead letters, each in a folder of the batch's own.
 
-    The batch is classified once and kept while its three tables are written; a batch that runs again replaces itself.
+    The batch is computed once and kept while its three tables are written; a batch that runs again replaces itself.
     """
-    from tidemark.plans import points as plans
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        reason = F.coalesce(F.when(~guards.not_iot(F.col("domain")), "invalid_domain"), guards.value_reason(F.col("value")))
-        checked = batch.withColumn("reason", reason)
-        good = checked.where("reason is null").drop("reason").dropDuplicates(["series_id", "t"])
-        told = plans.classified(good, config).persist()
+        told = batch.persist()
         try:
-            told.write.mode("overwrite").parquet(f"{folder}/readings/batch={batch_id}")
-            alerts = told.where(rules.should_alert(F.col("classification"))).select("series_id", "sequence", "value", rules.alert_severity(F.col("classification")).alias("severity"), "violated_constraint", "t")
+            good = told.where("error is null").drop("error")
+            good.write.mode("overwrite").parquet(f"{folder}/readings/batch={batch_id}")
+            alerts = good.where(rules.should_alert(F.col("classification"))).select("series_id", "sequence", "value", rules.alert_severity(F.col("classification")).alias("severity"), "violated_constraint", "t")
             alerts.write.mode("overwrite").parquet(f"{folder}/alerts/batch={batch_id}")
-            dead = checked.where("reason is not null").select("series_id", "sequence", F.col("reason").alias("error"), F.lit("validation_error").alias("error_type"), "t", F.lit(0).alias("retry_count"))
+            dead = told.where("error is not null").select("series_id", "sequence", "error", F.lit("validation_error").alias("error_type"), "t", F.lit(0).alias("retry_count"))
             dead.write.mode("overwrite").parquet(f"{folder}/dead_letters/batch={batch_id}")
         finally:
             told.unpersist()

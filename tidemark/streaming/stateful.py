@@ -1,4 +1,5 @@
-"""Streams that give what the batch operators give: the rate limiter, and the path of a reading from guard to class.
+"""Streams that give what the batch operators give: the rate limiter, the path of a reading from guard to class, and the
+ingestion of points of any domain.
 
 One processor holds all that the path of a sensor needs: how many readings it had, its run of violations, the value before and
 when that began, the spike reported last, and the readings whose repeats are still turned away. Event-time timers take out what
@@ -181,3 +182,68 @@ def routed(rows: DataFrame, ranges: DataFrame, spikes: dict[str, float | None],
         initialState=None if initial is None else initial.groupBy("sensor_id"),
     )
     return events.consequences(rejected.unionByName(told))
+
+
+class Series(StatefulProcessor):
+    """The points of a series that aren't repeats, each with the value before that no bound has stopped.
+
+    Points are held until the watermark has passed them, which is when no repeat can come any more; of those that go, the
+    newest that no bound has stopped is kept for good.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "t long", "value double, passes boolean")
+        self.newest = handle.getValueState("newest", "t long, value double")
+
+    def _state(self) -> pd.DataFrame:
+        rows = [(t, value, passes) for (t,), (value, passes) in self.held.iterator()]
+        if self.newest.exists():
+            rows.append((*self.newest.get(), True))
+        return pd.DataFrame(rows, columns=["t", "value", "passes"]).assign(new=False)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        data = pd.concat(list(rows)).sort_values(["t", "sequence"]).assign(new=True)
+        held = self._state()
+        data = (pd.concat([held, data]) if len(held) else data).drop_duplicates("t").sort_values("t", kind="stable")
+        value, passes = data["value"].astype(float), data["passes"].astype(bool)
+        data["previous_value"] = value.where(passes).ffill().shift(1).where(passes)
+        data = data[data["new"].astype(bool)]
+        for t, value, passes in data[["t", "value", "passes"]].itertuples(index=False):
+            self.held.updateValue((int(t),), (float(value), bool(passes)))
+        if len(data):
+            self.handle.registerTimer(int(data["t"].iloc[-1]) // MILLI + 1)
+        yield data.astype({"t": "int64", "sequence": "int64"})[["series_id", "t", "sequence", "value", "violated_constraint", "max_abs_delta", "max_rel_delta", "previous_value"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        gone = [(t, value, passes) for (t,), (value, passes) in self.held.iterator() if t < expiredTimerInfo.getExpiryTimeInMs() * MILLI]
+        for t, _, _ in gone:
+            self.held.removeKey((t,))
+        if passing := [(t, value) for t, value, passes in gone if passes]:
+            self.newest.update(max([*passing, *([tuple(self.newest.get())] if self.newest.exists() else [])]))
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def ingested(points: DataFrame, config: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """(series_id, t, sequence, value, previous_value, violated_constraint, classification, error) of a stream of points.
+
+    Rejected points have an error and no class. Of points with equal series and time one is left, that which came first or has
+    the smallest sequence; each is classified against its whole history, as the batch classifier does, for any cut into
+    micro-batches. A point that is older than another that came in an earlier micro-batch changes nothing in that one's class.
+    points: (series_id, domain, stream_id, value, t, sequence); config: bounds, a batch table.
+    """
+    error = F.coalesce(F.when(~guards.not_iot(F.col("domain")), "invalid_domain"), guards.value_reason(F.col("value")), F.when(F.col("t").isNull(), "missing_timestamp"))
+    checked = points.withColumn("error", error)
+    c = checked.where("error is null").join(config.withColumn("configured", F.lit(True)), ["domain", "stream_id"], "left")
+    c = c.withColumn("violated_constraint", rules.violated_bound(F.col("value"), {b: F.col(b) for b in K.BOUNDS[:8]}))
+    passes = F.col("configured").isNotNull() & F.col("violated_constraint").isNull()
+    c = c.select("series_id", "t", "sequence", "value", "violated_constraint", passes.alias("passes"), "max_abs_delta", "max_rel_delta", F.timestamp_micros("t").alias("ts")).withWatermark("ts", late)
+    kind = "series_id string, t long, sequence long, value double, violated_constraint string, max_abs_delta double, max_rel_delta double, previous_value double"
+    told = c.groupBy("series_id").transformWithStateInPandas(statefulProcessor=Series(), outputStructType=kind, outputMode="Append", timeMode="EventTime")
+    delta = rules.change_bound(F.col("value"), F.col("previous_value"), F.col("max_abs_delta"), F.col("max_rel_delta"))
+    told = told.withColumn("classification", rules.class_of(F.col("violated_constraint"), delta)).drop("max_abs_delta", "max_rel_delta")
+    rejected = checked.where("error is not null").select("series_id", "t", "sequence", "value", "error")
+    return told.unionByName(rejected, allowMissingColumns=True)
