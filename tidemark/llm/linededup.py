@@ -131,7 +131,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     found = cut(found)
     # what lies in a repeated chunk is done: its first occurrence holds the same pairs
     inside = F.col(f"at.{_ID}").eqNullSafe(F.col(_ID)) & (F.col(f"at.{_KEY}") == F.col(_KEY)) & (F.col("chunk") == F.col("start"))
-    more_origins, more = _repeats(units.where("not whole").join(found, inside, "left_anti"))
+    others = units.where("not whole")
+    left = others.where("chunk is null").unionByName(others.where("chunk is not null").join(found, inside, "left_anti"))
+    more_origins, more = _repeats(left)
     groups = origins.unionByName(more_origins)
     hits = cut(_runs(found.unionByName(more)).where("not covered").select(_ID, _KEY, "start", "end", "whole", "h1", "h2"))
     first = groups.join(hits.select("whole", "h1", "h2").distinct(), ["whole", "h1", "h2"])
