@@ -1,12 +1,14 @@
 """Commits: whole or not at all, once, and told apart."""
 
+import random
 import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.sources import tables
-from tidemark.sources.snapshots import Conflict, SnapshotTable, writing
+from tidemark.operators import predict
+from tidemark.sources.snapshots import Conflict, FileStatistics, SnapshotTable, writing
 
 
 def rows_of(df, *columns):
@@ -109,3 +111,56 @@ def test_stored_tables(spark):
     told = tables.API_KEYS.conformed(keys, F.current_timestamp()).withColumn("error", tables.API_KEYS.broken())
     assert [r["error"] for r in told.collect()] == [None, "breaks chk_admin_permissions", "breaks chk_role", None]
     assert all(x.schema() for x in tables.TABLES.values())
+
+
+READING = "sensor_id int, t long, sequence long, value double"
+
+
+def opened(df):
+    """The files that a plan's scans open."""
+    return {f for f in df.inputFiles()}
+
+
+def test_newest_rows_are_in_the_files_that_are_opened(spark, tmp_path):
+    rng = random.Random(3)
+    t = SnapshotTable(spark, f"file://{tmp_path}/t", statistics=FileStatistics(files=3))
+    with pytest.raises(ValueError, match="no commit"):
+        t.file_statistics()
+    rows = []
+    for batch in range(6):  # times overlap between commits, tie, lack, and values are null or NaN now and then
+        own = [(rng.randrange(8), rng.choice([None, *range(10 * batch, 10 * batch + 14)]), 1000 * batch + n, rng.choice([None, float("nan"), 1.0, 2.5, 7.0])) for n in range(60)]
+        own += [(99, batch, 1000 * batch + 500, 4.0)] if batch < 2 else []
+        rows += own
+        t.write(spark.createDataFrame(own, READING), batch, "w", batch)
+    everything = spark.createDataFrame(rows, READING)
+    for n in (1, 7, 60):
+        for sensors in ([0, 3], [7, 99], list(range(8))):
+            wanted = spark.createDataFrame([(s,) for s in sensors], "sensor_id int")
+            some, whole = t.newest(wanted, n), everything.join(wanted, "sensor_id", "left_semi")
+            means = [rows_of(predict.moving_average(x.join(wanted, "sensor_id", "left_semi"), n, 1), "sensor_id", "n", "predicted_value") for x in (some, whole)]
+            assert means[0] == means[1], (n, sensors)
+    assert t.newest(spark.createDataFrame([(1234,)], "sensor_id int"), 5).count() == 0
+
+
+def test_a_cycle_with_little_news_opens_only_files_with_news(spark, tmp_path):
+    t = SnapshotTable(spark, f"file://{tmp_path}/t", statistics=FileStatistics(files=3))
+    for batch in range(5):
+        t.write(spark.createDataFrame([(s, 1000 * batch + k, 1000 * batch + 100 * s + k, float(s)) for s in range(9) for k in range(20)], READING), batch, "w", batch)
+    t.write(spark.createDataFrame([(4, 9000 + k, 9000 + k, 50.0) for k in range(3)], READING), 9, "w", 9)
+    offsets = spark.createDataFrame([(s, 4000 + 100 * s + 19) for s in range(9)], "sensor_id int, last long")
+    news = predict.pending(t.file_statistics().select("sensor_id", F.col("newest").alias("sequence")), offsets)
+    assert rows_of(news, "sensor_id", "last", "newest") == [(4, 4419, 9002)]
+    seen, all_files = opened(t.newest(news, 3)), opened(t.read())
+    assert len(all_files) > 10 and seen and all(f in all_files for f in seen)
+    assert all(f"/{t.manifest()['parts'][-1][0]}/" in f for f in seen)  # the last commit holds three of it
+    more = t.newest(news, 5)  # two of them are in the commit before, of it only files that hold the sensor
+    assert len(opened(more)) < len(opened(t.read())) / 2 and more.where("sensor_id = 4").count() >= 5
+    bands = spark.createDataFrame([(41, 4, "out_of_range", 0.0, 20.0, "critical")], "id int, sensor_id int, condition_type string, low double, high double, severity string")
+    none = spark.createDataFrame([], "sensor_id int, event_code string, status string, created_t long")
+    models = spark.createDataFrame([(4, 7)], "sensor_id int, model_id long")
+    out = predict.cycle_from_files(t, offsets, models, bands, none, 10_000, 3)
+    assert [tuple(r) for r in out.select("sensor_id", "model_id", "predicted_value", "offset_before", "offset_after", "threshold_id", "event_type").collect()] == [(4, 7, 50.0, 4419, 9002, 41, "critical")]
+    again = out.select("sensor_id", F.col("offset_after").alias("last")).unionByName(offsets.where("sensor_id <> 4"))
+    assert predict.cycle_from_files(t, again, models, bands, none, 10_000, 3).count() == 0  # no news, nothing to do
+    t.compacted(11)
+    assert predict.cycle_from_files(t, offsets, models, bands, none, 10_000, 3).first()["predicted_value"] == 50.0

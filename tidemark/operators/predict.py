@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import constants as K
 from tidemark.functions import rules
-from tidemark.operators import history
+from tidemark.operators import history, lineage
+from tidemark.sources.snapshots import SnapshotTable
 
 
 def pending(readings: DataFrame, offsets: DataFrame) -> DataFrame:
@@ -68,3 +69,19 @@ def cycle(news: DataFrame, predictions: DataFrame, models: DataFrame) -> DataFra
         "sensor_id", F.coalesce("model_id", -F.col("sensor_id")).alias("model_id"), F.when(made, F.col("newest") * 1000 + F.col("sensor_id") % 1000).alias("prediction_id"), "predicted_value",
         F.col("last").alias("offset_before"), F.when(made, F.col("newest")).otherwise(F.col("last")).alias("offset_after"),
     )
+
+
+def cycle_from_files(table: SnapshotTable, offsets: DataFrame, models: DataFrame, thresholds: DataFrame, recent: DataFrame, now: int, window: int = 60, gap_seconds: float = K.EVENT_SECONDS, digits: int = 6) -> DataFrame:
+    """cycle() and breaches() in one, of a table of readings with statistics: event_type and threshold_id are null where a prediction breaks no rule.
+
+    Which sensors have news is known from the files' statistics alone. Of the readings only files are opened that can hold one of
+    the last `window` values of a sensor with news, all of one version. The next cycle takes offset_after for its offsets.
+    """
+    version = table.version()
+    stats = table.file_statistics(version)
+    news = lineage.cut(pending(stats.select("sensor_id", F.col("newest").alias("sequence")), offsets))
+    rows = table.newest(news, window, version).join(news.select("sensor_id"), "sensor_id", "left_semi")
+    made = moving_average(rows, window).withColumn("predicted_value", F.round("predicted_value", digits))
+    made = lineage.cut(made)  # a row for each sensor with news; cycle and events both begin with it
+    events = breaches(made, thresholds, recent, now, gap_seconds).select("sensor_id", "threshold_id", "event_type")
+    return cycle(news, made, models).join(events, "sensor_id", "left")

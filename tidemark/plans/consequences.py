@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import constants as K
 from tidemark.functions import rules, series
-from tidemark.operators import history, metrics, predict
+from tidemark.operators import history, lineage, metrics, predict
 from tidemark.plans.base import NOW, POINTS, READINGS, THRESHOLDS_SQL, Registry, thresholds
-from tidemark.plans.outcomes import _AVERAGE, _ELIGIBLE, _OFFSETS, _TITLE, _VIOLATIONS, _average, _eligible, _offsets, _violations
+from tidemark.plans.outcomes import _AVERAGE, _ELIGIBLE, _OFFSETS, _SHORT, _TITLE, _VIOLATIONS, _average, _eligible, _offsets, _violations
 from tidemark.plans.sequences import _STATS, _stats
 from tidemark.sources import readings, sinks
+from tidemark.sources.snapshots import FileStatistics, SnapshotTable
 
 query = Registry()
 KEYS, ORDER = ["sensor_id"], ["t", "sequence"]
@@ -121,6 +122,30 @@ def prediction_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict.cycle(predict.pending(r, _offsets(r)), _average(spark, sf_dir), models)
 
 
+@query(f"""WITH {_SHORT}, {_OFFSETS}, {_MODELS}, {THRESHOLDS_SQL}, nn AS (SELECT sensor_id, max(sequence) AS newest FROM r GROUP BY sensor_id),
+        pe AS (SELECT sensor_id, coalesce(last, 0) AS last, newest FROM nn LEFT JOIN off_ USING (sensor_id) WHERE newest > coalesce(last, 0)),
+        f AS (SELECT sensor_id, min(id) AS id FROM th WHERE id % 10 <> 1 OR sensor_id % 3 = 0 GROUP BY sensor_id),
+        b AS (SELECT sensor_id, low AS wl, high AS wh FROM th WHERE id % 10 = 1 AND sensor_id % 3 = 0),
+        ev AS (SELECT pd.sensor_id, th.id AS threshold_id, CASE WHEN severity IN ('critical', 'warning') THEN severity ELSE 'notice' END AS event_type FROM pd JOIN f USING (sensor_id) JOIN th ON th.id = f.id LEFT JOIN b ON b.sensor_id = pd.sensor_id
+            WHERE NOT (wl IS NOT NULL AND predicted_value >= wl AND predicted_value <= wh)
+                AND CASE condition_type WHEN 'greater_than' THEN predicted_value > low WHEN 'less_than' THEN predicted_value < low ELSE low IS NOT NULL AND high IS NOT NULL AND (predicted_value < low OR predicted_value > high) END
+                AND pd.sensor_id NOT IN (SELECT sensor_id FROM r WHERE event_type = 'error' AND t >= {NOW} - {36 * 3600 * S}))
+    SELECT pe.sensor_id, coalesce(model_id, -pe.sensor_id) AS model_id, CASE WHEN predicted_value IS NOT NULL THEN newest * 1000 + pe.sensor_id % 1000 END AS prediction_id, predicted_value, last AS offset_before, CASE WHEN predicted_value IS NOT NULL THEN newest ELSE last END AS offset_after, threshold_id, event_type
+    FROM pe LEFT JOIN pd USING (sensor_id) LEFT JOIN md USING (sensor_id) LEFT JOIN ev USING (sensor_id)""")
+def incremental_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cycle over a stored table of three commits, older readings first: only files with the last values of sensors with news are opened."""
+    r = _readings(spark, sf_dir).select("sensor_id", "t", "sequence", "value", "k", "event_type")
+    table = SnapshotTable(spark, lineage.folder(spark, "readings"), statistics=FileStatistics())
+    edges = [NOW - days * 86400 * S for days in (20, 10)]
+    for n, (lo, hi) in enumerate(zip([None, *edges], [*edges, None])):
+        rows = r.where((F.lit(True) if lo is None else F.col("t") >= lo) & (F.lit(True) if hi is None else F.col("t") < hi))
+        table.write(rows, NOW, "readings", n)
+    models = sinks.latest(r.where("k < 30 and k % 2 = 0").select("sensor_id", F.col("sequence").alias("model_id"), F.col("t").alias("trained_t")), KEYS, ["trained_t", "model_id"], ["model_id"])
+    recent = r.where("event_type = 'error'").select("sensor_id", F.lit("PRED_THRESHOLD_BREACH").alias("event_code"), F.lit("acknowledged").alias("status"), F.col("t").alias("created_t"))
+    rules_ = thresholds(spark, sf_dir).where("id % 10 <> 1 or sensor_id % 3 = 0")
+    return predict.cycle_from_files(table, _offsets(r), models, rules_, recent, NOW, 3, 36 * 3600)
+
+
 _DELTAS = f"{READINGS}, dt AS (SELECT sequence AS id, sensor_id, value AS abs_delta, CASE WHEN k % 5 = 0 THEN NULL ELSE 'warning' END AS severity, k % 3 <> 0 AS is_active, CASE WHEN k % 4 = 0 THEN k % 6 END AS consecutive FROM r WHERE k < 40)"
 
 

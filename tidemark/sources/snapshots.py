@@ -7,6 +7,9 @@ of a job that broke are in no version, so nobody reads them.
 
 Changes by key are written as they come and joined when read: of the rows of a key those of the newest commit stand, with the
 time of the first as created_at and that of the last as updated_at. compacted writes them as one.
+
+A table with statistics says for each of its files which keys it has, how many rows of each, and between which times. So a
+reader that wants the newest rows of some keys opens no other files. They are written before the commit, and one with it.
 """
 
 from __future__ import annotations
@@ -14,8 +17,9 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: How often a commit is tried again if other writers are first.
@@ -26,11 +30,50 @@ class Conflict(Exception):
     """Another writer has changed what this commit is made from."""
 
 
+@dataclass(frozen=True)
+class FileStatistics:
+    """What is kept of each file and key: n, first_t and last_t of the rows with a value, and newest, the largest sequence of all rows.
+
+    files: how many a commit has; by default as many as its size asks for.
+    """
+
+    key: str = "sensor_id"
+    time: str = "t"
+    sequence: str = "sequence"
+    value: str = "value"
+    files: int | None = None
+
+    def laid_out(self, rows: DataFrame) -> DataFrame:
+        """rows by ranges of key and time, so that a file has few keys, and a key of many rows has files of its own."""
+        return rows.repartitionByRange(*([self.files] if self.files else []), self.key, self.time).sortWithinPartitions(self.key, self.time)
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """rows: with their file. Null and NaN values count as none; rows without a time are older than all others."""
+        valued = F.col(self.value).isNotNull() & ~F.isnan(F.col(self.value).cast("double"))
+        t = F.when(valued, F.coalesce(F.col(self.time).cast("long"), F.lit(-(2**63))))
+        return rows.groupBy("file", self.key).agg(F.count(t).alias("n"), F.min(t).alias("first_t"), F.max(t).alias("last_t"), F.max(self.sequence).alias("newest"))
+
+    def holders(self, stats: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+        """(file): files that can hold one of the n newest rows of a wanted key. wanted: (key), each once.
+
+        Going back from the file that begins last, the first time of the file with which n rows are together is a bound: n rows at
+        least aren't older. A file that ends before it has none of the newest n, ties included.
+        """
+        own = stats.where("n > 0").join(wanted.select(self.key), self.key, "left_semi")
+        back = Window.partitionBy(self.key).orderBy(F.desc("first_t"), "file")
+        held = F.sum("n").over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        bound = F.max(F.when(F.col("held") >= n, F.col("first_t"))).over(Window.partitionBy(self.key))
+        found = own.withColumn("held", held).withColumn("bound", bound)
+        return found.where(F.col("bound").isNull() | (F.col("last_t") >= F.col("bound"))).select("file").distinct()
+
+
 class SnapshotTable:
-    """A table below a folder. keys: columns that tell rows apart; without them rows are only added."""
+    """A table below a folder. keys: columns that tell rows apart; without them rows are only added. statistics: of a table without keys."""
 
-    def __init__(self, spark: SparkSession, folder: str, keys: list[str] | None = None):
-        self.spark, self.folder, self.keys = spark, folder.rstrip("/"), keys
+    def __init__(self, spark: SparkSession, folder: str, keys: list[str] | None = None, statistics: FileStatistics | None = None):
+        if keys and statistics:
+            raise ValueError("rows of a table with keys can be replaced, so its files have no statistics")
+        self.spark, self.folder, self.keys, self.statistics = spark, folder.rstrip("/"), keys, statistics
         jvm = spark.sparkContext._jvm
         self._path, self._io = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.commons.io.IOUtils
         conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -88,9 +131,19 @@ class SnapshotTable:
 
     def _write(self, rows: DataFrame) -> str:
         part = f"data/{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.folder}/{part}")
+        if self.statistics is None:
+            rows.write.parquet(f"{self.folder}/{part}")
+            return part
+        self.statistics.laid_out(rows).write.parquet(f"{self.folder}/{part}")
+        written = self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{part}")
+        named = written.withColumn("file", F.concat(F.lit(f"{part}/"), F.col("_metadata.file_name")))
+        self.statistics.of(named).write.parquet(f"{self.folder}/{self._stats(part)}")
         return part
 
+    @staticmethod
+    def _stats(part: str) -> str:
+        return part.replace("data/", "stats/", 1)
+
     def write(self, rows: DataFrame, at: int, writer: str | None = None, batch: int | None = None) -> int:
         """Adds rows (by key: in place of those with their keys) and returns the version. at: the commit's time in microseconds.
 
@@ -128,6 +181,25 @@ class SnapshotTable:
         newest = F.max_by(F.struct(*kept), "_version").alias("x")
         return out.groupBy(*self.keys).agg(newest, F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at")).select(*self.keys, "x.*", "created_at", "updated_at")
 
+    def file_statistics(self, version: int | None = None) -> DataFrame:
+        """(file, key, n, first_t, last_t, newest) of the files of a version (the newest)."""
+        parts = self.manifest(version)["parts"]
+        if self.statistics is None or not parts:
+            raise ValueError(f"{self.folder} has no commit yet" if self.statistics else f"{self.folder} is kept without statistics")
+        return self.spark.read.parquet(*(f"{self.folder}/{self._stats(p)}" for p, _, _ in parts))
+
+    def newest(self, wanted: DataFrame, n: int, version: int | None = None) -> DataFrame:
+        """All rows of the files that can hold one of the n newest rows of a wanted key; no other file is opened.
+
+        The files' names come to the driver, as they do for any scan of them. The rows of other keys in these files come along.
+        """
+        version = self.version() if version is None else version
+        files = [r["file"] for r in self.statistics.holders(self.file_statistics(version), wanted, n).collect()]
+        kind = self.spark.read.parquet(*(f"{self.folder}/{p}" for p, _, _ in self.manifest(version)["parts"][-1:])).schema
+        if not files:
+            return self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(kind).parquet(*(f"{self.folder}/{f}" for f in sorted(files)))
+
     def compacted(self, at: int) -> int:
         """Writes the newest version's rows as one part; what others add meanwhile stays behind it."""
         version = self.version()
