@@ -2,6 +2,8 @@
 
 import gzip
 import random
+import subprocess
+import sys
 import zlib
 from itertools import combinations
 
@@ -325,3 +327,22 @@ def test_stage_drops_copies_at_jaccard_08_and_more(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string, extra int")
     got = [x["doc_id"] for x in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+FORKED = """
+import subprocess
+import numpy as np
+subprocess.Popen(["true"], preexec_fn=lambda: None).wait()  # as a session starts its JVM
+from tidemark.llm import packing
+r = np.random.default_rng(1)
+a = r.normal(size=(150, 150))
+assert np.abs(packing.inverted(a) @ a - np.eye(150)).max() < 1e-8
+p = packing.plan({n: int(r.integers(1, 400)) for n in range(1, 1024)})
+print(p.end)
+"""
+
+
+def test_packing_plans_after_a_fork():
+    """numpy's own inverse stands still there."""
+    done = subprocess.run([sys.executable, "-c", FORKED], capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0 and int(done.stdout) > 0, done.stderr

@@ -172,6 +172,24 @@ def best_patterns(worth: np.ndarray, lengths: np.ndarray, most: np.ndarray, widt
     return found
 
 
+def inverted(a: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss-Jordan steps, the largest pivot of each column first.
+
+    np.linalg.inv isn't used: with more than 64 rows numpy's OpenBLAS waits for threads that are gone, for ever, in a process that had
+    numpy loaded when it started another one by a fork, as the driver does if the session begins after numpy is imported.
+    """
+    n = len(a)
+    both = np.c_[a, np.eye(n)]
+    for k in range(n):
+        top = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, top]] = both[[top, k]]
+        both[k] /= both[k, k]
+        rest = both[:, k].copy()
+        rest[k] = 0
+        both -= np.outer(rest, both[k])
+    return both[:, n:]
+
+
 def solve(lengths: np.ndarray, demand: np.ndarray, width: int, gap: float = 0.005, patience: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """(patterns, how often each) of the linear program that covers demand exactly with fewest sequences.
 
@@ -190,7 +208,7 @@ def solve(lengths: np.ndarray, demand: np.ndarray, width: int, gap: float = 0.00
         j = of.get(width - n, k)
         if k < j:  # the rarer of two lengths that fill a sequence gets the pair as its column
             basis[[k, j], k if need[k] <= need[j] else j] = 1
-    inverse = np.linalg.inv(basis)
+    inverse = inverted(basis)
     x = np.clip(inverse @ need, 0, None)
     least, seen = lengths @ demand / width, []
     while x.sum() > (1 + gap) * least:
@@ -220,7 +238,7 @@ def solve(lengths: np.ndarray, demand: np.ndarray, width: int, gap: float = 0.00
             x[out] = ratio[out]
             x = np.clip(x, 0, None)
     if m:
-        x = np.clip(np.linalg.solve(basis, demand.astype(float)), 0, None)
+        x = np.clip(inverted(basis) @ demand, 0, None)
     return basis.T.round().astype(np.int64), x
 
 
