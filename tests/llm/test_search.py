@@ -53,6 +53,20 @@ def test_ann_small(spark):
     assert ann.nearest(one, one).count() == 0
 
 
+def test_ann_whole_where_codes_say_little(spark):
+    """One component takes all 8 bits, so codes tell no rows apart; the windows hold the whole table."""
+    r = np.random.default_rng(5)
+    v = np.c_[np.full(250, 1e4), r.normal(size=(250, 11))].astype(np.float32)
+    rows = [(i, [float(x) for x in row], "") for i, row in enumerate(v)]
+    df = spark.createDataFrame(rows, KIND)
+    got = {}
+    for x in ann.nearest(df, df.where("vec_id % 25 = 0"), k=10).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["id"]))
+    assert {q: [i for _, i in sorted(f)] for q, f in got.items()} == {q: [i for _, i in brute(rows, q, 10)] for q in range(0, 250, 25)}
+    huge = spark.createDataFrame([(i, [1e200 * (i + 1), 1.0], "") for i in range(5)], "vec_id long, embedding array<double>, extra string")
+    assert ann.nearest(huge, huge.where("vec_id = 0"), k=3).count() == 3
+
+
 def test_hilbert_is_a_walk():
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims), -1).reshape(-1, dims)

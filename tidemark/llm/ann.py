@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Vectors are projected and shifted in a different way for each curve and ordered by their place on a Hilbert curve. Spark
-range-partitions each order; a query takes the window of rows around its own place, compares short codes there, and the
-best of all windows are ranked again by exact distances on the original vectors.
+range-partitions each order; a query takes the window of rows around its own place and compares short codes there. How far a
+code is from its vector bounds the true distance from both sides: only rows that can't be among the nearest of their window, or
+then of all windows, go, and the others are ranked by exact distances on the original vectors. There is no cap on them.
 
 The width of the windows is fitted on a bounded sample, and on a quarter of it, so that the wanted share of true neighbours
 is found: how much wider the whole sample's windows are says how they grow with the table. Where vectors cluster they
@@ -134,11 +135,14 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, dims: int) -> DataF
     return _finite(vectors, id_col, vector_col).where(F.size("v") == dims).distinct()
 
 
-def _codes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors as a scale and 8-bit components."""
+def _codes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors as a scale and 8-bit components, and how far at most these are from them."""
     scale = np.abs(v).max(1) / 127
     scale = np.where(scale > 0, scale, 1.0)
-    return scale, np.rint(v / scale[:, None]).astype(np.int8)
+    code = np.rint(v / scale[:, None]).astype(np.int8)
+    unit = v / scale[:, None]  # in this unit squares don't overflow
+    slack = np.sqrt(((unit - code) ** 2).sum(1)) + 1e-7 * np.sqrt((unit**2).sum(1))  # the second part is for rounding
+    return scale, code, slack * scale
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -178,10 +182,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
             v = _matrix(b.column(1))
             if not len(v):
                 continue
-            scale, code = _codes(v)
+            scale, code, slack = _codes(v)
             codes = pa.array([x.tobytes() for x in code], pa.binary())
             for c, key in enumerate(shared.value.keys(v)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), c, np.int32)), pa.array(key), b.column(0), pa.array(scale), codes], ["curve", "key", "rep", "scale", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), c, np.int32)), pa.array(key), b.column(0), pa.array(scale), pa.array(slack), codes], ["curve", "key", "rep", "scale", "slack", "code"])
 
     def numbered(batches):
         part, curve, n = TaskContext.get().partitionId(), -1, 0
@@ -193,36 +197,37 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
                     curve, n = c[at[0]], 0
                 place[at] = np.arange(n, n + len(at))
                 n += len(at)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(c), part, np.int32)), pa.array(place), *(b.column(x) for x in (2, 3, 4))], ["curve", "part", "place", "rep", "scale", "code"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(c), part, np.int32)), pa.array(place), *(b.column(x) for x in (2, 3, 4, 5))], ["curve", "part", "place", "rep", "scale", "slack", "code"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = reps.mapInArrow(keyed, f"curve int, key long, rep {dict(reps.dtypes)['rep']}, scale double, code binary")
+    keys = reps.mapInArrow(keyed, f"curve int, key long, rep {dict(reps.dtypes)['rep']}, scale double, slack double, code binary")
     ordered = keys.repartitionByRange(parts, "curve", "key", "rep").sortWithinPartitions("curve", "key", "rep")
-    ordered.mapInArrow(numbered, f"curve int, part int, place long, rep {dict(reps.dtypes)['rep']}, scale double, code binary").write.parquet(f"{folder}/curves")
+    ordered.mapInArrow(numbered, f"curve int, part int, place long, rep {dict(reps.dtypes)['rep']}, scale double, slack double, code binary").write.parquet(f"{folder}/curves")
     ordered = spark.read.parquet(f"{folder}/curves")
     before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ordered.groupBy("curve", "part").count().select("curve", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     # a row for each partition and curve that meet: no more than partitions and curves together
-    placed = ordered.join(F.broadcast(starts), ["curve", "part"]).select("curve", (F.col("start") + F.col("place")).alias("place"), "rep", "scale", "code")
-    held = placed.select("curve", F.expr(f"place div {BLOCK}").alias("block"), F.lit(0).alias("kind"), "place", "rep", "scale", "code")
+    placed = ordered.join(F.broadcast(starts), ["curve", "part"]).select("curve", (F.col("start") + F.col("place")).alias("place"), "rep", "scale", "slack", "code")
+    held = placed.select("curve", F.expr(f"place div {BLOCK}").alias("block"), F.lit(0).alias("kind"), "place", "rep", "scale", "slack", "code")
     probes = placed.join(asked.select("rep").distinct(), "rep", "left_semi")
     reach = F.sequence(F.expr(f"greatest(place - {half}, 0) div {BLOCK}"), F.expr(f"least(place + {half}, {total - 1}) div {BLOCK}"))
-    probes = probes.select("curve", F.explode(reach).alias("block"), F.lit(1).alias("kind"), "place", "rep", "scale", "code")
+    probes = probes.select("curve", F.explode(reach).alias("block"), F.lit(1).alias("kind"), "place", "rep", "scale", "slack", "code")
     met = held.unionByName(probes).repartition(parts, "curve", "block").sortWithinPartitions("curve", "block", "kind")
-    wanted = 3 * (k + 1)
+    kind_of_code = np.float32 if dims <= 1000 else np.float64  # sums of products of codes are exact in either
+    kind = dict(reps.dtypes)["rep"]
 
     def windows(batches):
         """Of each block first its rows come, then the queries that look at it."""
         at, rows_, block = None, [], None
         for b in batches:
             groups = np.stack([b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy()], 1)
-            kinds, places, scales, reps_ = (b.column(x).to_numpy() for x in (2, 3, 5, 4))
-            codes = np.frombuffer(b"".join(b.column(6).to_pylist()), np.int8).reshape(len(kinds), -1) if len(kinds) else np.zeros((0, 1), np.int8)
+            kinds, places, scales, slacks, reps_ = (b.column(x).to_numpy() for x in (2, 3, 5, 6, 4))
+            codes = np.frombuffer(b"".join(b.column(7).to_pylist()), np.int8).reshape(len(kinds), -1) if len(kinds) else np.zeros((0, 1), np.int8)
             edges = np.flatnonzero((np.diff(groups, axis=0) != 0).any(1) | (np.diff(kinds) != 0)) + 1
             for own in np.split(np.arange(len(kinds)), edges) if len(kinds) else ():
                 if tuple(groups[own[0]]) != at:
                     at, rows_, block = tuple(groups[own[0]]), [], None
-                mine = places[own], reps_[own], scales[own], codes[own].astype(np.float32)
+                mine = places[own], reps_[own], scales[own], codes[own].astype(kind_of_code), slacks[own]
                 if kinds[own[0]] == 0:
                     rows_.append(mine)
                     continue
@@ -232,19 +237,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
                         continue
                     square = (block[3] ** 2).sum(1) * block[2] ** 2
                 for lo in range(0, len(own), 256):
-                    p, r, s, c = (x[lo : lo + 256] for x in mine)
+                    p, r, s, c, e = (x[lo : lo + 256] for x in mine)
                     dist = square[None, :] + ((c**2).sum(1) * s**2)[:, None] - 2 * (c @ block[3].T) * s[:, None] * block[2][None, :]
-                    dist[np.abs(block[0][None, :] - p[:, None]) > half] = np.inf
-                    m = min(wanted, dist.shape[1])
-                    best = np.argpartition(dist, m - 1, axis=1)[:, :m]
-                    near = np.take_along_axis(dist, best, 1)
-                    keep = np.isfinite(near)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(r, keep.sum(1))), pa.array(block[1][best][keep]), pa.array(near[keep])], ["asked", "rep", "about"])
-
-    kind = dict(reps.dtypes)["rep"]
-    pairs = met.mapInArrow(windows, f"asked {kind}, rep {kind}, about double")
-    pairs = pairs.groupBy("asked", "rep").agg(F.min("about").alias("about"))
-    pairs = pairs.withColumn("n", F.row_number().over(Window.partitionBy("asked").orderBy("about", "rep"))).where(F.col("n") <= wanted).select("asked", "rep")
+                    dist = np.sqrt(np.maximum(dist, 0))
+                    off = e[:, None] + block[4][None, :]
+                    least, most = dist - off, dist + off
+                    if not np.isfinite(dist).all():  # squares that overflow say nothing
+                        least[~np.isfinite(dist)], most[~np.isfinite(dist)] = 0, np.inf
+                    outside = np.abs(block[0][None, :] - p[:, None]) > half
+                    most[outside] = np.inf
+                    m = min(k + 1, most.shape[1])
+                    bound = np.partition(most, m - 1, axis=1)[:, m - 1]  # so many rows are no farther
+                    q, at_ = np.nonzero((least <= bound[:, None]) & ~outside)
+                    for x in range(0, len(q), 65536):
+                        i, j = q[x : x + 65536], at_[x : x + 65536]
+                        yield pa.RecordBatch.from_arrays([pa.array(r[i]), pa.array(block[1][j]), pa.array(least[i, j]), pa.array(most[i, j])], ["asked", "rep", "least", "most"])
+
+    pairs = met.mapInArrow(windows, f"asked {kind}, rep {kind}, least double, most double")
+    pairs = pairs.groupBy("asked", "rep").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    of_query = Window.partitionBy("asked")
+    pairs = pairs.withColumn("n", F.row_number().over(of_query.orderBy("most", "rep"))).withColumn("bound", F.max(F.when(F.col("n") <= k + 1, F.col("most"))).over(of_query))
+    pairs = pairs.where("least <= bound").select("asked", "rep")
     exact = pairs.join(reps, "rep").join(reps.select(F.col("rep").alias("asked"), F.col("v").alias("q")), "asked")
     square = F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     exact = exact.select("asked", "rep", F.sqrt(square).alias("score")).join(members.select("rep", "id"), "rep")
