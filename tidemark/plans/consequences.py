@@ -52,21 +52,28 @@ def recent_unread_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_back(a, _notifications(a), NOW, UNREAD)
 
 
+def named(newest: DataFrame, devices: DataFrame) -> DataFrame:
+    """newest with title and message. newest: (sensor_id, x: t, id, value, low, high)."""
+    j = newest.withColumn("device_id", F.col("sensor_id") % 10 + 1).join(devices, "device_id", "left")
+    number = lambda c: F.coalesce(F.format_string("%.2f", c), F.lit("-")) if c is not None else F.lit("-")
+    bound = lambda c: F.when(F.col(c).isNull(), "-").otherwise(number(F.col(c)))
+    name = F.coalesce("device_name", F.concat(F.lit("Dispositivo "), F.col("device_id").cast("string")))
+    # Fixed: the words of the texts.
+    message = F.concat(F.lit("Valor "), number(F.col("x.value")), F.lit(" fuera de rango físico ["), bound("x.low"), F.lit(" - "), bound("x.high"), F.lit("] en "), name)
+    title = F.concat(F.lit("🚨 ALERTA CRÍTICA: Sensor "), F.col("sensor_id").cast("string"))
+    return j.select(*newest.columns, title.alias("title"), message.alias("message"))
+
+
 def notified(alerts: DataFrame, back: DataFrame, devices: DataFrame) -> DataFrame:
     """A notification for each sensor with an active alert that isn't held back: the alert's id, the newest value, and the texts.
 
     devices: (device_id, device_name). A bound that lacks is written as a dash.
     """
     newest = alerts.where("status = 'active'").groupBy("sensor_id").agg(F.min("id").alias("alert_id"), F.max(F.struct("t", "id", "value", "low", "high")).alias("x"))
-    j = newest.join(back, "sensor_id", "left_anti").withColumn("device_id", F.col("sensor_id") % 10 + 1).join(devices, "device_id", "left")
-    number = lambda c: F.coalesce(F.format_string("%.2f", c), F.lit("-")) if c is not None else F.lit("-")
-    bound = lambda c: F.when(F.col(c).isNull(), "-").otherwise(number(F.col(c)))
-    name = F.coalesce("device_name", F.concat(F.lit("Dispositivo "), F.col("device_id").cast("string")))
-    # Fixed: the words of the texts.
-    message = F.concat(F.lit("Valor "), number(F.col("x.value")), F.lit(" fuera de rango físico ["), bound("x.low"), F.lit(" - "), bound("x.high"), F.lit("] en "), name)
+    j = named(newest.join(back, "sensor_id", "left_anti"), devices)
     return j.select(
         "sensor_id", F.lit("alert").alias("source"), F.col("alert_id").alias("source_event_id"), F.lit("critical").alias("severity"),
-        F.concat(F.lit("🚨 ALERTA CRÍTICA: Sensor "), F.col("sensor_id").cast("string")).alias("title"), message.alias("message"), F.lit(False).alias("is_read"), F.col("x.t").alias("created_t"),
+        "title", "message", F.lit(False).alias("is_read"), F.col("x.t").alias("created_t"),
     )
 
 
@@ -93,6 +100,32 @@ def push_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(spark, sf_dir).select(F.col("source_event_id").alias("alert_id"), "created_t", F.lit("pending").alias("status"), F.lit(0).alias("attempts"))
 
 
+def alert_run(alerts: DataFrame, notifications: DataFrame, devices: DataFrame, now: int, seconds: float = K.COOLDOWN_SECONDS) -> DataFrame:
+    """The alert path in one plan: a row for each sensor with an active alert, with the alert as it stands after all its updates, the sensor's state,
+    and the notification and push that follow, or null texts and `held_back` where an unread one of the last seconds is about the sensor.
+
+    Alerts meet their notifications by id, then one aggregate by sensor, combined before its exchange, says all.
+    """
+    unread = notifications.where(~F.col("is_read") & (F.col("created_t") >= now - int(seconds * K.SECOND))).select(F.col("source_event_id").alias("id"), F.lit(True).alias("unread")).distinct()
+    by_sensor = alerts.where("status = 'active'").join(unread, "id", "left").groupBy("sensor_id").agg(
+        F.min("id").alias("alert_id"), F.max(F.struct("t", "id", "value", "low", "high")).alias("x"), F.count(F.lit(1)).alias("updates"), F.bool_or(F.coalesce("unread", F.lit(False))).alias("held"),
+    )
+    free = ~F.col("held")
+    return named(by_sensor, devices).select(
+        "sensor_id", "alert_id", F.col("x.value").alias("value"), F.col("x.t").alias("t"), "updates", F.lit("ALERT").alias("state"),
+        F.when(free, F.col("title")).alias("title"), F.when(free, F.col("message")).alias("message"), F.when(free, "pending").otherwise("held_back").alias("push"),
+    )
+
+
+@query(f"""WITH {_TOLD}, aa AS (SELECT sensor_id, min(id) AS alert_id, arg_max(value, (t, id)) AS value, max(t) AS t, count(*) AS updates FROM al WHERE status = 'active' GROUP BY sensor_id)
+    SELECT aa.sensor_id, alert_id, value, t, updates, 'ALERT' AS state, title, message, CASE WHEN tl.sensor_id IS NULL THEN 'held_back' ELSE 'pending' END AS push FROM aa LEFT JOIN tl USING (sensor_id)""")
+def alert_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From violating readings to the alert, the state, the notification and the push of each sensor."""
+    a = _alerts(spark, sf_dir)
+    devices = readings.table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("device_id"), F.col("s_name").alias("device_name"))
+    return alert_run(a, _notifications(a), devices, NOW, UNREAD)
+
+
 _MESSAGE = """'El valor ' || CASE WHEN d > 0 THEN 'subió' ELSE 'cambió' END || ' ' || printf('%.2f', d) || ' unidades desde ' || printf('%.2f', previous_value) || CASE WHEN list_contains(triggered, 'abs_slope') OR list_contains(triggered, 'rel_slope') THEN '. en ' || printf('%.0f', s) || ' segundos' ELSE '' END"""
 
 
