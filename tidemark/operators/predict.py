@@ -57,6 +57,21 @@ def to_explain(predictions: DataFrame, score: float = K.EXPLAIN_SCORE, n: int =
     return predictions.where(F.col("is_anomaly") & (F.col("anomaly_score") >= score) & blank).orderBy(F.desc("target_t"), F.desc("id")).limit(n)
 
 
+def explanation_requests(anomalies: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(id, sensor_id, request): what an explainer outside of the engine is asked about each anomalous prediction, as JSON.
+
+    anomalies: (id, sensor_id, predicted_value, anomaly_score); those without a value can't be asked about and go.
+    ranges: (sensor_id, expected_range); sensors without one are `unknown`.
+    """
+    j = anomalies.where("predicted_value is not null").join(ranges, "sensor_id", "left")
+    # Fixed: the names and the texts of a request.
+    output = F.struct(
+        F.lit("generic").alias("metric"), F.col("predicted_value").alias("observed_value"), F.coalesce("expected_range", F.lit("unknown")).alias("expected_range"), "anomaly_score",
+        F.lit("sklearn_regression_iforest").alias("model"), F.lit("1.0.0").alias("model_version"),
+    )
+    return j.select("id", "sensor_id", F.to_json(F.struct(F.lit("industrial_iot_monitoring").alias("context"), output.alias("model_output"))).alias("request"))
+
+
 def cycle(news: DataFrame, predictions: DataFrame, models: DataFrame) -> DataFrame:
     """One run over all sensors with news: (sensor_id, model_id, prediction_id, predicted_value, offset_before, offset_after).
 

@@ -169,6 +169,20 @@ def anomalies_to_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict.to_explain(made).select("id", "sensor_id", "anomaly_score", "target_t")
 
 
+@query(f"""WITH {READINGS}, {THRESHOLDS_SQL}, a AS (SELECT sequence AS id, sensor_id, value, k / 100.0::DOUBLE AS anomaly_score FROM r WHERE k % 2 = 0 AND k / 100.0 >= 0.8 AND k % 3 <> 0 ORDER BY t DESC, id DESC LIMIT 50),
+        b AS (SELECT sensor_id, low, high FROM th WHERE id % 10 = 2)
+    SELECT a.id, a.sensor_id, 'industrial_iot_monitoring' AS context, 'generic' AS metric, value AS observed_value, anomaly_score,
+        CASE WHEN low IS NOT NULL AND high IS NOT NULL THEN low || '-' || high WHEN low IS NOT NULL THEN '>= ' || low WHEN high IS NOT NULL THEN '<= ' || high ELSE 'unknown' END AS expected_range FROM a LEFT JOIN b USING (sensor_id) WHERE value IS NOT NULL""")
+def explanation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest anomalies without an explanation as requests, read back from their JSON."""
+    k = F.col("k")
+    made = _readings(spark, sf_dir).select(F.col("sequence").alias("id"), "sensor_id", F.col("value").alias("predicted_value"), (k % 2 == 0).alias("is_anomaly"), (k / 100.0).alias("anomaly_score"), (F.col("t") + 600 * S).alias("target_t"), F.when(k % 3 == 0, "known").when(k % 3 == 1, "  ").alias("explanation"))
+    first = thresholds(spark, sf_dir).where("id % 10 = 2").groupBy("sensor_id").agg(F.min_by(F.struct("low", "high"), "id").alias("b"))
+    asked = predict.explanation_requests(predict.to_explain(made), first.select("sensor_id", rules.expected_range(F.col("b.low"), F.col("b.high")).alias("expected_range")))
+    x = asked.withColumn("x", F.from_json("request", "context string, model_output struct<metric string, observed_value double, expected_range string, anomaly_score double>"))
+    return x.select("id", "sensor_id", "x.context", "x.model_output.metric", "x.model_output.observed_value", "x.model_output.anomaly_score", "x.model_output.expected_range")
+
+
 @query(f"""WITH {READINGS} SELECT sequence, CASE WHEN k % 7 = 0 OR ({NOW} - t) / 1000000.0 > {20 * 86400} THEN 'deleted' WHEN k % 5 >= 3 THEN 'archived' ELSE 'requeued' END AS fate, CASE WHEN NOT (k % 7 = 0 OR ({NOW} - t) / 1000000.0 > {20 * 86400}) AND k % 5 < 3 THEN k % 5 + 1 ELSE k % 5 END AS retry_count FROM r""")
 def dlq_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _readings(spark, sf_dir).withColumn("retries", F.col("k") % 5)
