@@ -4,6 +4,7 @@ import gzip
 import random
 import subprocess
 import sys
+import time
 import zlib
 from itertools import combinations
 
@@ -346,3 +347,27 @@ def test_packing_plans_after_a_fork():
     """numpy's own inverse stands still there."""
     done = subprocess.run([sys.executable, "-c", FORKED], capture_output=True, text=True, timeout=120)
     assert done.returncode == 0 and int(done.stdout) > 0, done.stderr
+
+
+def test_near_duplicates_leave_no_shuffle_files(spark):
+    """Each step's files go with the step, not when the driver happens to collect its garbage."""
+    from tidemark.llm import similar
+
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {x for x in found.split("\n") if "shuffle_" in x}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    set_before, before = spark.conf.get(name, None), files()
+    words = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame([(k, " ".join([*words, f"x{k}"] if k % 2 else [f"y{k}_{n}" for n in range(20)])) for k in range(40)], "doc_id long, text string")
+    groups = similar.near_duplicates(docs)
+    assert spark.conf.get(name, None) == set_before
+    end = time.time() + 20
+    while len(left := files() - before) > 4 and time.time() < end:  # files go a moment after their step
+        time.sleep(0.2)
+    assert len(left) <= 4
+    assert {r["component_id"] for r in groups.collect()} == {1, *range(0, 40, 2)}
+    with pytest.raises(ValueError, match="mine"), common.shuffles_freed(spark):
+        raise ValueError("mine")
+    assert spark.conf.get(name, None) == set_before

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tidemark.llm import simhash
-from tidemark.llm.common import components, cut
+from tidemark.llm.common import components, cut, shuffles_freed
 
 #: Documents of the sample, and shingles of it that are kept as common.
 SAMPLE_DOCS, COMMON = 20000, 200000
@@ -157,13 +157,8 @@ def _similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, most: int = MOST) -> DataFrame:
-    """(id, t, root, component_id): one row per row of docs; root tells its group, that is all rows reachable over pairs of
-    Jaccard similarity least or more, component_id is the smallest id in it, and t is the text's xxhash64.
-
-    A null text is an empty one, and texts without words are one node. Null ids never name a group unless all ids in it
-    are null. Rows with equal ids or texts each keep their row; an empty table gives an empty one.
-    """
+def _members(docs: DataFrame, id_col: str, text_col: str, width: int, least: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """(id, t, key, root) of each row, and (root, component_id)."""
     sets = cut(_sets(docs, id_col, text_col, width, least, _common(docs, id_col, text_col, width)))
     nodes = cut(sets.groupBy("key").agg(F.min(F.struct("t", "id")).alias("one"), F.first("fp").alias("fp")))
     # of shingles in prefixes those that two sets have, in one exchange: rows (h, key, size and place in one number)
@@ -193,6 +188,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = linked.select(F.col("node").alias("a"), F.col("root").alias("b"))  # the same groups by fewer links
     member = sets.select("id", "t", "key").join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least_id = cut(member.groupBy("root").agg(F.min("id").alias("component_id")))
+    return member, least_id
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, most: int = MOST) -> DataFrame:
+    """(id, t, root, component_id): one row per row of docs; root tells its group, that is all rows reachable over pairs of
+    Jaccard similarity least or more, component_id is the smallest id in it, and t is the text's xxhash64.
+
+    A null text is an empty one, and texts without words are one node. Null ids never name a group unless all ids in it
+    are null. Rows with equal ids or texts each keep their row; an empty table gives an empty one.
+    """
+    with shuffles_freed(docs.sparkSession):
+        member, least_id = _members(docs, id_col, text_col, width, least, most)
     return member.join(least_id, "root").select(F.col("id").alias(id_col), "t", "root", "component_id")
 
 
@@ -204,7 +211,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if "_near_t" in docs.columns:
         raise ValueError("docs has a column _near_t already")
     groups = near_duplicates(docs, id_col, text_col, width, least)
-    keep = groups.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "t")).alias("k")).select(F.col("k.id").alias("_near_id"), F.col("k.t").alias("_near_key"))
+    with shuffles_freed(docs.sparkSession):
+        keep = groups.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "t")).alias("k"))
+        keep = cut(keep.select(F.col("k.id").alias("_near_id"), F.col("k.t").alias("_near_key")))
     rows = docs.withColumn("_near_t", F.xxhash64(text_col))
-    kept = rows.join(cut(keep), (F.col("_near_t") == F.col("_near_key")) & F.col(id_col).eqNullSafe(F.col("_near_id")), "left_semi")
+    kept = rows.join(keep, (F.col("_near_t") == F.col("_near_key")) & F.col(id_col).eqNullSafe(F.col("_near_id")), "left_semi")
     return kept.dropDuplicates([id_col, "_near_t"]).drop("_near_t")
