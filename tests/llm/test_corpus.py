@@ -355,7 +355,7 @@ def test_near_duplicates_leave_no_shuffle_files(spark):
 
     def files():
         found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
-        return {x for x in found.split("\n") if "shuffle_" in x}
+        return {x.split("shuffle_")[1].split("_")[0] for x in found.split("\n") if "shuffle_" in x}  # by shuffle
 
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     set_before, before = spark.conf.get(name, None), files()
@@ -364,9 +364,9 @@ def test_near_duplicates_leave_no_shuffle_files(spark):
     groups = similar.near_duplicates(docs)
     assert spark.conf.get(name, None) == set_before
     end = time.time() + 20
-    while len(left := files() - before) > 4 and time.time() < end:  # files go a moment after their step
+    while len(left := files() - before) > 3 and time.time() < end:  # files go a moment after their step
         time.sleep(0.2)
-    assert len(left) <= 4
+    assert len(left) <= 3  # a stage that adaptive execution no longer waited for may still have ended
     assert {r["component_id"] for r in groups.collect()} == {1, *range(0, 40, 2)}
     with pytest.raises(ValueError, match="mine"), common.shuffles_freed(spark):
         raise ValueError("mine")
