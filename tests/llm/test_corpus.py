@@ -7,8 +7,10 @@ import sys
 import time
 import zlib
 from itertools import combinations
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -371,3 +373,44 @@ def test_near_duplicates_leave_no_shuffle_files(spark):
     with pytest.raises(ValueError, match="mine"), common.shuffles_freed(spark):
         raise ValueError("mine")
     assert spark.conf.get(name, None) == set_before
+
+
+def test_slices_are_bounded_and_lose_no_row():
+    def batch(*texts):
+        return pa.RecordBatch.from_pydict({"t": pa.array(texts, pa.string())})
+
+    texts = [None, "", "a" * 5000, *("b" * n for n in range(200)), "c" * 3000]
+    got = list(common.in_slices(iter([batch(*texts), batch(), batch("d")]), 1000))
+    assert [t for b in got for t in b.column(0).to_pylist()] == [*texts, "d"]
+    assert all(b.nbytes <= 1000 or b.num_rows == 1 for b in got) and sum(not b.num_rows for b in got) == 1
+
+
+def test_classifiers_see_a_bounded_part_of_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: SimpleNamespace(value=x))  # else the class must be known to workers
+
+    class Sees:
+        """A model whose scores are the characters it is given at once."""
+
+        languages = ("x",)
+
+        def score(self, texts):
+            return np.full(len(texts), float(sum(map(len, texts))))
+
+        def measure(self, texts):
+            return ["x"] * len(texts), self.score(texts), np.zeros(len(texts)), np.zeros(len(texts))
+
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 800).alias("text"))
+    for out in (langid.identify(docs, Sees(), score_col="s"), toxicity.score(docs, Sees(), score_col="s")):
+        n, ids, most = out.agg(F.count("text"), F.count_distinct("doc_id"), F.max("s")).first()
+        assert (n, ids) == (3000, 3000) and most <= common.SLICE
+
+
+def test_language_of_texts_over_several_blocks(monkeypatch):
+    texts = ["", None, *(f"the {w} of them went over there " * n for n in (1, 40, 400) for w in ("house", "river", "winter"))]
+    grams = [np.concatenate([h for c, d in langid._blocks([t]) for h, _ in langid._grams(c, d)]) for t in ("the house over there ", "river winter them went ")]
+    model = langid.LanguageFilter.build(("a", "b"), dict(zip("ab", grams)))
+    found = []
+    for together in (langid.BLOCK, 1000, 1):
+        monkeypatch.setattr(langid, "TOGETHER", together, raising=False)
+        found.append([list(map(str, x)) for x in model.measure(texts)])
+    assert found[0] == found[1] == found[2]

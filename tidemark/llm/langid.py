@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out
+from tidemark.llm.common import held_out, in_slices
 
 SIZES = (2, 3, 4)
 #: Characters that are worked on at once; longer texts span several blocks.
 BLOCK = 1 << 19
+#: Characters of shorter texts that are measured at once.
+TOGETHER = 1 << 17
 #: Languages that one filter can hold; more raise.
 MOST_LANGUAGES = 4096
 _KINDS: list[np.ndarray] = []
@@ -38,7 +40,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _blocks(texts: list[str | None]):
+def _blocks(texts: list[str | None], together: int = BLOCK):
     """(letters as code points with 0 for all else, document of each) in blocks; a text's parts overlap by three characters."""
     parts: list[str] = []
     owners: list[tuple[int, int]] = []
@@ -57,7 +59,7 @@ def _blocks(texts: list[str | None]):
             parts.append(piece)
             owners.append((k, len(piece)))
             held += len(piece)
-            if held >= BLOCK:
+            if held >= together:
                 yield out()
                 parts, owners, held = [], [], 0
     if parts:
@@ -129,7 +131,7 @@ class LanguageFilter:
         hits, total, letters = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts)), np.zeros(len(texts))
         n = len(self.languages)
         every = np.array([(1 << max(0, min(64, n - 64 * w))) - 1 for w in range(self.slots.shape[1])], np.uint64) if n > 1 else ~np.uint64(0)
-        for c, doc in _blocks(texts):
+        for c, doc in _blocks(texts, TOGETHER):
             letters += np.bincount(doc, weights=_kinds()[1][c], minlength=len(texts))
             for h, d in _grams(c, doc):
                 mask = self.members(h)
@@ -211,7 +213,7 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", lan
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in in_slices(batches):
             if shared.value.languages:
                 lang, score, *evidence = shared.value.measure(b.column(at).to_pylist())
             else:

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, shared_folder
+from tidemark.llm.common import cut, in_slices, shared_folder
 from tidemark.llm.words import chosen_text
 
 WIDTH = 1024
@@ -379,7 +379,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         for k in np.unique(q.slots[:, 0]) if len(q.slots) else ():
             own = q.slots[q.slots[:, 0] == k]
             of[int(k)] = own[np.argsort(own[:, 1], kind="stable")]
-        for b in batches:
+        for b in in_slices(batches):
             out: list[list] = [[] for _ in names]
             for doc, n, ids, rank, whole_rank in zip(*(b.column(k).to_pylist() for k in range(5))):
                 whole, rest = divmod(n, width)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tidemark.llm import simhash
-from tidemark.llm.common import components, cut, shuffles_freed
+from tidemark.llm.common import components, cut, in_slices, shuffles_freed
 
 #: Documents of the sample, and shingles of it that are kept as common.
 SAMPLE_DOCS, COMMON = 20000, 200000
@@ -68,7 +68,7 @@ def _common(docs: DataFrame, id_col: str, text_col: str, width: int) -> np.ndarr
     """The commonest shingles (three documents or more) of the documents with the smallest id hashes, sorted."""
 
     def run(batches):
-        for b in batches:
+        for b in in_slices(batches):
             for t in b.column(0).cast(pa.binary()).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t or b"", width).view(np.int64))], ["h"])
 

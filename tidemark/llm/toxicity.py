@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, held_out
+from tidemark.llm.common import cut, held_out, in_slices
 
 #: General insults known before anything is learned.
 SEED_TERMS = (
@@ -303,7 +303,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_c
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in in_slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(b.column(at).to_pylist()))], [*b.schema.names, score_col])
 
     return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(score_col)).schema)
