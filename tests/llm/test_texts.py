@@ -88,6 +88,49 @@ def test_ascii_texts_split_as_others_do(text):
     assert ascii_pieces.findall(text) == pieces.findall(text)
 
 
+def test_equal_pieces_of_a_block_are_looked_up_once(monkeypatch):
+    class Counted(packing.Pieces):
+        asked = 0
+
+        def __getitem__(self, piece):
+            Counted.asked += 1
+            return super().__getitem__(piece)
+
+        def get(self, piece):
+            Counted.asked += 1
+            return super().get(piece)
+
+    t, *rest, _ = packing._tokenizer(BYTES)
+    monkeypatch.setitem(packing._tokenizers, BYTES, (t, *rest, Counted(t.model)))
+    texts = ["word " * 200, None, "a word's été", ""] * 25
+    found = packing.token_bytes(texts, BYTES, 7)
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [t.encode(x or "", add_special_tokens=False).ids + [7] for x in texts]
+    assert Counted.asked <= 20  # 5075 pieces, of which seven are told apart, and the ends
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("''sStldmrve  9½é\u00a0\u3000\u2028\n\t\0.,日😀ß\U0001d7d8"), max_size=20), min_size=1, max_size=5))
+def test_pieces_start_where_the_pattern_says(texts):
+    raw = [x.encode() + b"\0" for x in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    starts = packing.piece_starts(data, np.cumsum([len(x) for x in raw]) - 1).tolist()
+    found = [bytes(data[a:b]) for a, b in zip(starts, [*starts[1:], len(data)])]
+    assert found == [p.encode() for x in texts for p in [*packing._tokenizer(BYTES)[2].findall(x), "\0"]]
+
+
+def test_new_pieces_are_encoded_together_and_memory_stays_bounded():
+    from tokenizers import models
+
+    model = packing._tokenizer(BYTES)[0].model
+    known = packing.Pieces(model, most=5)
+    for words in ([f" w{k}é\n" for k in range(40)], ["a", " w7é\n", "x" * 200, "\n", "\n\n"], ["a", " w1é\n"]):
+        assert known.of(words) == [packing.Pieces(model)[w] for w in words]
+        assert len(known) <= 5 and len(known.old) <= 5
+    few = models.BPE({"a": 0, "b": 1, "ab": 2}, [("a", "b")])
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.Pieces(few).of(["ab", "cab", "c", "bcb"])] == [[2], [2], [], [1, 1]]
+    assert packing.Pieces(few)["c"] == b""
+
+
 def test_forgotten_pieces_are_encoded_again():
     t = packing._tokenizer(BYTES)[0]
     known = packing.Pieces(t.model, most=5)

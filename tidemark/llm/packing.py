@@ -13,10 +13,10 @@ The driver sees the histogram only: at most as many numbers as a sequence has to
 
 from __future__ import annotations
 
+import functools
 import math
 import os
 import re
-from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,10 +33,12 @@ WIDTH = 1024
 CLASSES = 128
 #: Parts that documents of one length are dealt into for their ranks.
 SALTS = 4096
-#: Fixed: how byte-level vocabularies of this family split a text into pieces that no merge goes across.
+#: Fixed: how byte-level vocabularies of this family split a text into pieces that no merge goes across. `piece_starts` splits so; tests hold it against this.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same in a text of ASCII characters only.
 ASCII_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
+#: Kinds of characters that the pattern tells apart; END stands behind each text of a block.
+OTHER, LETTER, NUMBER, SPACE, END = range(5)
 #: Pieces that a worker remembers in each of two generations, and the longest of them in letters.
 REMEMBERED, LONGEST = 200_000, 64
 _tokenizers: dict[str, tuple] = {}
@@ -54,62 +56,162 @@ def _tokenizer(path: str) -> tuple:
     return _tokenizers[path]
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letter that byte-level vocabularies write for each byte: itself where it can be printed, else one from U+0100 on."""
+def _byte_letters() -> np.ndarray:
+    """The letter that byte-level vocabularies write for each byte: itself where it can be printed, else one from U+0100 on; a line feed for 255, which UTF-8 hasn't."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+    letters = np.arange(256).astype("<u2")
+    letters[np.setdiff1d(letters, plain)] = 256 + np.arange(256 - len(plain))
+    letters[255] = ord("\n")
+    return letters
 
 
-_LETTERS = _byte_letters()
+_SPELT = _byte_letters()
 
 
 class Pieces(dict):
     """piece -> its ids as little-endian 32-bit bytes, by the library's model. When it holds `most` pieces, they become the older half, and the older half before goes."""
 
     def __init__(self, model, most: int = REMEMBERED):
-        self.model, self.most, self.old = model, most, {}
+        from tokenizers import Tokenizer, pre_tokenizers
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            if piece.isascii() and piece.isprintable():
-                spelt = piece.replace(" ", _LETTERS[32])
-            else:
-                spelt = piece.encode().decode("latin-1").translate(_LETTERS)
-            ids = array("I", [token.id for token in self.model.tokenize(spelt)]).tobytes()
-            if len(piece) > LONGEST:
-                return ids
-        if len(self) >= self.most:
+        self.model, self.most, self.old = model, most, {}
+        self.lines = Tokenizer(model)  # takes each line for a piece: no byte is spelt as a line feed
+        self.lines.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        vocabulary = self.lines.get_vocab()
+        self.letters = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # of each id
+        self.letters[list(vocabulary.values())] = [len(x) for x in vocabulary]
+
+    def encoded(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces by one call of the library."""
+        parts = [*map(str.encode, pieces)]
+        spelt = _SPELT[np.frombuffer(b"\xff".join(parts), np.uint8)].tobytes().decode("utf-16-le")
+        (found,) = self.lines.encode_batch_fast([spelt], add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        letters, want = self.letters[ids].cumsum(), np.fromiter(map(len, parts), np.int64, len(parts)).cumsum()
+        last = np.searchsorted(letters, want)
+        if last[-1] == len(ids) or (letters[last] != want).any():  # a vocabulary without some bytes
+            return [np.array([token.id for token in self.model.tokenize(x)], "<u4").tobytes() for x in spelt.split("\n")]
+        ids, till = ids.tobytes(), (4 * last + 4).tolist()
+        return [ids[a:b] for a, b in zip([0, *till], till)]
+
+    def of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces; all that aren't remembered are encoded at once."""
+        out = [*map(self.get, pieces)]
+        away = [k for k, ids in enumerate(out) if ids is None]
+        if not away:
+            return out
+        names = [pieces[k] for k in away]
+        again = [*map(self.old.get, names)]
+        new = [p for p, ids in zip(names, again) if ids is None]
+        fresh = iter(self.encoded(new) if new else ())
+        again = [next(fresh) if ids is None else ids for ids in again]
+        for k, ids in zip(away, again):
+            out[k] = ids
+        kept = [(p, ids) for p, ids in zip(names, again) if len(p) <= LONGEST][: self.most]
+        if len(self) + len(kept) > self.most:
             self.old = dict(self)
             self.clear()
-        self[piece] = ids
-        return ids
+        self.update(kept)
+        return out
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.of([piece])[0]
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """The kind of each code point."""
+    every = "".join(map(chr, range(0x110000)))
+    kinds = np.full(len(every), OTHER, np.uint8)
+    for kind, run in (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+"):
+        for m in regex.finditer(run, every):
+            kinds[m.start() : m.end()] = kind
+    return kinds
+
+
+def piece_starts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places in UTF-8 bytes where PATTERN's pieces start. Each text has a zero byte behind it, at `ends`, which is taken for a piece."""
+    kind = _kinds()[:256][data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):  # all bytes of a character get its kind
+        first = data[lead].astype(np.int32)
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        code = first & (0x7F >> size)
+        for k in (1, 2, 3):
+            more = size > k
+            code[more] = code[more] << 6 | data[lead[more] + k] & 0x3F
+        own = _kinds()[code]
+        kind[lead] = own
+        for k in (1, 2, 3):
+            kind[lead[size > k] + k] = own[size > k]
+    kind[ends] = END
+    start = np.r_[True, kind[1:] != kind[:-1]]
+    start[ends] = True
+    at = np.flatnonzero(start)
+    run = kind[at]
+
+    # of white space before something else the last character stands alone, or goes to the next piece if it is a blank
+    after = at[1:][(run[:-1] == SPACE) & (run[1:] != END)]
+    blank = data[after - 1] == 32
+    start[after[blank]] = False
+    last = after - 1
+    for _ in range(3):
+        last -= data[last] & 0xC0 == 0x80
+    start[last] = True
+
+    # an apostrophe that starts a piece takes the letters of a contraction; the byte before the first text is an end
+    quote = at[(data[at] == ord("'")) & (data[at - 1] != 32)]
+    a, b = data[quote + 1], data[np.minimum(quote + 2, len(data) - 1)]
+    one = np.isin(a, list(b"sdmt"))
+    two = (a == ord("l")) & (b == ord("l")) | ((a == ord("v")) | (a == ord("r"))) & (b == ord("e"))
+    start[quote[one | two] + 1] = False
+    start[quote[one] + 2] = True
+    start[quote[two] + 3] = True
+    return np.flatnonzero(start)
 
 
 def token_bytes(texts: list[str | None], path: str, end: int = 0, longest: bool = True) -> list[bytes]:
     """The ids of each text and the id `end`, as little-endian 32-bit bytes. A null text is an empty one.
 
     All ids come from the tokenizers library, whose merges stay inside of pieces: its model encodes each piece when it is
-    first met. Texts that hold the string of a special token are encoded whole. One text chosen by its hash, and the
-    longest if longest is set, are held against the library's ids of the whole text.
+    first met, and a piece is looked up once for all texts. Texts that hold the string of a special token are encoded
+    whole. Of each 256 texts one chosen by its hash, and the longest of the first 256 if longest is set, are held against
+    the library's ids of the whole text.
     """
-    t, special, pieces, ascii_pieces, known = _tokenizer(path)
+    if not texts:
+        return []
+    t, special, _, _, known = _tokenizer(path)
     tail = np.uint32(end).tobytes()
-    ids_of = known.__getitem__
 
     def whole(text: str) -> bytes:
         return np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def ids(text: str) -> bytes:
-        if special.search(text):
-            return whole(text)
-        return b"".join(map(ids_of, (ascii_pieces if text.isascii() else pieces).findall(text)))
-
-    out = [(ids(x) if x else b"") + tail for x in texts]
-    for k in chosen_text(texts, longest):
-        if out[k] != whole(texts[k]) + tail:
-            raise ValueError("the pieces' ids aren't those that the tokenizers library gives for a whole text")
+    apart = [k for k, x in enumerate(texts) if x and special.search(x)]
+    plain = [x.encode() if x else b"" for x in texts]
+    for k in apart:
+        plain[k] = b""
+    data = np.frombuffer(b"\0".join([*plain, b""]), np.uint8)
+    ends = np.cumsum([len(x) + 1 for x in plain]) - 1
+    starts = piece_starts(data, ends)
+    places = pa.py_buffer(np.append(starts, len(data)))
+    pieces = pa.Array.from_buffers(pa.large_string(), len(starts), [None, places, pa.py_buffer(data)]).dictionary_encode()
+    found = [*known.of(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), tail]
+
+    ids, size = np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found])
+    which = pieces.indices.to_numpy(zero_copy_only=False).copy()
+    last = np.searchsorted(starts, ends)
+    which[last] = len(found) - 1
+    own = size[which]
+    till = own.cumsum()
+    ids = ids[np.repeat((size.cumsum() - size)[which] + own - till, own) + np.arange(till[-1])]
+    bounds = [0, *till[last].tolist()]
+    out = [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+    for k in apart:
+        out[k] = whole(texts[k]) + tail
+    for at in range(0, len(texts), 256):
+        for k in chosen_text(texts[at : at + 256], longest and not at):
+            if out[at + k] != whole(texts[at + k]) + tail:
+                raise ValueError("the pieces' ids aren't those that the tokenizers library gives for a whole text")
     return out
 
 
@@ -125,9 +227,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
     def run(batches):
         small = max(_tokenizer(tokenizer_path)[0].get_vocab_size() - 1, end) < 1 << 16
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids = token_bytes(part.column(2).to_pylist(), tokenizer_path, end, longest=not at)
+            for k, part in enumerate(in_slices(iter([b]))):
+                ids = token_bytes(part.column(2).to_pylist(), tokenizer_path, end, longest=not k)
                 n = pa.array([len(x) // 4 for x in ids], pa.int64())
                 if small:
                     ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
