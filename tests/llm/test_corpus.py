@@ -414,3 +414,41 @@ def test_language_of_texts_over_several_blocks(monkeypatch):
         monkeypatch.setattr(langid, "TOGETHER", together, raising=False)
         found.append([list(map(str, x)) for x in model.measure(texts)])
     assert found[0] == found[1] == found[2]
+
+
+def test_near_duplicates_fetch_no_text_for_one_common_shingle(spark, monkeypatch):
+    """Texts that share one shingle of their first ones by chance, as most do in a large corpus, aren't compared; similar ones are."""
+    from tidemark.llm import similar
+
+    asked = []
+
+    def similar_pairs(pairs, texts, width, least):
+        asked.append(pairs.count())
+        return plain(pairs, texts, width, least)
+
+    plain = similar._similar
+    monkeypatch.setattr(similar, "_similar", similar_pairs)
+    rows = []
+    for k in range(120):  # the shingle of a row and the shingle of a column are shared, the words between are its own
+        own = [f"o{k}_{n}" for n in range(30)]
+        rows.append((k, " ".join([f"r{k // 2}_{n}" for n in range(5)] + own + [f"c{k % 60}_{n}" for n in range(5)])))
+    rows += [(200 + k, rows[k][1] + " end") for k in range(5)]
+    found = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), most=0).collect()}
+    assert found == {k: k % 200 for k in found} and len(found) == 125
+    assert 5 <= sum(asked) <= 8
+
+
+def test_near_duplicates_shuffle_texts_once_at_the_end(spark):
+    from tidemark.llm import similar
+
+    docs = spark.createDataFrame([(k, f"text {k % 7} of some words more") for k in range(50)] + [(None, "x"), (None, "x"), (None, None)], "doc_id long, text string")
+    kept = similar.drop_near_duplicates(docs)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = kept.select("*")._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r["doc_id"] for r in kept.select("*").collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sorted([*range(7), None, None], key=repr)
+    assert plan.count("Exchange hashpartitioning") == 2  # of texts and of the rows that stay

@@ -3,8 +3,9 @@
 Equal sets of shingles are one node. Nodes whose fingerprints the Gray-order index links are compared first, which joins
 most of each group of copies. Fingerprints alone can't do it: two sets at 0.8 differ in about 10 of 64 bits. So the nodes
 that are in different groups still are held against each other where they may be similar: in any one order of shingles,
-two similar sets share one of the first few of each (its prefix). Shingles that are common in a sample come last in the
-order, which keeps them out of most prefixes; the result doesn't depend on the sample.
+two similar sets share several of the first few of each (its prefix), while unlike sets that happen to share a shingle
+mostly share that one only: pairs are counted by shingle, and texts are fetched for those alone that share enough. Shingles
+that are common in a sample come last in the order, which keeps them out of most prefixes; the result doesn't depend on the sample.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from tidemark.llm.common import components, cut, in_slices, shuffles_freed
 SAMPLE_DOCS, COMMON = 20000, 200000
 #: Bits that the fingerprints of the first pairs differ in at most.
 MOST = 8
+#: Shingles of their prefixes that two similar sets share at least, if they share so many at all.
+SHARED = 4
 #: Hashes that a worker holds of texts compared lately, in each of two generations; a text counts for 32 more.
 HELD = 2_000_000
 
@@ -52,7 +55,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, least: float,
                 fps.append(simhash.majority(h))
                 sizes.append(n)
                 last = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h if len(late) else np.zeros(n, bool)
-                first = n - math.ceil(least * n - 1e-6) + 1 if n else 0
+                first = n - math.ceil(least * n - 1e-6) + SHARED if n else 0
                 prefixes.append(np.r_[h[~last], h[last]][:first].view(np.int64))
             at = np.r_[0, np.cumsum([len(x) for x in prefixes])].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
@@ -80,18 +83,31 @@ def _common(docs: DataFrame, id_col: str, text_col: str, width: int) -> np.ndarr
     return np.sort(top.column("h").to_numpy().view(np.uint64))
 
 
+def _needed(a: Column, b: Column, least: float) -> Column:
+    """What similar sets of sizes a and b share at least; exact for sizes below 2 ** 40."""
+    return F.ceil(F.lit(least) * (a + b) / F.lit(1 + least) - F.lit(1e-6))
+
+
 def _may_be(a: Column, b: Column, left_a: Column, left_b: Column, least: float) -> Column:
-    """Whether sets of sizes a and b that share no more than left_a or left_b from here on can be similar; exact for sizes below 2 ** 40."""
-    return F.least(left_a, left_b) >= F.ceil(F.lit(least) * (a + b) / F.lit(1 + least) - F.lit(1e-6))
+    """Whether a shingle that leaves left_a and left_b from here on can be among the first SHARED that similar sets of sizes a and b share."""
+    need = _needed(a, b, least)
+    return (F.least(a, b) >= need) & (F.least(left_a, left_b) >= need - (SHARED - 1))
+
+
+def _often(met: DataFrame, a: str, b: str, least: float, times: int) -> DataFrame:
+    """Pairs (a, b), the smaller key and the larger, that met holds so many times, or as often as they must if sets are small. met: a row for each pair and shingle."""
+    need = F.least(F.lit(times), _needed(F.col(f"{a}n"), F.col(f"{b}n"), least)).alias("need")
+    pairs = met.select(F.least(f"{a}key", f"{b}key").alias("a"), F.greatest(f"{a}key", f"{b}key").alias("b"), need)
+    return pairs.groupBy("a", "b", "need").count().where("count >= need").select("a", "b")
 
 
 def _neighbours(met: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of a shingle's holders that follow each other by size, the nearest and the next but one."""
+    """Pairs (a, b) that follow each other by size among the holders of two shingles at least, the nearest and the next but one."""
     order = Window.partitionBy("h").orderBy("n", "key")
     before = F.array(*(F.struct(*(F.lag(c, k).over(order).alias(c) for c in ("key", "n", "at"))) for k in (1, 2)))
     rows = met.withColumn("before", before).select("key", "n", "at", F.explode("before").alias("x")).where("x.key is not null")
     rows = rows.where(_may_be(F.col("n"), F.col("x.n"), F.col("n") - F.col("at"), F.col("x.n") - F.col("x.at"), least))
-    return rows.select(F.least("key", "x.key").alias("a"), F.greatest("key", "x.key").alias("b")).distinct()
+    return _often(rows, "", "x.", least, 2)
 
 
 def _by_group(met: DataFrame, linked: DataFrame) -> DataFrame:
@@ -102,7 +118,7 @@ def _by_group(met: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def _nearest(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of each minor holder with those of the largest group that are next to it by size, the smaller and the larger.
+    """Pairs (a, b) of each minor holder with those of the largest group that are next to it by size, for two shingles at least.
 
     They join most of what belongs to a large group before all that is still apart meets.
     """
@@ -111,19 +127,20 @@ def _nearest(rows: DataFrame, least: float) -> DataFrame:
     sides = F.array(*(F.last(member, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for w in (up, down)))
     found = rows.withColumn("sides", sides).where("minor").select("key", "n", "at", F.explode("sides").alias("x")).where("x.key is not null")
     found = found.where(_may_be(F.col("n"), F.col("x.n"), F.col("n") - F.col("at"), F.col("x.n") - F.col("x.at"), least))
-    return found.select(F.least("key", "x.key").alias("a"), F.greatest("key", "x.key").alias("b")).distinct()
+    return _often(found, "", "x.", least, 2)
 
 
 def _apart(rows: DataFrame, least: float) -> DataFrame:
-    """All pairs (a, b) that share a shingle and may be similar, but are in different groups yet.
+    """All pairs (a, b) that share SHARED shingles of their prefixes and may be similar, but are in different groups yet.
+
+    Each shingle that two such sets share is held by several groups, so all are here to be counted.
 
     Of the holders of a shingle those of its largest group don't meet each other: a join of the others with all.
     """
     x, y = rows.where("minor").alias("x"), rows.alias("y")
     apart = (F.col("x.root") != F.col("y.root")) & (~F.col("y.minor") | (F.col("x.key") < F.col("y.key")))
     apart &= _may_be(F.col("x.n"), F.col("y.n"), F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"), least)
-    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & apart)
-    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+    return _often(x.join(y, (F.col("x.h") == F.col("y.h")) & apart), "x.", "y.", least, SHARED)
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -211,9 +228,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if "_near_t" in docs.columns:
         raise ValueError("docs has a column _near_t already")
     groups = near_duplicates(docs, id_col, text_col, width, least)
+    own = F.struct(F.xxhash64(text_col).alias("t"), F.col(id_col).alias("id"))  # null ids are equal in a struct, and join and duplicates share one exchange
     with shuffles_freed(docs.sparkSession):
         keep = groups.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "t")).alias("k"))
-        keep = cut(keep.select(F.col("k.id").alias("_near_id"), F.col("k.t").alias("_near_key")))
-    rows = docs.withColumn("_near_t", F.xxhash64(text_col))
-    kept = rows.join(keep, (F.col("_near_t") == F.col("_near_key")) & F.col(id_col).eqNullSafe(F.col("_near_id")), "left_semi")
-    return kept.dropDuplicates([id_col, "_near_t"]).drop("_near_t")
+        keep = cut(keep.select(F.struct(F.coalesce("k.t", F.lit(0).cast("long")).alias("t"), "k.id").alias("_near_t")))  # t is never null, here as there
+    return docs.withColumn("_near_t", own).join(keep, "_near_t", "left_semi").dropDuplicates(["_near_t"]).drop("_near_t")
