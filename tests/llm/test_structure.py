@@ -202,6 +202,47 @@ def test_join_leaves_no_shuffle_files(spark):
         assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in groups.collect()} == brute_components(texts)
 
 
+
+def test_join_multiplies_no_rows_that_share_one_common_column(spark, monkeypatch):
+    """Texts that share one shingle with many others by chance come to no tile, however many they are; linked ones are found."""
+    monkeypatch.setattr(jaccard, "LEAST_HOLDERS", 10**6)  # none is known as common
+    monkeypatch.setattr(jaccard, "HOT", 8)
+    met, plain = [], jaccard.tiles
+
+    def tiles(*args):
+        met.append((out := plain(*args)).count())
+        return out
+
+    monkeypatch.setattr(jaccard, "tiles", tiles)
+    texts = []
+    for k in range(240):  # 25 shingles; three are common, each to a tenth of all texts
+        texts.append((k, " ".join(f"r{at}_0 r{at}_1 r{at}_2 " + " ".join(f"o{k}_{at}_{n}" for n in range(6)) for at in (f"a{k % 10}", f"b{k // 24}", f"c{k * 7 % 11}"))))
+    texts += [(1000 + k, texts[k][1] + f" end{k}") for k in range(40)] + [(2000 + k, "x " + texts[k][1]) for k in range(40)]
+    found = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.near_sets(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert found == brute_components(texts)
+    assert met == [0]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_join_whatever_columns_are_hot(spark, seed, monkeypatch):
+    """Pairs that share columns of few and of many rows, in any mixture."""
+    monkeypatch.setattr(jaccard, "LEAST_HOLDERS", 10**6)
+    monkeypatch.setattr(jaccard, "HOT", (1, 3, 12)[seed])
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(jaccard, "first_product", lambda met, least: met.limit(0).selectExpr("node a", "node b"))  # all is left to pairs and tiles
+    r, texts = random.Random(seed), []
+    lines = [" ".join(f"l{k}_{n}" for n in range(r.choice([3, 5, 12]))) for k in range(14)]
+    for k in range(150):
+        words = " ".join(r.sample(lines, r.randrange(1, 7))).split() + [f"o{k}_{n}" for n in range(r.choice([0, 2, 20, 60]))]
+        for j in range(r.choice([1, 1, 2, 4])):
+            texts.append((1000 * j + k, " ".join(words)))
+            for _ in range(r.choice([1, 1, 2])):
+                words[r.choice([0, -1, r.randrange(len(words))])] = f"n{k}_{j}_{r.randrange(99)}"
+    found = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.near_sets(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert found == brute_components(texts)
+    assert len({c for _, c in found.values()}) < len(texts) - 40
+
+
 # ---- the repair
 
 TURN = "conv_id long, turn long, role string, text string"
