@@ -26,7 +26,7 @@ SAMPLE_DOCS, COMMON = 20000, 200000
 #: Bits that the fingerprints of the first pairs differ in at most.
 MOST = 8
 #: Shingles of their prefixes that two similar sets share at least, if they share so many at all.
-SHARED = 4
+SHARED = 2
 #: Hashes that a worker holds of texts compared lately, in each of two generations; a text counts for 32 more.
 HELD = 2_000_000
 
